@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from plumbline.llm import chat, linededup, matroska, warc
+from plumbline.llm import chat, langid, linededup, matroska, quality, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1,
     "op2_warc_index": warc.op2,
+    "op3_quality": quality.op3,
     "op4_matroska": matroska.op4,
     "op5_line_dedup": linededup.op5,
+    "op7_langid": langid.op7,
 }
 
 ORACLES = {
