@@ -96,7 +96,7 @@ def duplicate_lines(docs: DataFrame, work: Workspace, key: str = "doc_id", text:
 
 def _bits(gone: DataFrame) -> DataFrame:
     """(doc, tx, n_removed, words): for each document that loses lines, a bit for each of its lines, 64 to a word."""
-    word = gone.distinct().groupBy("doc", "tx", F.floor(F.col("ln") / 64).cast("int").alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("ln") % 64)).alias("bits"))
+    word = gone.distinct().groupBy("doc", "tx", F.floor(F.col("ln") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("ln") % 64)).alias("bits"))
     per = word.groupBy("doc", "tx").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"), F.sum(F.bit_count("bits")).alias("n_removed"), F.max("w").alias("top"))
     return per.select("doc", "tx", "n_removed", F.transform(F.sequence(F.lit(0), F.col("top")), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long"))).alias("words"))
 
@@ -104,7 +104,7 @@ def _bits(gone: DataFrame) -> DataFrame:
 def _dropped(words: Column, i: Column) -> Column:
     """Whether the bit of line i is set; a word past the end has none."""
     word = F.coalesce(F.get(words, F.floor(i / 64).cast("int")), F.lit(0).cast("long"))
-    return F.shiftrightunsigned(word, i % 64).bitwiseAND(F.lit(1).cast("long")) == 1
+    return F.call_function("shiftrightunsigned", word, i % 64).bitwiseAND(F.lit(1).cast("long")) == 1
 
 
 def dedup_lines(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import chat, langid, linededup, matroska, quality, warc
+from plumbline.llm import chat, decontam, langid, linededup, matroska, mixing, quality, simhash, urlfilter, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1,
@@ -10,11 +10,16 @@ QUERIES = {
     "op3_quality": quality.op3,
     "op4_matroska": matroska.op4,
     "op5_line_dedup": linededup.op5,
+    "op6_mixing": mixing.op6,
     "op7_langid": langid.op7,
+    "op8_simhash": simhash.op8,
+    "op9_decontam": decontam.op9,
+    "op10_url_filter": urlfilter.op10,
 }
 
 ORACLES = {
     "op1_chat_format": chat.OP1_SQL,
     "op2_warc_index": warc.OP2_SQL,
     "op5_line_dedup": linededup.OP5_SQL,
+    "op10_url_filter": urlfilter.OP10_SQL,
 }
