@@ -1,0 +1,6 @@
+"""Queries of the engine over the star-schema tables."""
+
+from plumbline.plans import areas  # noqa: F401
+from plumbline.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
