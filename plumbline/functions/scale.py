@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plumbline.functions.geom import let
+
 # Tolerances as log distances, and limits of the consensus.
 ISOTROPY, KEEP, PLAN_SPREAD, ROOM_GAP = 0.05, 0.25, 0.22, 0.03
 CONFIDENCE_FLOOR, MIN_ROOMS, SPREAD_LIMIT, FOOTPRINT_TO_LABELS = 0.5, 3, 0.45, 0.7
@@ -23,16 +25,14 @@ def log_gap(a: Column, b: Column) -> Column:
 def robust(samples: Column) -> Column:
     """struct<value, median, spread, samples, kept>: the median of the positive finite samples within KEEP of their median; null for none."""
     good = F.array_sort(F.filter(samples, lambda v: v.isNotNull() & ~F.isnan(v) & (v > 0) & (v < float("inf"))))
-    median = upper_median(good)
-    kept = F.filter(good, lambda v: log_gap(v, median) <= KEEP)
-    out = F.struct(
-        F.coalesce(upper_median(kept), median).alias("value"),
-        median.alias("median"),
-        (F.array_max(good) / F.array_min(good)).alias("spread"),
-        F.size(good).alias("samples"),
-        F.size(kept).alias("kept"),
-    )
-    return F.when(F.size(good) > 0, out)
+
+    def told(g: Column, median: Column) -> Column:
+        return let(
+            F.filter(g, lambda v: log_gap(v, median) <= KEEP),
+            lambda kept: F.struct(F.coalesce(upper_median(kept), median).alias("value"), median.alias("median"), (F.get(g, F.size(g) - 1) / F.get(g, F.lit(0))).alias("spread"), F.size(g).alias("samples"), F.size(kept).alias("kept")),
+        )
+
+    return let(good, lambda g: F.when(F.size(g) > 0, let(upper_median(g), lambda m: told(g, m))))
 
 
 def oriented(dw: Column, dh: Column, bw: Column, bh: Column) -> Column:
@@ -50,14 +50,20 @@ def isotropy(x: Column, y: Column, tolerance: float = ISOTROPY) -> Column:
     return F.struct(F.coalesce(good & (log_gap(x, y) <= tolerance), F.lit(False)).alias("ok"), F.when(good, x / y).alias("ratio"), F.when(good, log_gap(x, y)).alias("log_distance"))
 
 
+def _room(dw: Column, dh: Column, bw: Column, bh: Column, n: Column, plan: Column) -> Column:
+    def told(x: Column, y: Column) -> Column:
+        iso = isotropy(x, y)
+        one = F.when((n >= 4) & (plan["spread"] <= 2), plan["value"]).otherwise(F.sqrt(x * y))
+        return F.struct(F.when(iso["ok"], x).otherwise(one).alias("x"), F.when(iso["ok"], y).otherwise(one).alias("y"), iso["ok"].alias("ok"), iso["log_distance"].alias("log_distance"))
+
+    d = oriented(dw, dh, bw, bh)
+    return let(F.struct((d["width"] / bw).alias("x"), (d["height"] / bh).alias("y")), lambda s: told(s["x"], s["y"]))
+
+
 def room_scale(dw: Column, dh: Column, bw: Column, bh: Column, samples: Column) -> Column:
     """struct<x, y, ok, log_distance>, feet per pixel: that of each axis if they agree, else the plan's robust scale if it has four samples
     within a factor of two, else the geometric mean."""
-    d = oriented(dw, dh, bw, bh)
-    x, y = d["width"] / bw, d["height"] / bh
-    iso, plan = isotropy(x, y), robust(samples)
-    one = F.when((F.size(samples) >= 4) & (plan["spread"] <= 2), plan["value"]).otherwise(F.sqrt(x * y))
-    return F.struct(F.when(iso["ok"], x).otherwise(one).alias("x"), F.when(iso["ok"], y).otherwise(one).alias("y"), iso["ok"].alias("ok"), iso["log_distance"].alias("log_distance"))
+    return let(robust(samples), lambda plan: _room(dw, dh, bw, bh, F.size(samples), plan))
 
 
 def decide(dw: Column, dh: Column, bw: Column, bh: Column, others: Column) -> Column:
@@ -65,23 +71,31 @@ def decide(dw: Column, dh: Column, bw: Column, bh: Column, others: Column) -> Co
 
     A room more than PLAN_SPREAD from the others is flagged; with four samples within a factor of two the others stay in force.
     """
-    room, plan = room_scale(dw, dh, bw, bh, others), robust(others)
-    known = (F.size(others) >= 2) & plan.isNotNull()
-    gap = F.when(known, log_gap(room["x"], plan["value"])).otherwise(F.lit(0.0))
-    apart = known & (gap > PLAN_SPREAD)
-    held = apart & (F.size(others) >= 4) & (plan["spread"] <= 2)
-    inner = F.when(room["ok"], F.lit("ok")).when(room["log_distance"] > 0.25, F.lit("check")).otherwise(F.lit("note"))
-    return F.struct(
-        F.when(held, plan["value"]).otherwise(room["x"]).alias("x"),
-        F.when(held, plan["value"]).otherwise(room["y"]).alias("y"),
-        (~held).alias("adopted"),
-        F.when(apart, F.lit("check")).otherwise(inner).alias("level"),
-        F.when(apart, F.lit("room-vs-project")).when(~room["ok"], F.lit("room-internal")).alias("reason"),
-        F.when(apart, gap).when(room["ok"], F.lit(0.0)).otherwise(room["log_distance"]).alias("disagreement"),
-        room["x"].alias("room_scale"),
-        F.when(known, plan["value"]).alias("project_scale"),
-        F.floor(F.size(others) / 2).cast("bigint").alias("room_count"),
-    )
+    return let(robust(others), lambda plan: decide_by(dw, dh, bw, bh, F.size(others), plan))
+
+
+def decide_by(dw: Column, dh: Column, bw: Column, bh: Column, n: Column, plan: Column) -> Column:
+    """decide(), where robust() of the n other samples is a column already."""
+
+    def told(room: Column) -> Column:
+        known = (n >= 2) & plan.isNotNull()
+        gap = F.when(known, log_gap(room["x"], plan["value"])).otherwise(F.lit(0.0))
+        apart = known & (gap > PLAN_SPREAD)
+        held = apart & (n >= 4) & (plan["spread"] <= 2)
+        inner = F.when(room["ok"], F.lit("ok")).when(room["log_distance"] > 0.25, F.lit("check")).otherwise(F.lit("note"))
+        return F.struct(
+            F.when(held, plan["value"]).otherwise(room["x"]).alias("x"),
+            F.when(held, plan["value"]).otherwise(room["y"]).alias("y"),
+            (~held).alias("adopted"),
+            F.when(apart, F.lit("check")).otherwise(inner).alias("level"),
+            F.when(apart, F.lit("room-vs-project")).when(~room["ok"], F.lit("room-internal")).alias("reason"),
+            F.when(apart, gap).when(room["ok"], F.lit(0.0)).otherwise(room["log_distance"]).alias("disagreement"),
+            room["x"].alias("room_scale"),
+            F.when(known, plan["value"]).alias("project_scale"),
+            F.floor(n / 2).cast("bigint").alias("room_count"),
+        )
+
+    return let(_room(dw, dh, bw, bh, n, plan), told)
 
 
 def percent_apart(log_distance: Column) -> Column:
