@@ -249,7 +249,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents of docs that have a language, by at least this share of their letters. Columns stay as they are, whatever their names."""
     field = train(docs.select("doc_id", "text", "lang"))
     names = docs.columns

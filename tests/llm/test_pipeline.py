@@ -18,7 +18,7 @@ def test_stages_against_brute_force(spark):
     import pyarrow as pa
 
     best, share = field.read(pa.array([r[1] for r in rows]))
-    rows = [r for r, b, s in zip(rows, best, share) if b >= 0 and s >= 0.5]
+    rows = [r for r, b, s in zip(rows, best, share) if b >= 0 and s >= 0.3]
     # lines
     gone = dup_lines([(r[0], r[1]) for r in rows])
     kept = []
