@@ -1,6 +1,6 @@
 """Queries of the engine over the star-schema tables."""
 
-from plumbline.plans import areas, choice, detection, dimensions, lifecycle, rasters, scales, spatial  # noqa: F401
+from plumbline.plans import areas, choice, detection, dimensions, lifecycle, rasters, reports, scales, spatial  # noqa: F401
 from plumbline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
