@@ -169,3 +169,54 @@ def components(runs: DataFrame, plan: list[str], work, diagonal: bool = False) -
             break
         label = now.drop("old")
     return one.join(now.select(*plan, "id", "root"), [*plan, "id"])
+
+
+# Grey pixels in long form: (plan..., y, x, gray).
+
+
+def luma(r: Column, g: Column, b: Column) -> Column:
+    """Integer luma of three bytes."""
+    return F.shiftright(77 * r + 150 * g + 29 * b, 8)
+
+
+def binarized(cells: DataFrame, plan: list[str], threshold: Column) -> DataFrame:
+    """cells with ink: what is darker than the threshold, or what is lighter where most is darker."""
+    dark = (F.col("gray") < threshold).cast("int")
+    whole = W.partitionBy(*plan)
+    return cells.withColumn("_d", dark).withColumn("ink", F.when(F.sum("_d").over(whole) * 2 > F.count("*").over(whole), 1 - F.col("_d")).otherwise(F.col("_d"))).drop("_d")
+
+
+def stretched(cells: DataFrame, plan: list[str], lo: float, hi: float) -> DataFrame:
+    """gray drawn out so that the levels at two shares of the pixels become 0 and 255."""
+    h = histogram(cells, plan)
+    upto = F.sum("n").over(W.partitionBy(*plan).orderBy("level").rowsBetween(W.unboundedPreceding, 0))
+    at = h.withColumns({"c": upto, "t": F.sum("n").over(W.partitionBy(*plan))}).groupBy(*plan).agg(F.min(F.when(F.col("c") >= lo * F.col("t"), F.col("level"))).alias("_a"), F.min(F.when(F.col("c") >= hi * F.col("t"), F.col("level"))).alias("_b"))
+    new = F.when(F.col("_b") > F.col("_a"), F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("gray") - F.col("_a")) * 255 / (F.col("_b") - F.col("_a")))))).otherwise(F.col("gray"))
+    return cells.join(at, plan).withColumn("gray", new.cast("bigint")).drop("_a", "_b")
+
+
+def cropped(runs: DataFrame, plan: list[str], x0: int, y0: int, x1: int, y1: int) -> DataFrame:
+    """The ink inside a box, with the box's corner as origin."""
+    cut = runs.filter(F.col("y").between(y0, y1) & (F.col("x1") >= x0) & (F.col("x0") <= x1))
+    return cut.select(*plan, (F.col("y") - y0).alias("y"), (F.greatest(F.col("x0"), F.lit(x0)) - x0).alias("x0"), (F.least(F.col("x1"), F.lit(x1)) - x0).alias("x1"))
+
+
+def turned(runs: DataFrame, plan: list[str], width: int, height: int, clockwise: bool = True) -> DataFrame:
+    """The ink turned by a right angle."""
+    cell = pixels(runs, [*plan, "y"])
+    x, y = (F.lit(height - 1) - F.col("y"), F.col("x")) if clockwise else (F.col("y"), F.lit(width - 1) - F.col("x"))
+    return islands(cell.select(*plan, y.alias("y"), x.alias("x")), [*plan, "y"], "x")
+
+
+def pooled(cells: DataFrame, plan: list[str], factor: int) -> DataFrame:
+    """Cells of factor by factor pixels: ink if any pixel is, gray as the mean, halves up. cells: y, x, ink, gray."""
+    at = [F.floor(F.col(c) / factor).alias(c) for c in ("y", "x")]
+    return cells.groupBy(*plan, *at).agg(F.max("ink").alias("ink"), F.floor(F.avg("gray") + 0.5).cast("bigint").alias("gray"))
+
+
+def speckle(cells: DataFrame, plan: list[str]) -> DataFrame:
+    """(plan..., speckle): the share of ink pixels without ink beside, above or below them. cells: y, x of ink."""
+    row, col = W.partitionBy(*plan, "y").orderBy("x"), W.partitionBy(*plan, "x").orderBy("y")
+    near = lambda c, w: (F.coalesce(F.col(c) - F.lag(c).over(w) == 1, F.lit(False))) | (F.coalesce(F.lead(c).over(w) - F.col(c) == 1, F.lit(False)))
+    alone = ~near("x", row) & ~near("y", col)
+    return cells.select(*plan, "y", "x").withColumn("_a", alone.cast("int")).groupBy(*plan).agg(F.avg("_a").alias("speckle"))

@@ -32,3 +32,39 @@ def traced_floors(spark: SparkSession, d: str) -> DataFrame:
     """Each house's outline, found again in its drawing: its outer faces stand half a wall outside the shape."""
     f = detect.floors(images.drawn(outlines(spark, d), 300, 260, THICK))
     return f.select("plan_id", "floor", F.round("area_px", 3).alias("area_px"), F.size("ring").alias("corners"))
+
+
+PPF = 8.0
+
+
+@query("""
+WITH m AS (SELECT s_suppkey AS k, 160 + (s_suppkey * 7) % 100 AS w0, 120 + (s_suppkey * 13) % 90 AS h0 FROM supplier) SELECT k AS plan_id, 8.0::DOUBLE AS ppf, 'ok' AS level, 'auto-consensus' AS reason, 4::BIGINT AS room_count FROM m""")
+def auto_scale(spark: SparkSession, d: str) -> DataFrame:
+    """Each house divided in four rooms, whose printed lengths are those of their inner faces at 8 pixels a foot: the scale found is that again."""
+    import numpy as np
+    import pandas as pd
+
+    from plumbline.operators import rooms
+
+    k = F.col("s_suppkey")
+    w, h = 160 + (k * 7) % 100, 120 + (k * 13) % 90
+    house = V.read(spark, d, "supplier").select(k.alias("plan_id"), (w - w % 2).cast("int").alias("w"), (h - h % 2).cast("int").alias("h"))
+
+    def draw(frames):
+        for f in frames:
+            for r in f.itertuples():
+                x, y, x1, y1 = 20, 20, 20 + r.w, 20 + r.h
+                mx, my = x + r.w // 2, y + r.h // 2
+                page = images.drawing([np.array([(x, y), (x1, y), (x1, y1), (x, y1)]), np.array([(mx, y), (mx, y1)]), np.array([(x, my), (x1, my)])], 300, 260, THICK)
+                yield pd.DataFrame({"plan_id": [r.plan_id], "width": [300], "height": [260], "data": [page.tobytes()]})
+
+    pages = house.mapInPandas(draw, "plan_id bigint, width int, height int, data binary")
+    left, top = F.floor(F.col("w") / 2), F.floor(F.col("h") / 2)
+    side = lambda name, x, y, dw, dh: F.struct(F.lit(name).cast("bigint").alias("label_id"), F.lit(f"Room {name}").alias("name"), x.cast("double").alias("x"), y.cast("double").alias("y"), ((dw - THICK) / PPF).alias("dim_w"), ((dh - THICK) / PPF).alias("dim_h"))
+    right, low = F.col("w") - left, F.col("h") - top
+    four = F.array(
+        side(0, 20 + left / 2, 20 + top / 2, left, top), side(1, 20 + left + right / 2, 20 + top / 2, right, top), side(2, 20 + left / 2, 20 + top + low / 2, left, low), side(3, 20 + left + right / 2, 20 + top + low / 2, right, low)
+    )
+    marks = house.select("plan_id", F.explode(four).alias("m")).select("plan_id", "m.*")
+    feet = house.select("plan_id", (F.col("w") * F.col("h")).cast("double").alias("area_px"))
+    return rooms.auto_scale(pages, marks, feet).select("plan_id", F.round("ppf", 6).alias("ppf"), "level", "reason", "room_count")

@@ -118,3 +118,27 @@ def ink_components(spark: SparkSession, d: str) -> DataFrame:
 
     out = R.components(runs(spark, d).filter("y < 60"), PLAN, Workspace(spark, "components"))
     return out.groupBy("plan_id", "root").agg(F.sum(F.col("x1") - F.col("x0") + 1).cast("bigint").alias("size"))
+
+
+@query(_CELLS + """, t AS (SELECT *, n % 3 AS r FROM c), b AS (SELECT *, CASE WHEN 2 * sum((gray < 12)::INTEGER) OVER (PARTITION BY plan_id) > count(*) OVER (PARTITION BY plan_id) THEN 1 - (gray < 12)::INTEGER ELSE (gray < 12)::INTEGER END AS ink FROM t)
+SELECT plan_id, y // 3 AS y, x // 3 AS x, max(ink) AS ink, floor(avg(gray) + 0.5)::BIGINT AS gray FROM b GROUP BY ALL""")
+def pooled_pixels(spark: SparkSession, d: str) -> DataFrame:
+    c = R.binarized(cells(spark, d).drop("n"), PLAN, F.lit(12))
+    return R.pooled(c, PLAN, 3)
+
+
+@query(_CELLS + """, h AS (SELECT plan_id, gray, count(*) AS n FROM c GROUP BY ALL), u AS (SELECT *, sum(n) OVER (PARTITION BY plan_id ORDER BY gray) AS k, sum(n) OVER (PARTITION BY plan_id) AS t FROM h),
+l AS (SELECT plan_id, min(gray) FILTER (WHERE k >= 0.05 * t) AS a, min(gray) FILTER (WHERE k >= 0.95 * t) AS b FROM u GROUP BY plan_id)
+SELECT plan_id, y, x, greatest(0, least(255, floor((gray - a) * 255 / (b - a))))::BIGINT AS gray FROM c JOIN l USING (plan_id)""")
+def stretched_pixels(spark: SparkSession, d: str) -> DataFrame:
+    return R.stretched(cells(spark, d).drop("n"), PLAN, 0.05, 0.95).select("plan_id", "y", "x", "gray")
+
+
+@query(_CELLS + ", k AS (SELECT plan_id, x - 20 AS y, 79 - (y - 10) AS x FROM c WHERE y BETWEEN 10 AND 89 AND x BETWEEN 20 AND 139) " + _RUNS.format("k"))
+def turned_crop(spark: SparkSession, d: str) -> DataFrame:
+    return _long(R.turned(R.cropped(runs(spark, d), PLAN, 20, 10, 139, 89), PLAN, 120, 80))
+
+
+@query(_CELLS + " SELECT plan_id, round(avg((NOT EXISTS (SELECT 1 FROM c b WHERE b.plan_id = c.plan_id AND abs(b.x - c.x) + abs(b.y - c.y) = 1))::INTEGER), 9) AS speckle FROM c GROUP BY plan_id")
+def speckle(spark: SparkSession, d: str) -> DataFrame:
+    return R.speckle(cells(spark, d), PLAN).withColumn("speckle", F.round("speckle", 9))
