@@ -96,13 +96,25 @@ def candidates(images: DataFrame) -> DataFrame:
     return images.select("plan_id", "width", "height", "data").mapInPandas(run, CANDIDATES)
 
 
-def floors(images: DataFrame) -> DataFrame:
-    """(plan_id, floor, ring, area_px, radius, score, confidence, codes): the outlines of a drawing in original pixels, in reading order."""
+def fitted(c: DataFrame, points: DataFrame) -> DataFrame:
+    """c with fit: of the points (plan_id, x, y, in original pixels) that any candidate of a network holds, the share that each one holds; null where there are none."""
+    at = F.struct((F.col("x") * F.col("scale")).alias("x"), (F.col("y") * F.col("scale")).alias("y"))
+    pair = c.select("plan_id", "net", "radius", "ring", "scale").join(points.withColumn("p", F.monotonically_increasing_id()), "plan_id").withColumn("in", geom.in_ring(at, F.col("ring")).cast("int"))
+    known = pair.withColumn("any", F.max("in").over(W.partitionBy("plan_id", "net", "p"))).filter("any = 1")
+    return c.join(known.groupBy("plan_id", "net", "radius").agg(F.avg("in").alias("fit")), ["plan_id", "net", "radius"], "left")
+
+
+def floors(images: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    """(plan_id, floor, ring, area_px, radius, score, confidence, codes): the outlines of a drawing in original pixels, in reading order.
+
+    points: plan_id, x, y of places known to be inside, as labels of rooms are; candidates that hold more of them score higher.
+    """
     by = ["plan_id", "net"]
     c = candidates(images)
     whole = ranking.ladder_reference(c, by)
     none = F.lit(None).cast("double")
-    c = c.join(whole, by).withColumns({"completeness": F.least(F.lit(1.0), F.col("area") / F.col("reference")), "fit": none, "brush_fit": none, "variant": F.lit("all"), "policy": F.lit("weld"), "drawn": F.lit(False)})
+    c = fitted(c, points) if points is not None else c.withColumn("fit", none)
+    c = c.join(whole, by).withColumns({"completeness": F.least(F.lit(1.0), F.col("area") / F.col("reference")), "brush_fit": none, "variant": F.lit("all"), "policy": F.lit("weld"), "drawn": F.lit(False)})
     best = ranking.confidence(ranking.pick(ranking.score(c), by).filter("place = 1"))
     ring = F.transform("ring", lambda p: F.struct((p["x"] / F.col("scale")).alias("x"), (p["y"] / F.col("scale")).alias("y")))
     out = best.withColumn("ring", ring)
