@@ -61,18 +61,21 @@ def duplicate_lines(docs: DataFrame, work: Workspace, key: str = "doc_id", text:
     held = lines.alias("l").join(suspects.alias("s"), on).select("s.h1", "s.h2", "s.first", "l.line").dropDuplicates(["h1", "h2"])
     held = work.save(held, "held")
 
-    # variants: z() of place and character, 44 bits each, so that sums of up to a million of characters fit
+    # variants: z() of place and character, 44 bits each, so that sums of up to a million of characters fit. Lines are dealt out
+    # before they are taken apart, by a fixed number of partitions, so that their characters needn't be
     z = lambda at, salt: F.shiftrightunsigned(F.xxhash64(F.lit(salt), at, F.col("c")), 20)
-    chars = held.select("h1", "h2", "first", F.length("line").alias("n"), F.posexplode(F.split("line", "")).alias("i", "c")).filter(F.col("i") < F.col("n"))
+    dealt = held.repartition(int(work.spark.conf.get("spark.sql.shuffle.partitions")), "h1", "h2")
+    chars = dealt.select("h1", "h2", "first", F.length("line").alias("n"), F.posexplode(F.split("line", "")).alias("i", "c")).filter(F.col("i") < F.col("n"))
     upto = W.partitionBy("h1", "h2").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     sums = {f"{a}{s}": F.sum(z(F.col("i") - int(a == "b"), s)).over(upto) for a in "ab" for s in (1, 2)}
     own = {f"z{s}": z(F.col("i"), s) for s in (1, 2)}
     total = W.partitionBy("h1", "h2")
     chars = chars.withColumns(sums | own).withColumns({f"t{s}": F.max(F.struct("i", f"b{s}")).over(total)[f"b{s}"] for s in (1, 2)})
     without = [(F.col(f"a{s}") - F.col(f"z{s}") + F.col(f"t{s}") - F.col(f"b{s}")).alias(f"v{s}") for s in (1, 2)]
-    deleted = chars.select("h1", "h2", "first", F.col("i").alias("place"), *without)
-    whole = chars.filter(F.col("i") == F.col("n") - 1).select("h1", "h2", "first", F.lit(-1).alias("place"), F.col("a1").alias("v1"), F.col("a2").alias("v2"))
-    variants = deleted.unionByName(whole)
+    deleted = F.struct(F.col("i").alias("place"), *without)
+    whole = F.struct(F.lit(-1).alias("place"), F.col("a1").alias("v1"), F.col("a2").alias("v2"))
+    each = F.explode(F.when(F.col("i") == F.col("n") - 1, F.array(deleted, whole)).otherwise(F.array(deleted)))
+    variants = chars.select("h1", "h2", "first", each.alias("v")).select("h1", "h2", "first", "v.place", "v.v1", "v.v2")
     bucket, place = W.partitionBy("v1", "v2"), W.partitionBy("v1", "v2", "place")
     met = variants.withColumns(
         {
@@ -88,7 +91,8 @@ def duplicate_lines(docs: DataFrame, work: Workspace, key: str = "doc_id", text:
     near = near.filter(F.levenshtein("p.line", "t.other", 1).between(0, 1)).select("h1", "h2").distinct().withColumn("near", F.lit(True))
 
     # an occurrence goes if it isn't the line's first, or if the line has an earlier partner
-    heads = distinct.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").filter("n > 1 OR near")
+    # (written, so that the join has a plain side each and Spark can split the partition of a line that is everywhere)
+    heads = work.save(distinct.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").filter("n > 1 OR near"), "heads")
     thin = _lines(given).select("doc", "tx", "ln", *h)
     gone = thin.join(heads, ["h1", "h2"]).filter(F.coalesce("near", F.lit(False)) | ~F.struct("doc", "tx", "ln").eqNullSafe(F.col("first")))
     return gone.select("doc", "tx", "ln")
