@@ -63,11 +63,19 @@ def perimeter(ring: Column, fx: Column | float = 1.0, fy: Column | float = 1.0)
 
 def centroid(ring: Column) -> Column:
     """The centre of area; the mean of the vertices where there is next to none; the origin for no vertices."""
-    a, n = over_edges(ring, cross) / 2, F.size(ring)
-    moment = lambda k: over_edges(ring, lambda p, q: (p[k] + q[k]) * cross(p, q)) / (6 * a)
-    mean = lambda k: F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[k]) / n
-    zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    return F.when(ring.isNull() | (n == 0), zero).when(F.abs(a) < FLAT_AREA, F.struct(mean("x").alias("x"), mean("y").alias("y"))).otherwise(F.struct(moment("x").alias("x"), moment("y").alias("y")))
+    n, zero = F.size(ring), F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    sums = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def step(s: Column, e: Column) -> Column:
+        return F.struct((s["a"] + e["c"]).alias("a"), (s["x"] + (e["p"]["x"] + e["q"]["x"]) * e["c"]).alias("x"), (s["y"] + (e["p"]["y"] + e["q"]["y"]) * e["c"]).alias("y"))
+
+    def told(s: Column) -> Column:
+        flat = F.abs(s["a"]) / 2 < FLAT_AREA
+        mean = lambda k: F.aggregate(ring, F.lit(0.0), lambda t, p: t + p[k]) / n
+        return F.when(flat, F.struct(mean("x").alias("x"), mean("y").alias("y"))).otherwise(F.struct((s["x"] / (3 * s["a"])).alias("x"), (s["y"] / (3 * s["a"])).alias("y")))
+
+    pairs = F.zip_with(ring, following(ring), lambda p, q: F.struct(p.alias("p"), q.alias("q"), cross(p, q).alias("c")))
+    return F.when(ring.isNull() | (n == 0), zero).otherwise(let(F.aggregate(pairs, sums, step), told))
 
 
 def bounds(ring: Column) -> Column:
@@ -101,10 +109,11 @@ def on_segment(p: Column, q: Column, r: Column) -> Column:
 
 
 def segments_cross(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Whether the segments a b and c d have a point in common."""
+    """Whether the segments a b and c d have a point in common. Their boxes are looked at first: most pairs are apart."""
     o = [orientation(a, b, c), orientation(a, b, d), orientation(c, d, a), orientation(c, d, b)]
     touch = ((o[0] == 0) & on_segment(a, c, b)) | ((o[1] == 0) & on_segment(a, d, b)) | ((o[2] == 0) & on_segment(c, a, d)) | ((o[3] == 0) & on_segment(c, b, d))
-    return ((o[0] != o[1]) & (o[2] != o[3])) | touch
+    apart = lambda k: (F.greatest(a[k], b[k]) < F.least(c[k], d[k]) - 1e-6) | (F.greatest(c[k], d[k]) < F.least(a[k], b[k]) - 1e-6)
+    return ~(apart("x") | apart("y")) & (((o[0] != o[1]) & (o[2] != o[3])) | touch)
 
 
 def folds_back(a: Column, b: Column, c: Column) -> Column:

@@ -40,7 +40,7 @@ def transposed(runs: DataFrame, plan: list[str]) -> DataFrame:
 def dilate_rows(runs: DataFrame, plan: list[str], r: int, width: int) -> DataFrame:
     """Ink wherever there is some within r along the row, inside the width."""
     grown = runs.select(*plan, "y", F.greatest(F.col("x0") - r, F.lit(0)).alias("x0"), F.least(F.col("x1") + r, F.lit(width - 1)).alias("x1"))
-    return merged(grown, [*plan, "y"])
+    return merged(grown.filter("x0 <= x1"), [*plan, "y"])
 
 
 def erode_rows(runs: DataFrame, plan: list[str], r: int) -> DataFrame:

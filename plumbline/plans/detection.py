@@ -22,7 +22,7 @@ def outlines(spark: SparkSession, d: str) -> DataFrame:
     from plumbline.functions.geom import point
 
     ell = F.array(point(x0, y0), point(x0 + w, y0), point(x0 + w, y0 + h / 2), point(x0 + w / 2, y0 + h / 2), point(x0 + w / 2, y0 + h), point(x0, y0 + h))
-    return V.read(spark, d, "supplier").select(k.alias("plan_id"), F.when(k % 2 == 0, ell).otherwise(V.rectangle(x0, y0, x0 + w, y0 + h)).alias("ring"))
+    return V.spread(V.read(spark, d, "supplier").select("s_suppkey")).select(k.alias("plan_id"), F.when(k % 2 == 0, ell).otherwise(V.rectangle(x0, y0, x0 + w, y0 + h)).alias("ring"))
 
 
 @query("""
@@ -48,7 +48,7 @@ def auto_scale(spark: SparkSession, d: str) -> DataFrame:
 
     k = F.col("s_suppkey")
     w, h = 160 + (k * 7) % 100, 120 + (k * 13) % 90
-    house = V.read(spark, d, "supplier").select(k.alias("plan_id"), (w - w % 2).cast("int").alias("w"), (h - h % 2).cast("int").alias("h"))
+    house = V.spread(V.read(spark, d, "supplier").select("s_suppkey")).select(k.alias("plan_id"), (w - w % 2).cast("int").alias("w"), (h - h % 2).cast("int").alias("h"))
 
     def draw(frames):
         for f in frames:

@@ -12,14 +12,14 @@ from plumbline.plans.registry import query
 #: The raster of events: users down, hours across; several plans by the month's thirds.
 WIDTH, HEIGHT = 240, 150
 _CELLS = f"""
-WITH e AS (SELECT user_id AS y, floor((epoch(ts) - 1704067200) / 3600)::BIGINT AS h, value FROM events), c AS (SELECT h // {WIDTH} AS plan_id, y, h % {WIDTH} AS x, count(*) AS n, least(255, floor(max(value)))::BIGINT AS gray FROM e GROUP BY ALL)"""
+WITH e AS (SELECT user_id AS y, floor((epoch(ts) - 1704067200) / 3600)::BIGINT AS h, value FROM events), c AS (SELECT h // {WIDTH} + 1000 * (y // {HEIGHT}) AS plan_id, y % {HEIGHT} AS y, h % {WIDTH} AS x, count(*) AS n, least(255, floor(max(value)))::BIGINT AS gray FROM e GROUP BY ALL)"""
 _GRID = f", g AS (SELECT p.plan_id, y.y, x.x, c.plan_id IS NOT NULL AS ink FROM (SELECT DISTINCT plan_id FROM c) p, range(-4, {HEIGHT + 4}) y(y), range(-4, {WIDTH + 4}) x(x) LEFT JOIN c ON c.plan_id = p.plan_id AND c.y = y.y AND c.x = x.x)"
 _RUNS = "SELECT plan_id, y, min(x) AS x0, max(x) AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY plan_id, y ORDER BY x) AS k FROM {0}) GROUP BY plan_id, y, k"
 PLAN = ["plan_id"]
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    return V.cells(spark, d).select(F.floor(F.col("x") / WIDTH).alias("plan_id"), "y", (F.col("x") % WIDTH).alias("x"), "n", "gray")
+    return V.cells(spark, d).select((F.floor(F.col("x") / WIDTH) + 1000 * F.floor(F.col("y") / HEIGHT)).alias("plan_id"), (F.col("y") % HEIGHT).alias("y"), (F.col("x") % WIDTH).alias("x"), "n", "gray")
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:

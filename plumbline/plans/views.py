@@ -12,6 +12,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out to all cores if its files give fewer tasks than there are: a single small file is one task otherwise. Large tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def hundredths(x: Column) -> Column:
     return F.floor(x * 100 + 0.5).cast("bigint")
 
@@ -19,14 +25,16 @@ def hundredths(x: Column) -> Column:
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each line item: plan, line, part, the two printed lengths, small numbers from discount and tax, flag and type."""
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_size").cast("double").alias("h_ft"), F.col("p_type").alias("ptype"))
-    line = read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("plan_id"),
-        F.col("l_linenumber").cast("bigint").alias("line"),
-        F.col("l_partkey").alias("part"),
-        F.col("l_quantity").alias("w_ft"),
-        hundredths(F.col("l_discount")).alias("disc"),
-        hundredths(F.col("l_tax")).alias("tax"),
-        F.col("l_returnflag").alias("flag"),
+    line = spread(
+        read(spark, sf_dir, "lineitem").select(
+            F.col("l_orderkey").alias("plan_id"),
+            F.col("l_linenumber").cast("bigint").alias("line"),
+            F.col("l_partkey").alias("part"),
+            F.col("l_quantity").alias("w_ft"),
+            hundredths(F.col("l_discount")).alias("disc"),
+            hundredths(F.col("l_tax")).alias("tax"),
+            F.col("l_returnflag").alias("flag"),
+        )
     )
     return line.join(part, "part").withColumn("ppf", F.lit(10) + F.col("plan_id") % 11)
 
