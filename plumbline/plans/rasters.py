@@ -113,10 +113,10 @@ SELECT plan_id, root, count(*) AS size FROM m GROUP BY ALL"""
 
 @query(_COMPONENTS)
 def ink_components(spark: SparkSession, d: str) -> DataFrame:
-    """(plan_id, root, size) of the 4-connected components of the upper part."""
+    """(plan_id, root, size) of the 4-connected components."""
     from plumbline.sources.tables import Workspace
 
-    out = R.components(runs(spark, d).filter("y < 60"), PLAN, Workspace(spark, "components"))
+    out = R.components(runs(spark, d), PLAN, Workspace(spark, "components"))
     return out.groupBy("plan_id", "root").agg(F.sum(F.col("x1") - F.col("x0") + 1).cast("bigint").alias("size"))
 
 
