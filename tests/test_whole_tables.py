@@ -2,8 +2,12 @@
 
 import datetime as dt
 import random
+from collections import Counter
 
 from plumbline.plans import QUERIES
+from plumbline.plans import views as V
+
+DATA = "/root/testdata/sf0.001"
 
 
 
@@ -25,3 +29,17 @@ def test_components_of_whole_rasters(spark, tmp_path):
                     todo.append(n)
         want.append((p, min(part), len(part)))
     assert got == sorted(want) and (0, 50 * 1048576 + 45, 100) in got
+
+
+def test_labels_of_odd_and_even_lines(spark):
+    told = {
+        "BASEMENT": ("area", "basement"), "2nd  Floor": ("area", "2nd floor"), "GARAGE 20' x 9'": ("exterior", "garage"), "Main Level": ("area", "main level"), "Sun Deck": ("exterior", "sundeck"),
+        "Lower lvl": ("area", "lower lvl"), "Swimming  Pool": ("exterior", "swimmingpool"), "floor 3": ("area", "floor 3"), "COVERED PORCH": ("exterior", "porch"), "garden level": ("area", "garden level"),
+    }
+    want = Counter()
+    for r in V.distinct_items(spark, DATA).select("plan_id", "part", "disc").collect():
+        text = V.LABELS[r.part % len(V.LABELS)]
+        if text in told and r.disc <= 8:
+            want[(r.plan_id, *told[text])] += 1
+    got = {(r.plan_id, r.kind, r.keyword): r.n for r in QUERIES["labels_found"](spark, DATA).collect()}
+    assert got == dict(want) and {k[1:] for k in got} == set(told.values())
