@@ -9,9 +9,10 @@ put in, taken out or replaced) of it. Three steps:
 3. Those emit the hash of every variant with one character taken out, and of the whole. Two lines whose variants at
    the same place are equal differ by a replacement there; a line that equals another's variant lacks one
    character of it. So the earliest of a bucket is a partner, and no pairs within a bucket are formed: distinct
-   lines with one variant at one place are no more than characters of the alphabet. levenshtein() verifies each pair.
+   lines with one variant at one place are no more than characters of the alphabet. Each pair is verified
+   by taking out the character at the place where its variants met: n steps, where levenshtein() takes n * n.
 
-The hash of a line with one character taken out comes from running sums over its characters, so a line of n
+The hash of a line with one character taken out comes from running exclusive ors over its characters, which can't overflow, so a line of n
 characters costs n steps, however long it is.
 """
 
@@ -61,17 +62,17 @@ def duplicate_lines(docs: DataFrame, work: Workspace, key: str = "doc_id", text:
     held = lines.alias("l").join(suspects.alias("s"), on).select("s.h1", "s.h2", "s.first", "l.line").dropDuplicates(["h1", "h2"])
     held = work.save(held, "held")
 
-    # variants: z() of place and character, 44 bits each, so that sums of up to a million of characters fit. Lines are dealt out
-    # before they are taken apart, by a fixed number of partitions, so that their characters needn't be
-    z = lambda at, salt: F.shiftrightunsigned(F.xxhash64(F.lit(salt), at, F.col("c")), 20)
+    # variants: exclusive ors of z() of place and character, which fit for lines of any length. Lines are dealt out before they are
+    # taken apart, by a fixed number of partitions, so that their characters needn't be
+    z = lambda at, salt: F.xxhash64(F.lit(salt), at, F.col("c"))
     dealt = held.repartition(int(work.spark.conf.get("spark.sql.shuffle.partitions")), "h1", "h2")
     chars = dealt.select("h1", "h2", "first", F.length("line").alias("n"), F.posexplode(F.split("line", "")).alias("i", "c")).filter(F.col("i") < F.col("n"))
     upto = W.partitionBy("h1", "h2").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    sums = {f"{a}{s}": F.sum(z(F.col("i") - int(a == "b"), s)).over(upto) for a in "ab" for s in (1, 2)}
+    sums = {f"{a}{s}": F.bit_xor(z(F.col("i") - int(a == "b"), s)).over(upto) for a in "ab" for s in (1, 2)}
     own = {f"z{s}": z(F.col("i"), s) for s in (1, 2)}
     total = W.partitionBy("h1", "h2")
     chars = chars.withColumns(sums | own).withColumns({f"t{s}": F.max(F.struct("i", f"b{s}")).over(total)[f"b{s}"] for s in (1, 2)})
-    without = [(F.col(f"a{s}") - F.col(f"z{s}") + F.col(f"t{s}") - F.col(f"b{s}")).alias(f"v{s}") for s in (1, 2)]
+    without = [reduce(Column.bitwiseXOR, [F.col(f"{c}{s}") for c in "aztb"]).alias(f"v{s}") for s in (1, 2)]
     deleted = F.struct(F.col("i").alias("place"), *without)
     whole = F.struct(F.lit(-1).alias("place"), F.col("a1").alias("v1"), F.col("a2").alias("v2"))
     each = F.explode(F.when(F.col("i") == F.col("n") - 1, F.array(deleted, whole)).otherwise(F.array(deleted)))
@@ -81,14 +82,17 @@ def duplicate_lines(docs: DataFrame, work: Workspace, key: str = "doc_id", text:
         {
             "same": F.min("first").over(place),
             "full": F.min(F.when(F.col("place") < 0, F.col("first"))).over(bucket),
-            "less": F.min(F.when(F.col("place") >= 0, F.col("first"))).over(bucket),
+            "less": F.min(F.when(F.col("place") >= 0, F.struct(F.col("first").alias("partner"), F.col("place").alias("at")))).over(bucket),
         }
     )
-    earliest = F.when(F.col("place") < 0, F.col("less")).otherwise(F.least("same", "full"))
-    pairs = met.select("h1", "h2", "first", earliest.alias("partner")).filter(F.col("partner") < F.col("first")).distinct()
+    earliest = F.when(F.col("place") < 0, F.col("less")).otherwise(F.struct(F.least("same", "full").alias("partner"), F.col("place").alias("at")))
+    pairs = met.select("h1", "h2", "first", earliest.alias("e")).filter(F.col("e.partner") < F.col("first"))
+    pairs = pairs.groupBy("h1", "h2", F.col("e.partner").alias("partner")).agg(F.min("e.at").alias("at"))
     texts = held.select(F.col("first").alias("partner"), F.col("line").alias("other"))
     near = pairs.join(held.select("h1", "h2", "line"), ["h1", "h2"]).alias("p").join(texts.alias("t"), F.col("p.partner").eqNullSafe(F.col("t.partner")))
-    near = near.filter(F.levenshtein("p.line", "t.other", 1).between(0, 1)).select("h1", "h2").distinct().withColumn("near", F.lit(True))
+    line, other = F.col("line"), F.col("other")
+    cut = lambda x: F.concat(F.substring(x, F.lit(1), F.col("at")), F.substring(x, F.col("at") + 2, F.length(x)))
+    near = near.filter((cut(line) == cut(other)) | (cut(line) == other) | (line == cut(other))).select("h1", "h2").distinct().withColumn("near", F.lit(True))
 
     # an occurrence goes if it isn't the line's first, or if the line has an earlier partner
     # (written, so that the join has a plain side each and Spark can split the partition of a line that is everywhere)
