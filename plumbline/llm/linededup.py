@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from plumbline.llm._store import Workspace
 
 MIN_CHARS = 8  # shorter lines stay: brackets, numbers, list marks
-NEAR_CHARS = 24  # shorter lines are dropped for equal ones only
+NEAR_CHARS = MIN_CHARS  # every line that can be dropped is dropped for near ones too
 
 
 def _lines(docs: DataFrame, extra: tuple = ()) -> DataFrame:
@@ -41,7 +41,7 @@ def _half_keys(line: Column) -> Column:
     n = F.length(line)
     half = lambda h: [F.xxhash64(F.lit(1), h, F.substring(line, F.lit(1), h)), F.xxhash64(F.lit(2), h, F.right(line, h))]
     long, short = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    return F.when(n < NEAR_CHARS, F.array().cast("array<bigint>")).when(long == short, F.array(*half(long))).otherwise(F.array(*half(long), *half(short)))
+    return F.when(long == short, F.array(*half(long))).otherwise(F.array(*half(long), *half(short)))
 
 
 def duplicate_lines(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,7 +118,7 @@ def _dropped(words: Column, i: Column) -> Column:
 def dedup_lines(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the dropped lines; a document of which nothing but blank lines is left by that goes.
 
-    Lines of fewer than MIN_CHARS characters, trimmed, stay, and those of fewer than NEAR_CHARS are compared for equality alone.
+    Lines of fewer than MIN_CHARS characters, trimmed, stay.
     Documents go by key, null first, and equal keys by a hash of the text; rows that repeat key and text are one document and share
     its verdict. A null text stays null and an empty one empty. Columns keep their names, order and other values, whatever they are
     called. An empty table gives an empty one.

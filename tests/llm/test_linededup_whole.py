@@ -14,3 +14,22 @@ def test_near_copies_of_over_a_million_characters(spark):
     k = 700_000
     docs = [(1, long), (2, long[:k] + "Q" + long[k:]), (3, long[:k] + "R" + long[k + 1 :]), (4, long[:k] + "QRS" + long[k:])]
     assert gone(spark, docs) == {(2, 0), (3, 0)}
+
+
+def test_short_lines_within_one_edit(spark):
+    assert gone(spark, [(1, "Subscribe to our blog."), (2, "Subscribe to our blog!"), (3, "Subscribe to our blogs!!"), (4, "abcdefg\nabcdefgh"), (5, "abcdefgx\nabcdefghi")]) == {(2, 0), (5, 0), (5, 1)}
+    rng = random.Random(6)
+    base = ["".join(rng.choices("abc ", k=rng.randint(8, 24))).strip() + "x" for _ in range(40)]
+    docs = []
+    for d in range(80):
+        s = rng.choice(base)
+        k, op = rng.randrange(len(s)), rng.choice("rid")
+        docs.append((d, s[:k] + ("" if op == "d" else rng.choice("abcz")) + s[k + (op != "i") :]))
+    want = set()
+    lines = [(d, t.strip()) for d, t in docs if len(t.strip()) >= 8]
+    for k, (d, s) in enumerate(lines):
+        for _, t in lines[:k]:
+            a, b = sorted((s, t), key=len)
+            if s == t or len(a) == len(b) and sum(x != y for x, y in zip(a, b)) <= 1 or any(b[:i] + b[i + 1 :] == a for i in range(len(b))):
+                want.add((d, 0))
+    assert gone(spark, docs) == want
