@@ -1,7 +1,7 @@
 """URL filters with dated lists: entries become validity intervals, and captures are joined to those active at fetch time.
 
 An entry says that from a day on a key is blocked, allowed, or off the list. Keys are a host, a domain above it, or a host and the first
-parts of a path. Per list and key, an entry holds until the next one. Intervals are cut at the borders of periods of PERIOD days, so that
+parts of a path, as many as it likes. Per list and key, an entry holds until the next one. Intervals are cut at the borders of periods of PERIOD days, so that
 a capture meets, by an equal key and period, only what is active near its day, and the as-of condition is the rest of the join: a key with
 very many entries, or very many captures, is many small groups. Of what is active the longest key decides, and of equal ones, blocking.
 """
@@ -13,7 +13,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PERIOD = 32
-PATH_PARTS = 2
 _URL = r"^(?i)[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)(?::\d*)?([^?#]*)"
 
 
@@ -22,12 +21,12 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, _URL, 1))
 
 
-def keys_of(url: Column) -> Column:
-    """array<string>: host, the domains above it of two labels or more, and the host with the first one and two parts of the path."""
+def keys_of(url: Column, deepest: int) -> Column:
+    """array<string>: host, the domains above it of two labels or more, and the host with the first parts of the path, one up to deepest."""
     host, parts = F.split(host_of(url), r"\."), F.filter(F.split(F.regexp_extract(url, _URL, 2), "/"), lambda p: p != "")
     n = F.size(host)
     above = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(host, i, n), "."))
-    paths = F.transform(F.filter(F.array(*[F.lit(k) for k in range(1, PATH_PARTS + 1)]), lambda k: k <= F.size(parts)), lambda k: F.concat_ws("/", host_of(url), F.array_join(F.slice(parts, F.lit(1), k), "/")))
+    paths = F.transform(F.filter(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(deepest))), lambda k: k > 0), lambda k: F.concat_ws("/", host_of(url), F.array_join(F.slice(parts, F.lit(1), k), "/")))
     return F.when(F.coalesce(host_of(url), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(above, paths)))
 
 
@@ -51,7 +50,8 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     null day, meets no entry. No captures give no rows, no entries only verdicts of none. Other columns aren't read.
     """
     same = captures.select("page_id", "url", "fetched_on").groupBy("page_id", "url", "fetched_on").agg(F.count("*").alias("times"))
-    wanted = same.select("page_id", "url", "fetched_on", F.explode(keys_of(F.col("url"))).alias("key"), F.floor(F.unix_date("fetched_on") / PERIOD).alias("period")).dropna(subset=["fetched_on"])
+    deepest = entries.agg(F.max(F.size(F.split("key", "/")) - 1).alias("n")).first()["n"] or 0
+    wanted = same.select("page_id", "url", "fetched_on", F.explode(keys_of(F.col("url"), deepest)).alias("key"), F.floor(F.unix_date("fetched_on") / PERIOD).alias("period")).dropna(subset=["fetched_on"])
     spread = wanted.agg(F.max("fetched_on").alias("last")).first()["last"]
     active = intervals(entries, F.lit(spread).cast("date"))
     hit = wanted.join(active, ["key", "period"]).filter((F.col("listed_on") <= F.col("fetched_on")) & (F.col("until").isNull() | (F.col("until") > F.col("fetched_on"))))
