@@ -3,8 +3,10 @@
 Texts become sequences of tokens in which numbers, names and units are typed placeholders. Windows of WINDOW tokens, with
 LITERALS of them at least that are no placeholders, meet the benchmark's by hash. What meets is grouped by document, item and diagonal
 (the difference of places), and the slots that placeholders stand for are compared: in a re-parameterised copy each
-value of the item has one value in the document. A document leaks an item if, on one diagonal with consistent slots, it
-holds CONTAINED of the item's windows, or RUN of them, a stretch of 13 tokens.
+value of the item has one value in the document. That is the value that most windows have for it, and windows with another one don't count.
+A document leaks an item if, on one diagonal, it holds CONTAINED of the item's windows, or RUN of them, a stretch of 13 tokens, that agree
+so or whose slots are all equal to the item's. Texts have windows in two forms: of all tokens, and with runs of names or of numbers as one
+placeholder, so that a value of more tokens ("twenty five" for "7") stays on the diagonal.
 
 Documents' windows that no window of the benchmark can equal are dropped where they arise, by a Bloom filter of a fixed size; the
 join is by the windows' 64-bit hashes and both sides are shuffled.
@@ -73,14 +75,30 @@ def canonical(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return token, np.where(literal, 0, word.view(np.int64) | 1), of
 
 
-def windows(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, hash, slots (n, WINDOW)) of the windows of a block of texts."""
+def merged(token: np.ndarray, slot: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with each run of names, or of numbers, of a text as one token, whose slot is a hash of its words in order."""
+    if not len(token):
+        return token, slot, of
+    lead = np.ones(len(token), bool)
+    lead[1:] = (slot[1:] == 0) | (token[1:] != token[:-1]) | ~np.isin(token[1:], B.mix(np.array([NUMBER + 1, NAME + 1], B.U)))
+    lead[of[of < len(token)]] = True
+    first = np.flatnonzero(lead)
+    upto = np.concatenate([[0], np.cumsum(lead)])
+    at_run = (np.arange(len(token)) - first[upto[1:] - 1]).astype(B.U)
+    value = np.add.reduceat(B.mix(slot.view(B.U) + at_run), first).view(np.int64) | 1
+    return token[first], np.where(slot[first] == 0, 0, value), upto[of]
+
+
+def windows(data: np.ndarray, at: np.ndarray, form: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, hash, slots (n, WINDOW)) of the windows of a block of texts; in form 1, of merged tokens."""
     token, slot, of = canonical(data, at)
+    if form:
+        token, slot, of = merged(token, slot, of)
     n = np.maximum(np.diff(of) - WINDOW + 1, 0)
     row = np.repeat(np.arange(len(n)), n)
     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     first = of[row] + place
-    h = np.zeros(len(first), B.U)
+    h = np.full(len(first), form, B.U)
     for k in range(WINDOW):
         h = h * B.U(0x100000001B3) + (token[first + k] if len(first) else token[:0])
     h = B.mix(h)
@@ -91,22 +109,22 @@ def windows(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _window_table(df: DataFrame, keep: list[str], filter_: np.ndarray | None = None) -> DataFrame:
-    """df's columns keep, and place, h, slots of each window of its text; with a filter, of those that pass it."""
+    """df's columns keep, and form, place, h, slots of each window of its text; with a filter, of those that pass it."""
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, at in B.blocks(batch.column(len(keep))):
-                row, place, h, slots = windows(data, at)
+            for (lo, hi, data, at), form in ((b, form) for b in B.blocks(batch.column(len(keep))) for form in (0, 1)):
+                row, place, h, slots = windows(data, at, form)
                 if filter_ is not None:
                     spot = h >> B.U(64 - FILTER_BITS)
                     hit = (filter_[(spot >> B.U(6)).astype(np.int64)] >> (spot & B.U(63)) & B.U(1)).astype(bool)
                     row, place, h, slots = row[hit], place[hit], h[hit], slots[hit]
                 if len(row):
                     at_row = pa.array(row + lo)
-                    yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at_row) for k in range(len(keep))], pa.array(place.astype(np.int32)), pa.array(h.view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(slots.ravel()), WINDOW).cast(pa.list_(pa.int64()))], [*keep, "place", "h", "slots"])
+                    yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at_row) for k in range(len(keep))], pa.array(np.full(len(row), form, np.int32)), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(slots.ravel()), WINDOW).cast(pa.list_(pa.int64()))], [*keep, "form", "place", "h", "slots"])
 
     source = df.select(*keep, "text")
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]], "place int, h long, slots array<long>"])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]], "form int, place int, h long, slots array<long>"])
     return source.mapInArrow(run, schema)
 
 
@@ -122,25 +140,26 @@ def _filter(bench: DataFrame) -> np.ndarray:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, tx, item_id, matched, item_windows, containment, kind) of each item that a document leaks; tx is xxhash64 of its text.
 
-    kind is exact if all slots of the matched windows are equal, else reparameterised. Items and documents of fewer than WINDOW tokens, empty
+    kind is exact if all slots of the matched windows are equal, else reparameterised; matched counts those that agree. Items and documents of fewer than WINDOW tokens, empty
     and null texts have no windows and leak nothing. Items that repeat an item_id are one item by that id, with the windows of all its
     texts. Rows that repeat key and text are one document here. An empty table on either side gives no rows. Other columns aren't read.
     """
     bench = _window_table(benchmark.select("item_id", F.xxhash64("text").alias("ix"), "text").distinct(), ["item_id", "ix"])
-    bench = bench.withColumn("item_windows", F.count("*").over(_by("item_id", "ix")))
+    bench = bench.withColumn("item_windows", F.count("*").over(_by("item_id", "ix", "form")))
     mine = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("tx"), F.col(text).alias("text"))
     hits = _window_table(mine, ["id", "tx"], _filter(bench))
     met = hits.select("id", "tx", F.col("place").alias("there"), "h", F.col("slots").alias("theirs")).join(bench, "h")
-    line = met.groupBy("id", "tx", "item_id", "ix", "item_windows", (F.col("there") - F.col("place")).alias("diagonal")).agg(
-        F.countDistinct("place").alias("matched"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("slots").alias("own"), F.col("theirs").alias("other"))))).alias("pairs")
-    )
-    pairs = F.filter("pairs", lambda p: p["own"] != 0)
-    line = line.withColumn("pairs", pairs).withColumns({
-        "consistent": F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["own"]))),
-        "exact": F.forall("pairs", lambda p: p["own"] == p["other"]),
-        "containment": F.round(F.col("matched") / F.col("item_windows"), 6),
-    })
-    leaks = line.filter(F.col("consistent") & ((F.col("containment") >= CONTAINED) | (F.col("matched") >= RUN)))
+    keys = ["id", "tx", "item_id", "ix", "form", "item_windows", "diagonal"]
+    pairs = F.filter(F.arrays_zip(F.col("slots").alias("own"), F.col("theirs").alias("other")), lambda p: p["own"] != 0)
+    line = met.withColumn("diagonal", F.col("there") - F.col("place")).groupBy(*keys).agg(F.collect_set(F.struct("place", pairs.alias("pairs"))).alias("w"))
+    enough = lambda n: (F.round(n / F.col("item_windows"), 6) >= CONTAINED) | (n >= RUN)
+    pair = line.filter(enough(F.size("w"))).select(*keys, F.explode("w").alias("w")).select(*keys, "w.place", F.explode_outer("w.pairs").alias("p")).select(*keys, "place", "p.own", "p.other")
+    pair = pair.withColumn("n", F.count("*").over(_by(*keys, "own", "other")))
+    pair = pair.withColumn("most", F.max(F.struct("n", (F.col("own") == F.col("other")).alias("equal"), "other")).over(_by(*keys, "own")))
+    each = pair.groupBy(*keys, "place").agg(*[F.coalesce(F.bool_and(c), F.lit(True)).alias(a) for a, c in (("equal", F.col("own") == F.col("other")), ("agrees", F.col("other") == F.col("most.other")))])
+    way = lambda take, exact: F.struct(F.count_if(take).alias("matched"), exact.alias("exact"))
+    ways = each.groupBy(*keys).agg(F.array(way(F.col("equal"), F.lit(True)), way(F.col("agrees"), F.count_if(F.col("agrees") & ~F.col("equal")) == 0)).alias("ways"))
+    leaks = ways.select(*keys, F.explode("ways").alias("way")).select(*keys, "way.*").filter(enough(F.col("matched"))).withColumn("containment", F.round(F.col("matched") / F.col("item_windows"), 6))
     best = leaks.groupBy("id", "tx", "item_id").agg(F.max(F.struct("containment", "matched", "exact", "item_windows")).alias("b"))
     return best.select(F.col("id").alias(key), "tx", "item_id", "b.matched", "b.item_windows", "b.containment", F.when(F.col("b.exact"), F.lit("exact")).otherwise(F.lit("reparameterised")).alias("kind"))
 
