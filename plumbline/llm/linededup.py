@@ -1,11 +1,11 @@
 """Line dedup across documents, exact and within one edit, by a deletion-neighbourhood join; built-in functions only.
 
 A line is dropped where an earlier line, by document and then by place, is equal or within one edit (a character
-put in, taken out or replaced) of it. Three steps:
+put in, taken out or replaced) of it. Blank lines part paragraphs: they are no lines here, and stay. Three steps:
 
 1. Equal lines meet by a 128-bit hash; each distinct line knows where it first stands.
-2. Two lines within one edit share the first or the last half of the shorter. Distinct lines meet by hashes of
-   their halves, and only those that meet another go on.
+2. Of three thirds of the shorter of two lines within one edit, the edit leaves two: the first two, the last two, or the first and
+   the last. Distinct lines meet by hashes of those three pairs, and only those that meet another go on.
 3. Those emit the hash of every variant with one character taken out, and of the whole. Two lines whose variants at
    the same place are equal differ by a replacement there; a line that equals another's variant lacks one
    character of it. So the earliest of a bucket is a partner, and no pairs within a bucket are formed: distinct
@@ -13,7 +13,8 @@ put in, taken out or replaced) of it. Three steps:
    by taking out the character at the place where its variants met: n steps, where levenshtein() takes n * n.
 
 The hash of a line with one character taken out comes from running exclusive ors over its characters, which can't overflow, so a line of n
-characters costs n steps, however long it is.
+characters costs n steps, however long it is. Lines are cut in pieces of PIECE characters, whose sums are joined up first: a long
+line is many tasks' work.
 """
 
 from __future__ import annotations
@@ -26,59 +27,72 @@ from pyspark.sql import functions as F
 
 from plumbline.llm._store import Workspace
 
-MIN_CHARS = 8  # shorter lines stay: brackets, numbers, list marks
-NEAR_CHARS = MIN_CHARS  # every line that can be dropped is dropped for near ones too
+MIN_CHARS = 1  # a parameter: lines of fewer characters, trimmed, stay. At 1 that is blank lines alone
+PIECE = 4096  # characters of a line that one window takes
 
 
-def _lines(docs: DataFrame, extra: tuple = ()) -> DataFrame:
+def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc, tx, ln, line: the lines, trimmed, that can be dropped. docs: doc, tx, text."""
-    out = docs.select("doc", "tx", *extra, F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
-    return out.withColumn("line", F.btrim("line", F.lit(" \t\r\f\x0b"))).filter(F.length("line") >= MIN_CHARS)
+    out = docs.select("doc", "tx", F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
+    return out.withColumn("line", F.btrim("line", F.lit(" \t\r\f\x0b"))).filter(F.length("line") >= max(1, min_chars))
 
 
-def _half_keys(line: Column) -> Column:
-    """Hashes of the first and last half, for the line as the longer and as the shorter of a pair."""
+def _third_keys(line: Column) -> Column:
+    """Hashes of the pairs of thirds, for the line as the shorter and, where thirds are others then, as the longer of a pair."""
     n = F.length(line)
-    half = lambda h: [F.xxhash64(F.lit(1), h, F.substring(line, F.lit(1), h)), F.xxhash64(F.lit(2), h, F.right(line, h))]
-    long, short = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    return F.when(long == short, F.array(*half(long))).otherwise(F.array(*half(long), *half(short)))
 
-
-def duplicate_lines(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, tx, ln): the lines to drop, by document, hash of its text, and place from 0."""
-    given = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("tx"), F.col(text).alias("text"))
-    h = [F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(7)).alias("h2")]
-    occurrences = _lines(given).select("doc", "tx", "ln", *h, _half_keys(F.col("line")).alias("halves"))
-    distinct = work.save(
-        occurrences.groupBy("h1", "h2").agg(F.min(F.struct("doc", "tx", "ln")).alias("first"), F.count("*").alias("n"), F.any_value("halves").alias("halves")), "distinct"
-    )
-    half = distinct.select("h1", "h2", "first", F.explode("halves").alias("half"))
-    met = half.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo != hi").select("half")
-    suspects = half.join(met, "half").select("h1", "h2", "first").distinct()
-    suspects = work.save(suspects.select("h1", "h2", "first", F.col("first.doc").alias("doc"), F.col("first.tx").alias("tx"), F.col("first.ln").alias("ln")), "suspects")
-    # a document that repeats with equal text gives its lines twice: distinct() again
-    lines = _lines(given.withColumnRenamed("doc", "d").withColumn("doc", F.col("d")).drop("d"))
-    on = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("doc", "tx", "ln")])
-    held = lines.alias("l").join(suspects.alias("s"), on).select("s.h1", "s.h2", "s.first", "l.line").dropDuplicates(["h1", "h2"])
-    held = work.save(held, "held")
-
-    # variants: exclusive ors of z() of place and character, which fit for lines of any length. Lines are dealt out before they are
-    # taken apart, by a fixed number of partitions, so that their characters needn't be
-    z = lambda at, salt: F.xxhash64(F.lit(salt), at, F.col("c"))
-    dealt = held.repartition(int(work.spark.conf.get("spark.sql.shuffle.partitions")), "h1", "h2")
-    chars = dealt.select("h1", "h2", "first", F.length("line").alias("n"), F.posexplode(F.split("line", "")).alias("i", "c")).filter(F.col("i") < F.col("n"))
-    upto = W.partitionBy("h1", "h2").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    sums = {f"{a}{s}": F.bit_xor(z(F.col("i") - int(a == "b"), s)).over(upto) for a in "ab" for s in (1, 2)}
-    own = {f"z{s}": z(F.col("i"), s) for s in (1, 2)}
-    total = W.partitionBy("h1", "h2")
-    chars = chars.withColumns(sums | own).withColumns({f"t{s}": F.max(F.struct("i", f"b{s}")).over(total)[f"b{s}"] for s in (1, 2)})
-    without = [reduce(Column.bitwiseXOR, [F.col(f"{c}{s}") for c in "aztb"]).alias(f"v{s}") for s in (1, 2)]
-    deleted = F.struct(F.col("i").alias("place"), *without)
-    whole = F.struct(F.lit(-1).alias("place"), F.col("a1").alias("v1"), F.col("a2").alias("v2"))
-    each = F.explode(F.when(F.col("i") == F.col("n") - 1, F.array(deleted, whole)).otherwise(F.array(deleted)))
-    variants = chars.select("h1", "h2", "first", each.alias("v")).select("h1", "h2", "first", "v.place", "v.v1", "v.v2")
+    def keys(t: Column) -> list[Column]:
+        first, last = F.substring(line, F.lit(1), t), F.right(line, t)
+        return [F.xxhash64(F.lit(1), t, F.substring(line, F.lit(1), t * 2)), F.xxhash64(F.lit(2), t, F.right(line, t * 2)), F.xxhash64(F.lit(3), t, first, last)]
+
+    short, long = F.floor((n - 1) / 3).cast("int"), F.greatest(F.floor((n - 2) / 3).cast("int"), F.lit(0))
+    return F.when(short == long, F.array(*keys(short))).otherwise(F.array(*keys(short), *keys(long)))
+
+
+def _suspects(distinct: DataFrame, work: Workspace) -> DataFrame:
+    """(h1, h2, first, doc, tx, ln) of the distinct lines that share two thirds with another."""
+    key = distinct.select("h1", "h2", "first", F.explode("keys").alias("key"))
+    met = key.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo != hi").select("key")
+    out = key.join(work.save(met, "met"), "key").select("h1", "h2", "first").distinct()
+    return work.save(out.select("h1", "h2", "first", F.col("first.doc").alias("doc"), F.col("first.tx").alias("tx"), F.col("first.ln").alias("ln")), "suspects")
+
+
+def _variants(held: DataFrame, work: Workspace) -> DataFrame:
+    """(h1, h2, first, place, v1, v2): the hash of each line of held without the character at each place from 0, and whole at place -1."""
+    z = lambda at, c, salt: F.xxhash64(F.lit(salt), at, c)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("line") - 1) / PIECE).cast("int")), lambda p: F.substring(F.col("line"), p * PIECE + 1, F.lit(PIECE)))
+    pieces = held.select("h1", "h2", "first", F.posexplode(cut).alias("p", "piece"))
+    # a character before the one taken out keeps its place, and one after it moves up by one: sums a and b
+    moved = {"a": 0, "b": 1}
+    chars = F.slice(F.split("piece", ""), F.lit(1), F.length("piece"))
+    total = lambda n, salt: F.aggregate(F.transform(chars, lambda c, i: z(F.col("p") * PIECE + i - moved[n], c, salt)), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+    sums = pieces.select("h1", "h2", "first", "p", *[total(n, s).alias(f"{n}{s}") for n in "ab" for s in (1, 2)])
+    line = W.partitionBy("h1", "h2").orderBy("p")
+    before, after, all_ = line.rowsBetween(W.unboundedPreceding, -1), line.rowsBetween(1, W.unboundedFollowing), W.partitionBy("h1", "h2")
+    none = F.lit(0).cast("long")
+    edges = sums.select(
+        "h1", "h2", "first", "p",
+        *[F.coalesce(F.bit_xor(f"a{s}").over(before), none).alias(f"before{s}") for s in (1, 2)],
+        *[F.coalesce(F.bit_xor(f"b{s}").over(after), none).alias(f"after{s}") for s in (1, 2)],
+        *[F.bit_xor(f"a{s}").over(all_).alias(f"whole{s}") for s in (1, 2)],
+    )
+    edges = work.save(edges, "edges")
+    # pieces are dealt out before they are taken apart, by a fixed number of partitions, so that their characters needn't be
+    dealt = pieces.join(edges.drop("first"), ["h1", "h2", "p"]).repartition(int(work.spark.conf.get("spark.sql.shuffle.partitions")), "h1", "h2", "p")
+    one = dealt.select("*", F.posexplode(chars).alias("i", "c")).drop("piece")
+    own = W.partitionBy("h1", "h2", "p")
+    left, right = own.orderBy("i").rowsBetween(W.unboundedPreceding, -1), own.orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, -1)
+    at = F.col("p") * PIECE + F.col("i")
+    one = one.withColumns({f"l{s}": F.coalesce(F.bit_xor(z(at, F.col("c"), s)).over(left), none) for s in (1, 2)} | {f"r{s}": F.coalesce(F.bit_xor(z(at - 1, F.col("c"), s)).over(right), none) for s in (1, 2)})
+    without = [reduce(Column.bitwiseXOR, [F.col(f"{n}{s}") for n in ("before", "l", "r", "after")]).alias(f"v{s}") for s in (1, 2)]
+    whole = edges.filter("p = 0").select("h1", "h2", "first", F.lit(-1).alias("place"), F.col("whole1").alias("v1"), F.col("whole2").alias("v2"))
+    return one.select("h1", "h2", "first", at.alias("place"), *without).unionByName(whole)
+
+
+def _near(held: DataFrame, work: Workspace) -> DataFrame:
+    """(h1, h2): the lines of held that an earlier one is within one edit of."""
     bucket, place = W.partitionBy("v1", "v2"), W.partitionBy("v1", "v2", "place")
-    met = variants.withColumns(
+    met = _variants(held, work).withColumns(
         {
             "same": F.min("first").over(place),
             "full": F.min(F.when(F.col("place") < 0, F.col("first"))).over(bucket),
@@ -92,12 +106,30 @@ def duplicate_lines(docs: DataFrame, work: Workspace, key: str = "doc_id", text:
     near = pairs.join(held.select("h1", "h2", "line"), ["h1", "h2"]).alias("p").join(texts.alias("t"), F.col("p.partner").eqNullSafe(F.col("t.partner")))
     line, other = F.col("line"), F.col("other")
     cut = lambda x: F.concat(F.substring(x, F.lit(1), F.col("at")), F.substring(x, F.col("at") + 2, F.length(x)))
-    near = near.filter((cut(line) == cut(other)) | (cut(line) == other) | (line == cut(other))).select("h1", "h2").distinct().withColumn("near", F.lit(True))
+    return near.filter((cut(line) == cut(other)) | (cut(line) == other) | (line == cut(other))).select("h1", "h2").distinct()
+
+
+def duplicate_lines(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc, tx, ln): the lines to drop, by document, hash of its text, and place from 0. Rows that repeat give theirs as often.
+
+    Null texts have no lines. A null key is a document that comes first; of documents with one key the hash of the text tells the order.
+    """
+    given = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("tx"), F.col(text).alias("text"))
+    h = [F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(7)).alias("h2")]
+    occurrences = _lines(given, min_chars).select("doc", "tx", "ln", *h, _third_keys(F.col("line")).alias("keys"))
+    distinct = work.save(
+        occurrences.groupBy("h1", "h2").agg(F.min(F.struct("doc", "tx", "ln")).alias("first"), F.count("*").alias("n"), F.any_value("keys").alias("keys")), "distinct"
+    )
+    suspects = _suspects(distinct, work)
+    on = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("doc", "tx", "ln")])
+    # a document that repeats with equal text gives its lines twice
+    held = _lines(given, min_chars).alias("l").join(suspects.alias("s"), on).select("s.h1", "s.h2", "s.first", "l.line").dropDuplicates(["h1", "h2"])
+    near = _near(work.save(held, "held"), work).withColumn("near", F.lit(True))
 
     # an occurrence goes if it isn't the line's first, or if the line has an earlier partner
     # (written, so that the join has a plain side each and Spark can split the partition of a line that is everywhere)
     heads = work.save(distinct.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").filter("n > 1 OR near"), "heads")
-    thin = _lines(given).select("doc", "tx", "ln", *h)
+    thin = _lines(given, min_chars).select("doc", "tx", "ln", *h)
     gone = thin.join(heads, ["h1", "h2"]).filter(F.coalesce("near", F.lit(False)) | ~F.struct("doc", "tx", "ln").eqNullSafe(F.col("first")))
     return gone.select("doc", "tx", "ln")
 
@@ -115,15 +147,15 @@ def _dropped(words: Column, i: Column) -> Column:
     return F.call_function("shiftrightunsigned", word, i % 64).bitwiseAND(F.lit(1).cast("long")) == 1
 
 
-def dedup_lines(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs without the dropped lines; a document of which nothing but blank lines is left by that goes.
 
-    Lines of fewer than MIN_CHARS characters, trimmed, stay.
+    Blank lines, and lines of fewer than min_chars characters, trimmed, stay.
     Documents go by key, null first, and equal keys by a hash of the text; rows that repeat key and text are one document and share
     its verdict. A null text stays null and an empty one empty. Columns keep their names, order and other values, whatever they are
     called. An empty table gives an empty one.
     """
-    bits = _bits(duplicate_lines(docs, work, key, text))
+    bits = _bits(duplicate_lines(docs, work, key, text, min_chars))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("tx"))
     on = F.col("d.doc").eqNullSafe(F.col("b.doc")) & (F.col("d.tx") == F.col("b.tx"))
     both = row.alias("d").join(bits.alias("b"), on, "left")
@@ -148,10 +180,10 @@ OP5_SQL = """
 WITH l AS (
   SELECT doc_id, ln - 1 AS ln, trim(line, E' \\t\\r\\f\\v') AS line
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents)
-), o AS (SELECT * FROM l WHERE length(line) >= 8),
+), o AS (SELECT * FROM l WHERE line <> ''),
 u AS (SELECT line, length(line) AS n, min((doc_id, ln)) AS first FROM o GROUP BY line),
 h AS (
-  SELECT *, left(line, k) AS a, right(line, k) AS z FROM (SELECT line, first, n, unnest(list_distinct([n // 2, (n - 1) // 2])) AS k FROM u WHERE n >= 24)
+  SELECT *, left(line, k) AS a, right(line, k) AS z FROM (SELECT line, first, n, unnest(list_distinct([n // 2, (n - 1) // 2])) AS k FROM u)
 ), m AS (
   SELECT x.line FROM h x JOIN h y ON x.k = y.k AND x.a = y.a AND y.first < x.first AND abs(x.n - y.n) <= 1 AND levenshtein(x.line, y.line) <= 1
   UNION SELECT x.line FROM h x JOIN h y ON x.k = y.k AND x.z = y.z AND y.first < x.first AND abs(x.n - y.n) <= 1 AND levenshtein(x.line, y.line) <= 1

@@ -20,13 +20,13 @@ def near(a, b):
 def brute(docs):
     """(doc, place) of the lines that go."""
     lines = [(d, i, s.strip(" \t\r\f\x0b")) for d, t in docs if t is not None for i, s in enumerate(t.split("\n"))]
-    lines = sorted({x for x in lines if len(x[2]) >= L.MIN_CHARS}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-    return {(d, i) for k, (d, i, s) in enumerate(lines) if any(s == t or (len(s) >= L.NEAR_CHARS and len(t) >= L.NEAR_CHARS and near(s, t)) for _, _, t in lines[:k])}
+    lines = sorted({x for x in lines if x[2]}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    return {(d, i) for k, (d, i, s) in enumerate(lines) if any(s == t or near(s, t) for _, _, t in lines[:k])}
 
 
 def fixture():
     rng = random.Random(5)
-    base = ["".join(rng.choice("abcdé ") for _ in range(rng.choice([20, 24, 25, 26, 40, 41, 120]))).strip() + "x" for _ in range(30)]
+    base = ["".join(rng.choice("abcdé ") for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 7, 8, 9, 20, 23, 24, 25, 26, 40, 41, 120]))).strip() + "x" for _ in range(60)]
     docs = []
     for d in range(60):
         lines = []

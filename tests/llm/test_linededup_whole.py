@@ -16,8 +16,24 @@ def test_near_copies_of_over_a_million_characters(spark):
     assert gone(spark, docs) == {(2, 0), (3, 0)}
 
 
+def test_lines_of_any_length_up_to_two_pieces(spark):
+    rng = random.Random(3)
+    docs, want = [], set()
+    for k, n in enumerate([*range(1, 25), L.PIECE - 1, L.PIECE, L.PIECE + 1, 2 * L.PIECE, 2_000_000]):
+        mark = chr(0x4E00 + k)  # lines of other pairs are further than an edit away
+        s = mark * 2 + "".join(rng.choices("abcdefgh é", k=n)).strip() + mark
+        at = rng.randrange(2, len(s))
+        docs += [(2 * k, s), (2 * k + 1, s[:at] + "Q" + s[at + (k % 2) :])]
+        want.add((2 * k + 1, 0))
+    assert gone(spark, docs) == want
+
+
+def test_lines_of_a_few_characters(spark):
+    assert gone(spark, [(1, "a\n\n \nab\nabc"), (2, "xyz\nx\n\nwxyz")]) == {(1, 3), (1, 4), (2, 1), (2, 3)}
+
+
 def test_short_lines_within_one_edit(spark):
-    assert gone(spark, [(1, "Subscribe to our blog."), (2, "Subscribe to our blog!"), (3, "Subscribe to our blogs!!"), (4, "abcdefg\nabcdefgh"), (5, "abcdefgx\nabcdefghi")]) == {(2, 0), (5, 0), (5, 1)}
+    assert gone(spark, [(1, "Subscribe to our blog."), (2, "Subscribe to our blog!"), (3, "Subscribe to our blogs!!"), (4, "abcdefg\nabcdefgh"), (5, "abcdefgx\nabcdefghi")]) == {(2, 0), (4, 1), (5, 0), (5, 1)}
     rng = random.Random(6)
     base = ["".join(rng.choices("abc ", k=rng.randint(8, 24))).strip() + "x" for _ in range(40)]
     docs = []
@@ -26,7 +42,7 @@ def test_short_lines_within_one_edit(spark):
         k, op = rng.randrange(len(s)), rng.choice("rid")
         docs.append((d, s[:k] + ("" if op == "d" else rng.choice("abcz")) + s[k + (op != "i") :]))
     want = set()
-    lines = [(d, t.strip()) for d, t in docs if len(t.strip()) >= 8]
+    lines = [(d, t.strip()) for d, t in docs]
     for k, (d, s) in enumerate(lines):
         for _, t in lines[:k]:
             a, b = sorted((s, t), key=len)

@@ -18,8 +18,8 @@ def near(a, b):
 
 def dup_lines(docs):
     lines = sorted((d, i, s.strip(" \t\r\f\x0b")) for d, t in docs for i, s in enumerate(t.split("\n")))
-    lines = [x for x in lines if len(x[2]) >= 8]
-    return {(d, i) for k, (d, i, s) in enumerate(lines) if any(s == t or (len(s) >= 24 and len(t) >= 24 and near(s, t)) for _, _, t in lines[:k])}
+    lines = [x for x in lines if x[2]]
+    return {(d, i) for k, (d, i, s) in enumerate(lines) if any(s == t or near(s, t) for _, _, t in lines[:k])}
 
 
 def fingerprint(text):
