@@ -1,8 +1,8 @@
 import numpy as np
-from hypothesis import given, settings
-from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from plumbline.llm import mixing as M
+from plumbline.llm._store import Workspace
 
 
 def slow_quotas(target, most, seats):
@@ -15,40 +15,66 @@ def slow_quotas(target, most, seats):
     return out
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 400), min_size=1, max_size=8), st.integers(0, 120))
-def test_seats_go_to_the_highest_quotients(target, seats):
-    t = [float(x) for x in target]
-    assert M.quotas(t, [10**9] * len(t), seats) == slow_quotas(t, [10**9] * len(t), seats if sum(t) else 0)
+def slow_targets(sizes, weights, repeats=3):
+    out, open_, left = [0.0] * len(sizes), [i for i, n in enumerate(sizes) if n], float(sum(sizes))
+    while open_:
+        rate = left / sum(weights[i] for i in open_)
+        full = [i for i in open_ if rate * weights[i] > repeats * sizes[i]]
+        for i in full or open_:
+            out[i] = float(repeats * sizes[i]) if full else rate * weights[i]
+            left -= out[i]
+        open_ = [i for i in open_ if i not in full] if full else []
+    return out
+
+
+def sources(spark, rows):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "number long, want double, most long")
+
+
+def seats_of(spark, rows, unit=1):
+    df = sources(spark, rows)
+    return [r.q for r in df.withColumn("q", M.quota_of(df, F.col("want"), F.col("most"), unit)).orderBy("number").collect()]
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 400), st.integers(0, 30)), min_size=1, max_size=6), st.integers(0, 60))
-def test_seats_with_limits(rows, seats):
-    t, m = [float(a) for a, _ in rows], [b for _, b in rows]
-    got = M.quotas(t, m, seats)
-    assert all(g <= x for g, x in zip(got, m)) and sum(got) == min(seats, sum(m))
+def test_seats_go_to_the_highest_quotients(spark):
+    rng = np.random.default_rng(4)
+    cases = [[(1.5, 9)] * 7, [(2.5, 3), (2.5, 3), (1.0, 1)], [(0.2, 1)] * 11, [(100.5, 200), (0.5, 1), (0.5, 1)], [(0.0, 0), (3.0, 3)], [(0.49, 1)] * 40 + [(30.0, 30)]]
+    for _ in range(6):
+        n = int(rng.integers(1, 9))
+        cases.append([(float(w), int(np.ceil(w)) + int(rng.integers(0, 3))) for w in rng.integers(0, 300, n) / 8])
+    for rows in cases:
+        want, most = [w for w, _ in rows], [m for _, m in rows]
+        assert seats_of(spark, rows) == slow_quotas(want, most, int(sum(want) + 0.5)), rows
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 10**6), st.sampled_from([1, 2, 3])), min_size=1, max_size=12))
-def test_targets_share_all(rows):
-    sizes, weights = [a for a, _ in rows], [b for _, b in rows]
-    got = M.targets(sizes, weights)
-    assert abs(sum(got) - sum(sizes)) < 1e-6 * max(1, sum(sizes)) and all(g <= 3 * n + 1e-6 for g, n in zip(got, sizes))
-    free = [(g, w) for g, w, n in zip(got, weights, sizes) if g < 3 * n - 1e-6]
-    assert all(abs(a / u - b / v) < 1e-6 * max(1, a) for a, u in free for b, v in free)
+def test_targets_share_all(spark):
+    rng = np.random.default_rng(5)
+    for _ in range(6):
+        n = int(rng.integers(1, 12))
+        sizes, weights = [int(x) for x in 10 ** rng.uniform(0, 6, n) - 1], [1 + i % 3 for i in range(n)]
+        df = spark.createDataFrame(list(zip(range(n), sizes, map(float, weights))), "number long, size long, weight double")
+        got = [r.t for r in df.withColumn("t", M.target_of(M.rate_of(df))).orderBy("number").collect()]
+        assert np.allclose(got, slow_targets(sizes, weights)) and abs(sum(got) - sum(sizes)) < 1e-6 * max(1, sum(sizes))
+
+
+def test_numbers_follow_the_order_over_many_partitions(spark):
+    rows = [(f"s{i:05d}é", i) for i in range(3000)]
+    df = spark.createDataFrame(rows[::-1], "source string, i int").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert all(r.number == r.i for r in M.numbered(df, Workspace(spark, "t"), "n", "source").collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_shards_of_a_source_add_up():
-    for size, quota in [(16 * 5000, 7321), (16 * 5000 - 3, 14999), (40, 1), (16 * 1024 * 3, 0), (17, 5)]:
-        blocks = -(-size // M.BLOCK)
-        got = np.concatenate([M.uses(s, 3, size, quota) for s in range(-(-blocks // M.SHARD))])
+    for blocks, quota in [(5000, 7321), (5000, 14999), (3, 1), (1024 * 3, 0), (2, 5)]:
+        got = np.concatenate([M.uses(s, 3, blocks, quota) for s in range(-(-blocks // M.SHARD))])
         assert len(got) == blocks and got.sum() == quota and got.max() - got.min() <= 1
 
 
 def mixed(spark, rows, **kw):
-    return M.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), **kw)
+    return M.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), Workspace(spark, "t"), **kw)
 
 
 def rows_of(n=1200):
@@ -65,11 +91,51 @@ def test_sources_come_near_their_targets(spark):
     source = {i: s for i, _, s in rows}
     out["source"] = [source[i] or "~" for i in out.doc_id]
     per = out.groupby("source").agg(target=("target", "first"), n=("target", "nunique"), taken=("taken", "sum"), size=("size", "sum"), stated=("source_size", "first"))
-    assert (per.n == 1).all() and (per["size"] == per.stated).all() and ((per.taken - per.target).abs() <= 48 + 0.01 * per.target).all()
-    want = M.targets(per["size"].tolist(), [1, 2, 3, 1, 2][: len(per)])
+    assert (per.n == 1).all() and (per["size"] == per.stated).all() and ((per.taken - per.target).abs() <= 16).all()
+    want = slow_targets(per["size"].tolist(), [1, 2, 3, 1, 2][: len(per)])
     assert np.allclose(per.target, want) and per.target["tiny"] == 3 * per["size"]["tiny"]
 
 
+def slow_taken(spark, rows):
+    """(id, taken) by writing out every block of every source and using it word by word."""
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    at = df.select("doc_id", "source", M.word_count(F.col("text")).alias("n"), F.xxhash64("text").alias("tx")).withColumn("order", F.xxhash64(F.lit(M.SEED), "doc_id", "n")).collect()
+    names = sorted({r.source for r in at}, key=lambda s: (s is None, (s or "").encode()))
+    size = [sum(r.n for r in at if r.source == s) for s in names]
+    want = slow_targets(size, [1 + i % 3 for i in range(len(names))])
+    full = [3 * (n // 16) for n in size]
+    first = [min(t, 16.0 * m) for t, m in zip(want, full)]
+    quota = slow_quotas(first, full, int(sum(first) / 16 + 0.5))
+    odd = [3 * (n % 16) for n in size]
+    lack = [min(max(t - 16 * q, 0.0), float(m)) for t, q, m in zip(want, quota, odd)]
+    rest = slow_quotas(lack, odd, int(sum(lack) + 0.5))
+    got = []
+    for i, s in enumerate(names):
+        mine = sorted((r for r in at if r.source == s), key=lambda r: (r.order, r.doc_id, r.tx))
+        word = []
+        for unit, n, seats, who in ((16, size[i] // 16, quota[i], i), (1, size[i] % 16, rest[i], ~i & (1 << 62) - 1)):
+            use = [u for k in range(-(-n // M.SHARD)) for u in M.uses(k, who, n, seats)]
+            word += [int(u) for u in use for _ in range(unit)]
+        for r in mine:
+            got.append((r.doc_id, sum(word[: r.n])))
+            word = word[r.n :]
+    return sorted(got, key=repr)
+
+
+def test_words_taken_of_each_document(spark):
+    rows = [r for r in rows_of(500) if r[2] != "tiny"] + [(9001, "a b c", "tiny"), (9002, "a b c d e", "small"), (9003, " ".join("w" * 20), "twenty"), (9004, " ".join("w" * 100), "hundred"), (9005, "x", None)]
+    out = mixed(spark, rows)
+    got = sorted(((r.doc_id, r.taken) for r in out.collect()), key=repr)
+    assert got == slow_taken(spark, rows)
+    taken = dict(got)
+    assert taken[9001] == 9 and taken[9002] == 15 and taken[9003] == 60 and taken[9004] == 300
+
+
+def test_a_thousand_sources_of_a_few_words(spark):
+    rows = [(i, " ".join("w" * (i % 7)), f"s{i % 1000}") for i in range(3000)]
+    assert sorted(((r.doc_id, r.taken) for r in mixed(spark, rows).collect()), key=repr) == slow_taken(spark, rows)
+
+
 def test_reruns_agree_however_rows_are_dealt(spark):
     rows = rows_of(400)
     key = lambda df: sorted(map(tuple, df.collect()))
