@@ -8,8 +8,13 @@ A document leaks an item if, on one diagonal, it holds CONTAINED of the item's w
 so or whose slots are all equal to the item's. Texts have windows in two forms: of all tokens, and with runs of names or of numbers as one
 placeholder, so that a value of more tokens ("twenty five" for "7") stays on the diagonal.
 
-Documents' windows that no window of the benchmark can equal are dropped where they arise, by a Bloom filter of a fixed size; the
-join is by the windows' 64-bit hashes and both sides are shuffled.
+Items without such a window, as they are short or hold hardly any literals, are compared word for word instead: by windows of WINDOW tokens as they
+are, or of all their tokens if they have fewer. An item of a single token leaks into a document that has no other.
+
+An item that leaks has a number of windows on the diagonal, so at least one of its rarest ones, those beyond that number, is there: documents
+and items meet by these, and only those that met are compared window by window. Windows that very many items share bring no pairs of their own.
+Documents' windows that no window of the benchmark can equal are dropped where they arise, by a Bloom filter; the joins are by the windows' 64-bit
+hashes and both sides are shuffled.
 """
 
 from __future__ import annotations
@@ -17,13 +22,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm import _bytes as B
+from plumbline.llm._store import Workspace
 
 WINDOW, LITERALS, CONTAINED, RUN = 5, 2, 0.8, 9
-#: Bits of the Bloom filter, as a power of two: 4 MB, whatever the benchmark's size.
-FILTER_BITS = 25
+#: Forms of windows: of all tokens, of merged tokens, of WINDOW words, of 1 to WINDOW - 1 words (PLAIN + n).
+ALL, MERGED, PLAIN = 0, 1, 2
+#: The Bloom filter has 2 ** bits bits, 16 or more for each window of the benchmark within these bounds: 32 MB at most are broadcast, and a larger benchmark passes more.
+FILTER_BITS = (16, 28)
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
 # Words read as numbers, as units, and capitalised words that are no names.
@@ -89,50 +98,71 @@ def merged(token: np.ndarray, slot: np.ndarray, of: np.ndarray) -> tuple[np.ndar
     return token[first], np.where(slot[first] == 0, 0, value), upto[of]
 
 
-def windows(data: np.ndarray, at: np.ndarray, form: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, hash, slots (n, WINDOW)) of the windows of a block of texts; in form 1, of merged tokens."""
+def windows(data: np.ndarray, at: np.ndarray, form: int = ALL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, hash, slots (n, WINDOW)) of the windows of one form of a block of texts."""
     token, slot, of = canonical(data, at)
-    if form:
+    width = WINDOW
+    if form == MERGED:
         token, slot, of = merged(token, slot, of)
-    n = np.maximum(np.diff(of) - WINDOW + 1, 0)
+    if form >= PLAIN:
+        token, slot = np.where(slot == 0, token, slot.view(B.U)) | B.U(1), np.zeros_like(slot)
+        width = form - PLAIN or WINDOW
+    n = np.maximum(np.diff(of) - width + 1, 0)
+    if width == 1:
+        n = (np.diff(of) == 1).astype(np.int64)
     row = np.repeat(np.arange(len(n)), n)
     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     first = of[row] + place
     h = np.full(len(first), form, B.U)
-    for k in range(WINDOW):
+    for k in range(width):
         h = h * B.U(0x100000001B3) + (token[first + k] if len(first) else token[:0])
     h = B.mix(h)
     free = np.concatenate([[0], np.cumsum(slot == 0)])
-    good = free[first + WINDOW] - free[first] >= LITERALS
+    good = free[first + width] - free[first] >= (LITERALS if form < PLAIN else 0)
     row, place, h, first = row[good], place[good], h[good], first[good]
-    return row, place, h, (slot[first[:, None] + np.arange(WINDOW)] if len(first) else np.empty((0, WINDOW), np.int64))
+    slots = np.zeros((len(first), WINDOW), np.int64)
+    if form < PLAIN and len(first):
+        slots = slot[first[:, None] + np.arange(WINDOW)]
+    return row, place, h, slots
+
+
+def item_forms(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The form of windows that each text, as an item, is compared by beside MERGED: ALL, or one of the plain ones if it has none of either; -1 without tokens."""
+    tokens = np.diff(canonical(data, at)[2])
+    has = np.isin(np.arange(len(at) - 1), np.concatenate([windows(data, at, f)[0] for f in (ALL, MERGED)]))
+    return np.where(has, ALL, np.where(tokens >= WINDOW, PLAIN, np.where(tokens > 0, PLAIN + tokens, -1)))
 
 
-def _window_table(df: DataFrame, keep: list[str], filter_: np.ndarray | None = None) -> DataFrame:
-    """df's columns keep, and form, place, h, slots of each window of its text; with a filter, of those that pass it."""
+def _window_table(df: DataFrame, keep: list[str], forms: list[int] | None = None, filter_: np.ndarray | None = None) -> DataFrame:
+    """df's columns keep, and form, place, h, slots of each window of its text: of the given forms that pass the filter or, for items, of the forms that they are compared by."""
 
     def run(batches):
         for batch in batches:
-            for (lo, hi, data, at), form in ((b, form) for b in B.blocks(batch.column(len(keep))) for form in (0, 1)):
-                row, place, h, slots = windows(data, at, form)
-                if filter_ is not None:
-                    spot = h >> B.U(64 - FILTER_BITS)
-                    hit = (filter_[(spot >> B.U(6)).astype(np.int64)] >> (spot & B.U(63)) & B.U(1)).astype(bool)
+            for lo, hi, data, at in B.blocks(batch.column(len(keep))):
+                mine = item_forms(data, at) if forms is None else None
+                for form in forms or sorted({ALL, MERGED, *mine.tolist()} - {-1}):
+                    row, place, h, slots = windows(data, at, form)
+                    if forms is None:
+                        hit = (mine[row] == form) | (form == MERGED) & (mine[row] == ALL)
+                    else:
+                        spot = h >> B.U(65 - (len(filter_) << 6).bit_length())
+                        hit = (filter_[(spot >> B.U(6)).astype(np.int64)] >> (spot & B.U(63)) & B.U(1)).astype(bool)
                     row, place, h, slots = row[hit], place[hit], h[hit], slots[hit]
-                if len(row):
-                    at_row = pa.array(row + lo)
-                    yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at_row) for k in range(len(keep))], pa.array(np.full(len(row), form, np.int32)), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(slots.ravel()), WINDOW).cast(pa.list_(pa.int64()))], [*keep, "form", "place", "h", "slots"])
+                    if len(row):
+                        at_row = pa.array(row + lo)
+                        yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at_row) for k in range(len(keep))], pa.array(np.full(len(row), form, np.int32)), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(slots.ravel()), WINDOW).cast(pa.list_(pa.int64()))], [*keep, "form", "place", "h", "slots"])
 
     source = df.select(*keep, "text")
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]], "form int, place int, h long, slots array<long>"])
     return source.mapInArrow(run, schema)
 
 
-def _filter(bench: DataFrame) -> np.ndarray:
-    """The Bloom filter of the windows' hashes, as 64-bit words. What comes to the driver has 2 ** (FILTER_BITS - 6) rows at most."""
-    spot = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+def _filter(bench: DataFrame, n: int) -> np.ndarray:
+    """The Bloom filter of the hashes of n windows, as 64-bit words: a hash's first bits name its bit. It comes to the driver as words that aren't zero."""
+    bits = min(max((16 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    spot = F.shiftrightunsigned("h", 64 - bits)
     rows = bench.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
-    out = np.zeros(1 << FILTER_BITS - 6, B.U)
+    out = np.zeros(1 << bits - 6, B.U)
     out[rows.column("w").to_numpy()] = rows.column("bits").to_numpy().view(B.U)
     return out
 
@@ -140,22 +170,32 @@ def _filter(bench: DataFrame) -> np.ndarray:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, tx, item_id, matched, item_windows, containment, kind) of each item that a document leaks; tx is xxhash64 of its text.
 
-    kind is exact if all slots of the matched windows are equal, else reparameterised; matched counts those that agree. Items and documents of fewer than WINDOW tokens, empty
-    and null texts have no windows and leak nothing. Items that repeat an item_id are one item by that id, with the windows of all its
+    kind is exact if all slots of the matched windows are equal, else reparameterised; matched counts those that agree. Empty and null texts
+    have no tokens and leak nothing. Items that repeat an item_id are one item by that id, and a document leaks it by any of its
     texts. Rows that repeat key and text are one document here. An empty table on either side gives no rows. Other columns aren't read.
     """
-    bench = _window_table(benchmark.select("item_id", F.xxhash64("text").alias("ix"), "text").distinct(), ["item_id", "ix"])
-    bench = bench.withColumn("item_windows", F.count("*").over(_by("item_id", "ix", "form")))
+    work = Workspace(docs.sparkSession, "leaks")
+    item = ["item_id", "ix", "form"]
+    bench = work.save(_window_table(benchmark.select("item_id", F.xxhash64("text").alias("ix"), "text").distinct(), ["item_id", "ix"]), "items")
+    forms = {r["form"]: r["n"] for r in bench.groupBy("form").agg(F.count("*").alias("n")).collect()}  # a row for each form
     mine = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("tx"), F.col(text).alias("text"))
-    hits = _window_table(mine, ["id", "tx"], _filter(bench))
-    met = hits.select("id", "tx", F.col("place").alias("there"), "h", F.col("slots").alias("theirs")).join(bench, "h")
-    keys = ["id", "tx", "item_id", "ix", "form", "item_windows", "diagonal"]
+    hits = work.save(_window_table(mine, ["id", "tx"], sorted(forms) or [ALL], _filter(bench, sum(forms.values()))), "hits")
+    size = bench.groupBy(*item).agg(F.count("*").alias("item_windows"))
+    common = bench.groupBy("h").agg(F.count("*").alias("common"))
+    need = F.least(F.ceil(F.col("item_windows") * (CONTAINED - 5e-7)), F.lit(RUN))
+    rank = F.row_number().over(W.partitionBy(*item).orderBy("common", "h", "place"))
+    rare = bench.join(common, "h").join(size, item).withColumn("rank", rank).filter(F.col("rank") <= F.col("item_windows") - need + 1).select(*item, "place", "h", "item_windows")
+    pair = hits.select("id", "tx", F.col("place").alias("there"), "h").join(rare, "h").select("id", "tx", *item, "item_windows", (F.col("there") - F.col("place")).alias("diagonal")).distinct()
+    own = pair.join(bench, item).withColumn("there", F.col("diagonal") + F.col("place"))
+    theirs = hits.select(F.col("id").alias("i"), F.col("tx").alias("t"), F.col("place").alias("at"), F.col("h").alias("g"), F.col("slots").alias("theirs"))
+    met = own.join(theirs, F.col("id").eqNullSafe(F.col("i")) & (F.col("tx") == F.col("t")) & (F.col("there") == F.col("at")) & (F.col("h") == F.col("g")))
+    keys = ["id", "tx", *item, "item_windows", "diagonal"]
     pairs = F.filter(F.arrays_zip(F.col("slots").alias("own"), F.col("theirs").alias("other")), lambda p: p["own"] != 0)
-    line = met.withColumn("diagonal", F.col("there") - F.col("place")).groupBy(*keys).agg(F.collect_set(F.struct("place", pairs.alias("pairs"))).alias("w"))
+    line = met.groupBy(*keys).agg(F.collect_set(F.struct("place", pairs.alias("pairs"))).alias("w"))
     enough = lambda n: (F.round(n / F.col("item_windows"), 6) >= CONTAINED) | (n >= RUN)
     pair = line.filter(enough(F.size("w"))).select(*keys, F.explode("w").alias("w")).select(*keys, "w.place", F.explode_outer("w.pairs").alias("p")).select(*keys, "place", "p.own", "p.other")
-    pair = pair.withColumn("n", F.count("*").over(_by(*keys, "own", "other")))
-    pair = pair.withColumn("most", F.max(F.struct("n", (F.col("own") == F.col("other")).alias("equal"), "other")).over(_by(*keys, "own")))
+    pair = pair.withColumn("n", F.count("*").over(W.partitionBy(*keys, "own", "other")))
+    pair = pair.withColumn("most", F.max(F.struct("n", (F.col("own") == F.col("other")).alias("equal"), "other")).over(W.partitionBy(*keys, "own")))
     each = pair.groupBy(*keys, "place").agg(*[F.coalesce(F.bool_and(c), F.lit(True)).alias(a) for a, c in (("equal", F.col("own") == F.col("other")), ("agrees", F.col("other") == F.col("most.other")))])
     way = lambda take, exact: F.struct(F.count_if(take).alias("matched"), exact.alias("exact"))
     ways = each.groupBy(*keys).agg(F.array(way(F.col("equal"), F.lit(True)), way(F.col("agrees"), F.count_if(F.col("agrees") & ~F.col("equal")) == 0)).alias("ways"))
@@ -164,12 +204,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     return best.select(F.col("id").alias(key), "tx", "item_id", "b.matched", "b.item_windows", "b.containment", F.when(F.col("b.exact"), F.lit("exact")).otherwise(F.lit("reparameterised")).alias("kind"))
 
 
-def _by(*cols: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*cols)
-
-
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that leak no item. Columns stay as they are, whatever their names; documents without windows stay."""
     names = docs.columns

@@ -7,7 +7,7 @@ from plumbline.llm import decontam as D
 BENCH = [
     (0, "John has 3 apples and buys 14 more at the market. How many apples does John have in total now?"),
     (1, "A train leaves the northern station travelling steadily towards the coast at a speed of 60 km per hour for 5 hours."),
-    (2, "too short"),
+    (2, "too short by far"),
     (3, None),
     (4, "seven silver spoons were carefully hidden beneath the old wooden floor by a very nervous butler"),
 ]
@@ -25,7 +25,7 @@ def test_copies_and_new_parameters(spark):
     docs = [
         (1, f"{noise(40)}. {BENCH[0][1]} {noise(9)}"),
         (2, BENCH[0][1].replace("John", "Mary").replace("3", "8").replace("14", "25")),
-        (3, BENCH[0][1].replace("does John", "does Peter")),  # another person than the one before: no such question
+        (3, BENCH[0][1].replace("does John", "does Peter")),  # 15 tokens word for word before it
         (4, f"{noise(30)} {BENCH[1][1].replace('60', '75').replace('5 hours', '9 hours')}"),
         (5, noise(3000)),
         (6, BENCH[4][1] + "\n" + BENCH[4][1]),
@@ -39,7 +39,7 @@ def test_copies_and_new_parameters(spark):
     ]
     got = leaks(spark, docs)
     assert got[(1, 0)] == ("exact", 1.0) and got[(2, 0)][0] == "reparameterised" and got[(4, 1)][0] == "reparameterised" and got[(6, 4)] == ("exact", 1.0) and got[(None, 4)][0] == "exact"
-    assert set(got) == {(1, 0), (2, 0), (4, 1), (6, 4), (None, 4), (11, 4)} | {(7, 4)}
+    assert set(got) == {(1, 0), (2, 0), (3, 0), (4, 1), (6, 4), (None, 4), (11, 4)} | {(7, 4)}
 
 
 def test_planted_passages_are_all_found(spark):
