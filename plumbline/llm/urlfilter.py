@@ -52,7 +52,7 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     same = captures.select("page_id", "url", "fetched_on").groupBy("page_id", "url", "fetched_on").agg(F.count("*").alias("times"))
     deepest = entries.agg(F.max(F.size(F.split("key", "/")) - 1).alias("n")).first()["n"] or 0
     wanted = same.select("page_id", "url", "fetched_on", F.explode(keys_of(F.col("url"), deepest)).alias("key"), F.floor(F.unix_date("fetched_on") / PERIOD).alias("period")).dropna(subset=["fetched_on"])
-    spread = wanted.agg(F.max("fetched_on").alias("last")).first()["last"]
+    spread = same.agg(F.max("fetched_on").alias("last")).first()["last"]
     active = intervals(entries, F.lit(spread).cast("date"))
     hit = wanted.join(active, ["key", "period"]).filter((F.col("listed_on") <= F.col("fetched_on")) & (F.col("until").isNull() | (F.col("until") > F.col("fetched_on"))))
     rank = F.struct(F.length("key").alias("n"), F.col("action"), F.col("list"), F.col("key"), F.col("listed_on"))  # block comes after allow
@@ -66,23 +66,27 @@ FIRST = "2024-01-01"
 
 
 def fetched(pages: DataFrame) -> DataFrame:
-    """Captures of pages: the table has no fetch time, so a page's is a day of 2024 by its number."""
+    """Captures of pages: the table has no fetch time, so a page's is a day of 2024 by its number. A page without a number has no day, and meets no entry."""
     return pages.select("page_id", "url", F.date_add(F.lit(FIRST).cast("date"), F.pmod("page_id", F.lit(366)).cast("int")).alias("fetched_on"))
 
 
 def dated_entries(pages: DataFrame) -> DataFrame:
-    """Dated entries by a rule on the hosts that occur: hosts are blocked and taken off again, domains allowed and blocked, language folders allowed."""
-    host = pages.select(host_of(F.col("url")).alias("h")).filter("h != ''").distinct()
-    day = lambda n: F.date_add(F.lit(FIRST).cast("date"), n)
-    n = F.length("h")
-    row = lambda name, key, action, on: F.struct(F.lit(name).alias("list"), key.alias("key"), F.lit(action).alias("action"), day(on).alias("listed_on"))
-    domain = F.substring_index("h", ".", -2)
-    of_host = F.when(n % 3 == 0, F.array(row("hosts", F.col("h"), "block", (n * 7 % 120).cast("int")), row("hosts", F.col("h"), "off", (n * 7 % 120 + 90).cast("int")), row("hosts", F.col("h"), "block", (n * 7 % 120 + 200).cast("int"))))
-    of_path = F.when(n % 4 == 1, F.array(row("folders", F.concat("h", F.lit("/en")), "allow", (n % 60).cast("int"))))
-    of_domain = F.array(row("domains", domain, "allow", (F.length(domain) % 30).cast("int")), row("domains", domain, "block", (F.length(domain) % 30 + 150).cast("int")), row("domains", domain, "off", (F.length(domain) % 30 + 240).cast("int")))
-    none = F.array().cast("array<struct<list:string,key:string,action:string,listed_on:date>>")
-    one = host.select(F.explode(F.concat(F.coalesce(of_host, none), F.coalesce(of_path, none), of_domain)).alias("e"))
-    return one.select("e.*").distinct()
+    """Dated entries by a rule on the URLs that occur, more than there are pages: hosts are blocked and taken off again, domains allowed and blocked, language folders
+    allowed, and each URL's whole path is blocked and allowed again or, a part deeper, blocked to no effect. URLs without a host, and null ones, have none; equal ones have theirs once."""
+    day = lambda n: F.date_add(F.lit(FIRST).cast("date"), n.cast("int"))
+    entry = lambda name, key, action, on: F.struct(F.lit(name).alias("list"), key.alias("key"), F.lit(action).alias("action"), day(on).alias("listed_on"))
+    told = lambda df, entries: df.select(F.explode(entries).alias("e")).select("e.*")
+    url = pages.select(host_of(F.col("url")).alias("h"), F.array_join(F.filter(F.split(F.regexp_extract("url", _URL, 2), "/"), lambda p: p != ""), "/").alias("path")).filter("h != ''").distinct()
+    host = url.select("h").distinct()
+    n, domain = F.length("h"), F.substring_index("h", ".", -2)
+    of_host = told(host.filter(n % 3 == 0), F.array(entry("hosts", F.col("h"), "block", n * 7 % 120), entry("hosts", F.col("h"), "off", n * 7 % 120 + 90), entry("hosts", F.col("h"), "block", n * 7 % 120 + 200)))
+    of_folder = told(host.filter(n % 4 == 1), F.array(entry("folders", F.concat("h", F.lit("/en")), "allow", n % 60)))
+    m = F.length("d")
+    of_domain = told(host.select(domain.alias("d")).distinct(), F.array(entry("domains", F.col("d"), "allow", m % 30), entry("domains", F.col("d"), "block", m % 30 + 150), entry("domains", F.col("d"), "off", m % 30 + 240)))
+    whole = F.concat_ws("/", "h", "path")
+    k = F.length(whole)
+    of_path = told(url.filter("path != ''"), F.array(entry("paths", whole, "block", k * 11 % 150), entry("paths", whole, "allow", k * 11 % 150 + 130), entry("paths", F.concat(whole, F.lit("/x")), "block", k % 90)))
+    return of_host.union(of_folder).union(of_domain).union(of_path)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,16 +101,18 @@ WITH c AS (
     lower(regexp_extract(url, '^(?i)[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS h,
     regexp_extract(url, '^(?i)[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)(?::\d*)?([^?#]*)', 2) AS p
   FROM pages
-), u AS (SELECT DISTINCT h, array_to_string(string_split(h, '.')[-2:], '.') AS d, length(h) AS n FROM c WHERE h <> ''),
+), w AS (SELECT *, list_filter(string_split(p, '/'), lambda x: x <> '') AS parts FROM c WHERE h <> ''),
+u AS (SELECT DISTINCT h, array_to_string(string_split(h, '.')[-2:], '.') AS d, length(h) AS n FROM w),
+x AS (SELECT DISTINCT h || '/' || array_to_string(parts, '/') AS f FROM w WHERE len(parts) > 0), y AS (SELECT f, length(f) AS n FROM x),
 e AS (
   SELECT 'hosts' AS list, h AS key, unnest(['block', 'off', 'block']) AS action, DATE '2024-01-01' + unnest([n * 7 % 120, n * 7 % 120 + 90, n * 7 % 120 + 200])::INTEGER AS listed_on FROM u WHERE n % 3 = 0
   UNION SELECT 'folders', h || '/en', 'allow', DATE '2024-01-01' + (n % 60)::INTEGER FROM u WHERE n % 4 = 1
   UNION SELECT 'domains', d, unnest(['allow', 'block', 'off']), DATE '2024-01-01' + unnest([length(d) % 30, length(d) % 30 + 150, length(d) % 30 + 240])::INTEGER FROM u
+  UNION SELECT 'paths', unnest([f, f, f || '/x']), unnest(['block', 'allow', 'block']), DATE '2024-01-01' + unnest([n * 11 % 150, n * 11 % 150 + 130, n % 90])::INTEGER FROM y
 ), i AS (SELECT *, lead(listed_on) OVER (PARTITION BY list, key ORDER BY listed_on) AS until FROM e),
 k AS (
-  SELECT page_id, fetched_on, unnest(list_distinct([array_to_string(string_split(h, '.')[j:], '.') for j in range(1, greatest(len(string_split(h, '.')), 2))])) AS key FROM c WHERE h <> ''
-  UNION ALL SELECT page_id, fetched_on, h || '/' || array_to_string(list_filter(string_split(p, '/'), lambda x: x <> '')[1:1], '/') FROM c WHERE h <> '' AND len(list_filter(string_split(p, '/'), lambda x: x <> '')) >= 1
-  UNION ALL SELECT page_id, fetched_on, h || '/' || array_to_string(list_filter(string_split(p, '/'), lambda x: x <> '')[1:2], '/') FROM c WHERE h <> '' AND len(list_filter(string_split(p, '/'), lambda x: x <> '')) >= 2
+  SELECT page_id, fetched_on, unnest(list_distinct([array_to_string(string_split(h, '.')[j:], '.') for j in range(1, greatest(len(string_split(h, '.')), 2))])) AS key FROM w
+  UNION ALL SELECT page_id, fetched_on, unnest([h || '/' || array_to_string(parts[1:j], '/') for j in range(1, len(parts) + 1)]) FROM w
 ), m AS (
   SELECT k.page_id, i.*, row_number() OVER (PARTITION BY k.page_id ORDER BY length(i.key) DESC, i.action DESC, i.list DESC, i.key DESC, i.listed_on DESC) AS r
   FROM k JOIN i ON i.key = k.key AND i.listed_on <= k.fetched_on AND (i.until IS NULL OR i.until > k.fetched_on) WHERE i.action <> 'off'

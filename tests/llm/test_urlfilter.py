@@ -14,7 +14,7 @@ def keys(url):
         return set()
     host, parts = m[1].lower(), [p for p in m[2].split("/") if p]
     labels = host.split(".")
-    return {".".join(labels[i:]) for i in range(max(1, len(labels) - 1))} | {"/".join([host, *parts[:k]]) for k in (1, 2) if k <= len(parts)}
+    return {".".join(labels[i:]) for i in range(max(1, len(labels) - 1))} | {"/".join([host, *parts[:k]]) for k in range(1, len(parts) + 1)}
 
 
 def verdict(url, day, entries):
@@ -46,8 +46,8 @@ def test_against_every_entry(spark):
     rng = random.Random(2)
     hosts = ["a.example.com", "example.com", "b.example.com", "x.org", "deep.er.x.org"]
     day = lambda: DAY + dt.timedelta(rng.randint(0, 200))
-    entries = [(rng.choice(["l1", "l2"]), rng.choice([*hosts, "org", "a.example.com/p", "a.example.com/p/q"]), rng.choice(["block", "allow", "off"]), day()) for _ in range(80)]
-    captures = [(i, f"http://{rng.choice(hosts)}/{rng.choice(['', 'p', 'p/q', 'p/q/r', 'z'])}", day()) for i in range(150)]
+    entries = [(rng.choice(["l1", "l2"]), rng.choice([*hosts, "org", "a.example.com/p", "a.example.com/p/q", "a.example.com/p/q/r", "x.org/p/q/r/s"]), rng.choice(["block", "allow", "off"]), day()) for _ in range(80)]
+    captures = [(i, f"http://{rng.choice(hosts)}/{rng.choice(['', 'p', 'p/q', 'p/q/r', 'p/q/r/s/t', 'z'])}", day()) for i in range(150)]
     captures += [(900, None, DAY), (901, "no url", DAY), (902, "http://a.example.com", None), (903, "HTTP://u@A.Example.com:80/p?x", day()), captures[0], captures[0], (None, captures[1][1], captures[1][2])]
     entries += [("l1", None, "block", DAY), ("l1", "x.org", "block", None), ("l1", "x.org", None, DAY), entries[0]]
     check(spark, captures, entries)
