@@ -4,10 +4,11 @@ A word's features are its first and last one to three bytes, its byte trigrams a
 FEATURES rows of weights; a matrix of weights between the labels of neighbouring words is learned with them. Labels of words are
 read off by forward-backward, exactly and over whole texts: products of the step matrices of blocks of words are
 formed first, then messages pass from block to block and inside the blocks, all blocks of a batch at once.
-A text's language is that of the most of its letters, by the words' posteriors.
+A text's language is that of the most of its letters, by the words' posteriors; word_labels() gives the stretches of words of each.
 
-Learning takes a bounded sample of labelled texts, with about the same number of each language, spliced into sequences
-that switch language, so that the transitions of code-switched text are learned.
+Learning takes a bounded sample of labelled texts, whole ones, with about the same number of each language, spliced into sequences
+that switch language, so that the transitions of code-switched text are learned. Posteriors of the learned languages always add up to one, so
+a text in none of them is told by its trigrams: the share of its letters in ones that were learned from, against that of the texts learned from.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from plumbline.llm import _bytes as B
 from plumbline.llm.quality import held_out
 
 FEATURES, SPAN = 1 << 15, 32
-#: Bounds of the sample that is learned from: texts, and words of each.
-MAX_TEXTS, MAX_WORDS = 3000, 96
+#: The bound of the sample that is learned from, in texts.
+MAX_TEXTS = 1200
+#: A text in a learned language has this share, at least, of the familiar letters that a low quantile of the texts learned from has.
+FAMILIAR, QUANTILE = 0.6, 0.01
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, bool)
@@ -51,6 +54,15 @@ def _emissions(rows: np.ndarray, tri: np.ndarray, of: np.ndarray, weights: np.nd
     return weights[rows].sum(axis=1) + B.tail(weights[tri], of)
 
 
+def _has_letter(data: np.ndarray, at: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Whether each text has a letter; words has the offsets of the texts' words."""
+    has = np.diff(words) > 0
+    plain = np.concatenate([[0], np.cumsum(_ASCII[data])])
+    for i in np.flatnonzero(has & (plain[at[1:]] == plain[at[:-1]])):  # no ASCII letter: look at the characters
+        has[i] = any(c.isalpha() for c in data[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace"))
+    return has
+
+
 class Field:
     """The field: languages, weights (FEATURES, languages), moves between languages (before, after)."""
 
@@ -58,13 +70,18 @@ class Field:
         self.languages = languages
         self.weights = np.zeros((FEATURES, len(languages)), np.float32)
         self.moves = np.zeros((len(languages), len(languages)), np.float32)
+        self.known = np.zeros(FEATURES, bool)  # trigrams that were learned from
+        self.least = 0.0  # familiar share below which a text is in none of the languages
 
     def fit(self, texts: list[str], truth: np.ndarray, epochs: int = 24, length: int = 48, rate: float = 0.3) -> "Field":
         """Maximises the likelihood of spliced sequences by Adagrad, with a fixed seed."""
         k = len(self.languages)
+        array = pa.array(texts, pa.string())
+        self.known = np.bincount(np.concatenate([word_features(data, at)[1] for _, _, data, at in B.blocks(array)] or [np.empty(0, np.int64)]), minlength=FEATURES) > 1
+        share = self.familiar(array)
+        self.least = FAMILIAR * float(np.quantile(share, QUANTILE)) if len(share) else 0.0
         if k < 2:
             return self
-        array = pa.array(texts)
         rng = np.random.default_rng(11)
         parts = [word_features(data, at) for _, _, data, at in B.blocks(array)]
         rows = np.concatenate([p[0] for p in parts])
@@ -83,41 +100,76 @@ class Field:
         flat = np.concatenate([rows.ravel(), tri])
         word = np.concatenate([np.repeat(np.arange(len(rows)), rows.shape[1]), np.repeat(np.arange(len(rows)), size)])
         uses = np.bincount(line.ravel(), minlength=len(rows)).astype(np.float32)
+        pair = np.zeros((k, k), np.float32)
+        np.add.at(pair, (label[line[:, :-1]].ravel(), label[line[:, 1:]].ravel()), 1)
+        one = np.eye(k, dtype=np.float32)[label] * uses[:, None]
         for _ in range(epochs):
-            e = _emissions(rows, tri, of, self.weights)[line]
-            post, pairs = _posterior_dense(e, self.moves)
-            want = np.eye(k, dtype=np.float32)[label]
-            expected = np.zeros((len(rows), k), np.float32)
-            np.add.at(expected, line.ravel(), post.reshape(-1, k))
-            slope_w = (expected - want * uses[:, None]) / len(line)
-            grad = np.stack([np.bincount(flat, weights=slope_w[word, j], minlength=FEATURES) for j in range(k)], axis=1).astype(np.float32) + 1e-5 * self.weights
-            seen = np.zeros((k, k), np.float32)
-            np.add.at(seen, (label[line[:, :-1]].ravel(), label[line[:, 1:]].ravel()), 1)
-            move = (pairs - seen) / len(line)
+            slope, move = slopes(_emissions(rows, tri, of, self.weights), self.moves, line, one, pair)
+            grad = np.stack([np.bincount(flat, weights=slope[word, j], minlength=FEATURES) for j in range(k)], axis=1).astype(np.float32) + 1e-5 * self.weights
             g2w += grad * grad
             g2m += move * move
             self.weights -= rate * grad / np.sqrt(g2w)
             self.moves -= rate * move / np.sqrt(g2m)
         return self
 
-    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(language's number or -1, share of the letters' posterior) of each whole text."""
-        best, share = np.full(len(texts), -1), np.zeros(len(texts))
+    def letters(self, texts: pa.Array) -> np.ndarray:
+        """Whether each text has a letter."""
+        out = np.zeros(len(texts), bool)
+        for lo, hi, data, at in B.blocks(texts):
+            out[lo:hi] = _has_letter(data, at, np.searchsorted(B.runs(_LETTER[data], at)[0], at, "left"))
+        return out
+
+    def familiar(self, texts: pa.Array) -> np.ndarray:
+        """Share of each text's trigrams that were learned from, by letters; 1 for a text with no trigram."""
+        out = np.ones(len(texts))
+        for lo, hi, data, at in B.blocks(texts):
+            _, tri, of, _, words = word_features(data, at)
+            n = np.diff(of[words])
+            out[lo:hi] = np.where(n > 0, B.tail(self.known[tri].astype(np.int64), of[words]) / np.maximum(n, 1), 1.0)
+        return out
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(language's number or -1, share of the letters' posterior, familiar share) of each whole text."""
+        best, share, known = np.full(len(texts), -1), np.zeros(len(texts)), np.ones(len(texts))
         k = len(self.languages)
         for lo, hi, data, at in B.blocks(texts):
             rows, tri, of, letters, words = word_features(data, at)
             post = posterior(_emissions(rows, tri, of, self.weights), words, self.moves)
             mass = B.tail(post * letters[:, None], words) if len(rows) else np.zeros((hi - lo, k))
             whole = np.maximum(mass.sum(axis=1), 1e-9)
-            has = np.diff(words) > 0
-            plain = np.concatenate([[0], np.cumsum(_ASCII[data])])
-            unsure = np.flatnonzero(has & (plain[at[1:]] == plain[at[:-1]]))  # no ASCII letter: look at the characters
-            for i in unsure:
-                has[i] = any(c.isalpha() for c in data[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace"))
+            has = _has_letter(data, at, words)
             if k:
                 best[lo:hi] = np.where(has, mass.argmax(axis=1), -1)
                 share[lo:hi] = np.where(has, mass.max(axis=1) / whole, 0)
-        return best, np.clip(share, 0, 1)
+            n = np.diff(of[words])
+            known[lo:hi] = np.where(n > 0, B.tail(self.known[tri].astype(np.int64), of[words]) / np.maximum(n, 1), 1.0)
+        return best, np.clip(share, 0, 1), known
+
+    def spans(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first character, character after the last, language's number, mean posterior) of each stretch of words with one label."""
+        out = []
+        for lo, _, data, at in B.blocks(texts):
+            start, end = B.runs(_LETTER[data], at)
+            if not len(start) or not self.languages:
+                continue
+            rows, tri, of, _, words = word_features(data, at)
+            post = posterior(_emissions(rows, tri, of, self.weights), words, self.moves)
+            label, text = post.argmax(axis=1), B.owner(at, start)
+            first = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (text[1:] != text[:-1])]))
+            last = np.append(first[1:], len(label)) - 1
+            char = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters before each byte
+            base = char[at[text[first]]]
+            mean = np.add.reduceat(post.max(axis=1).astype(np.float64), first) / (last - first + 1)
+            out.append((text[first] + lo, char[start[first]] - base, char[end[last]] - base, label[first], mean))
+        return tuple(np.concatenate(c) for c in zip(*out)) if out else tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.float64))
+
+
+def slopes(e: np.ndarray, moves: np.ndarray, line: np.ndarray, one: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the mean negative log-likelihood of sequences, by the emissions e of words and by moves. line: the words of each sequence; one: how often each word
+    stands in them, at its label; pair: how often each label follows another."""
+    post, pairs = _posterior_dense(e[line], moves)
+    expected = np.stack([np.bincount(line.ravel(), weights=post[:, :, j].ravel(), minlength=len(e)) for j in range(e.shape[1])], axis=1)
+    return (expected - one) / len(line), (pairs - pair) / len(line)
 
 
 def _pieces(a: int, b: int, rng: np.random.Generator):
@@ -211,8 +263,8 @@ def posterior(e: np.ndarray, words: np.ndarray, moves: np.ndarray) -> np.ndarray
     return out
 
 
-def train(docs: DataFrame, max_texts: int = MAX_TEXTS, max_words: int = MAX_WORDS) -> Field:
-    """Learns from about max_texts documents that aren't held out and whose lang is known, max_words words of each from a place that a hash names."""
+def train(docs: DataFrame, max_texts: int = MAX_TEXTS) -> Field:
+    """Learns from about max_texts whole texts of documents that aren't held out and whose lang is known, chosen by a hash of id and text."""
     known = docs.select(F.col("doc_id").alias("id"), "text", "lang").filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     languages = sorted(counts)
@@ -220,25 +272,41 @@ def train(docs: DataFrame, max_texts: int = MAX_TEXTS, max_words: int = MAX_WORD
         return Field([])
     each = max(1, max_texts // len(languages))
     share = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, each / counts[lang])))])
-    some = known.filter(F.shiftrightunsigned(F.xxhash64(F.lit("lang"), "id"), 11) < F.element_at(share, F.col("lang")) * float(1 << 53))
-    words = F.split("text", r"[\x20\x09-\x0D]+")
-    begin = F.pmod(F.xxhash64(F.lit("words"), "id"), F.greatest(F.size("w") - max_words, F.lit(1))).cast("int") + 1
-    rows = some.select("lang", "id", words.alias("w")).select("lang", "id", F.array_join(F.slice("w", begin, F.lit(max_words)), " ").alias("text")).collect()
+    some = known.filter(F.shiftrightunsigned(F.xxhash64(F.lit("lang"), "id", F.xxhash64("text")), 11) < F.element_at(share, F.col("lang")) * float(1 << 53))
+    rows = some.select("lang", "id", "text").collect()
     rows.sort(key=lambda r: (r["lang"], r["id"], r["text"]))
     return Field(languages).fit([r["text"] for r in rows], np.array([languages.index(r["lang"]) for r in rows], np.int64))
 
 
 def predict(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, held_out, lang_pred, score) of each whole text; UNKNOWN and 0 for a null text, one without a letter, or a field without languages."""
+    """(key, held_out, lang_pred, score, familiar) of each whole text; UNKNOWN and 0 for a null text, one without a letter, or a field without languages.
+    familiar is the share of its letters in trigrams that were learned from."""
     kind = docs.schema[key].dataType
     names = np.array([*field.languages, UNKNOWN], object)
 
     def run(batches):
         for batch in batches:
-            best, share = field.read(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names[best], pa.string()), pa.array(np.round(share.astype(np.float64), 6))], ["id", "held_out", "lang_pred", "score"])
+            best, share, known = field.read(batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names[best], pa.string()), pa.array(np.round(share.astype(np.float64), 6)), pa.array(np.round(known, 6))], ["id", "held_out", "lang_pred", "score", "familiar"])
 
-    out = docs.select(F.col(key).alias("id"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, held_out boolean, lang_pred string, score double")
+    out = docs.select(F.col(key).alias("id"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, held_out boolean, lang_pred string, score double, familiar double")
+    return out.withColumnRenamed("id", key)
+
+
+def word_labels(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, start, end, lang, score): the stretches of words with one label in each whole text, by characters from 0, end exclusive, and the mean posterior of its words.
+
+    A null text, or one without a letter, has none. Rows that repeat give theirs as often. No rows, or a field without languages, give no rows.
+    """
+    kind = docs.schema[key].dataType
+    names = np.array([*field.languages, UNKNOWN], object)
+
+    def run(batches):
+        for batch in batches:
+            row, start, end, label, score = field.spans(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(start), pa.array(end), pa.array(names[label], pa.string()), pa.array(np.round(score, 6))], ["id", "start", "end", "lang", "score"])
+
+    out = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, start long, end long, lang string, score double")
     return out.withColumnRenamed("id", key)
 
 
@@ -249,17 +317,21 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The documents of docs that have a language, by at least this share of their letters. Columns stay as they are, whatever their names."""
-    field = train(docs.select("doc_id", "text", "lang"))
+def keep_identified(docs: DataFrame, field: Field | None = None) -> DataFrame:
+    """The documents of docs that have a letter and as many familiar ones as a text in a learned language has. Columns stay as they are, whatever their names.
+
+    Null, empty and letterless texts go; texts in several of the languages stay. Rows that repeat share a verdict. Where no document has a known lang nothing is learned, and all that have a letter
+    stay; an empty table gives an empty one.
+    """
+    field = field or train(docs.select("doc_id", "text", "lang"))
     names = docs.columns
     row = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     text = names.index("text")
 
     def run(batches):
         for batch in batches:
-            best, share = field.read(batch.column(text))
-            yield batch.filter(pa.array((best >= 0) & (share >= least)))
+            kept = field.letters(batch.column(text)) & (field.familiar(batch.column(text)) >= field.least)
+            yield batch.filter(pa.array(kept))
 
     out = row.mapInArrow(run, row.schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
