@@ -20,6 +20,8 @@ def shared_root(spark: SparkSession) -> str:
     """URI of the shared folder, without a trailing slash."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             made = tempfile.mkdtemp(prefix="plumbline-")
