@@ -140,7 +140,7 @@ def otsu(hist: DataFrame, plan: list[str], lo: int = 0, hi: int = 256) -> DataFr
     nf = F.col("total") - F.col("nb")
     gap = F.col("sb") / F.col("nb") - (F.col("all") - F.col("sb")) / F.nullif(nf, F.lit(0))
     spread = F.when(nf > 0, F.col("nb").cast("double") * nf * gap * gap)
-    best = run.withColumn("v", F.floor(F.coalesce(spread, F.lit(-1.0)) * 1e-3)).groupBy(*plan).agg(F.max(F.struct("v", (-F.col("level")).alias("l"))).alias("b"), F.max("total").alias("total"))
+    best = run.withColumn("v", F.coalesce(spread, F.lit(-1.0))).groupBy(*plan).agg(F.max(F.struct("v", (-F.col("level")).alias("l"))).alias("b"), F.max("total").alias("total"))
     return best.select(*plan, (-F.col("b.l")).alias("threshold"), "total")
 
 
@@ -167,6 +167,7 @@ def components(runs: DataFrame, plan: list[str], work, diagonal: bool = False) -
         now = work.save(low.join(jump, [*plan, "new"], "left").select(*plan, "id", F.col("root").alias("old"), F.least("new", "far").alias("root")), f"label{turn}")
         if not now.filter("root != old").limit(1).count():
             break
+        work.drop(f"label{turn - 1}")
         label = now.drop("old")
     return one.join(now.select(*plan, "id", "root"), [*plan, "id"])
 

@@ -87,7 +87,7 @@ def ink_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_CELLS + """, h AS (SELECT plan_id, gray AS level, count(*) AS n FROM c GROUP BY ALL), u AS (SELECT *, sum(n) OVER w AS nb, sum(n * level) OVER w AS sb, sum(n) OVER p AS total, sum(n * level) OVER p AS sa FROM h WINDOW w AS (PARTITION BY plan_id ORDER BY level), p AS (PARTITION BY plan_id)),
-v AS (SELECT *, CASE WHEN total > nb THEN nb::DOUBLE * (total - nb) * (sb / nb - (sa - sb) / (total - nb)) * (sb / nb - (sa - sb) / (total - nb)) ELSE -1 END AS v FROM u) SELECT plan_id, arg_max(level, (floor(v * 1e-3), -level)) AS threshold, max(total)::BIGINT AS total FROM v GROUP BY plan_id""")
+v AS (SELECT *, CASE WHEN total > nb THEN nb::DOUBLE * (total - nb) * (sb / nb - (sa - sb) / (total - nb)) * (sb / nb - (sa - sb) / (total - nb)) ELSE -1 END AS v FROM u) SELECT plan_id, arg_max(level, (v, -level)) AS threshold, max(total)::BIGINT AS total FROM v GROUP BY plan_id""")
 def otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
     return R.otsu(R.histogram(cells(spark, d), PLAN), PLAN)
 
@@ -106,7 +106,7 @@ def ink_difference(spark: SparkSession, d: str) -> DataFrame:
     return _long(R.difference(all_, some, PLAN))
 
 
-_COMPONENTS = _CELLS.replace("WITH", "WITH RECURSIVE", 1) + """, q AS (SELECT plan_id, y, x, y * 1048576 + x AS id FROM c WHERE y < 60), ed AS (SELECT a.plan_id, a.id AS u, b.id AS v FROM q a JOIN q b ON a.plan_id = b.plan_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1),
+_COMPONENTS = _CELLS.replace("WITH", "WITH RECURSIVE", 1) + """, q AS (SELECT plan_id, y, x, y * 1048576 + x AS id FROM c), ed AS (SELECT a.plan_id, a.id AS u, b.id AS v FROM q a JOIN q b ON a.plan_id = b.plan_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1),
 w AS (SELECT plan_id, id, id AS root FROM q UNION SELECT ed.plan_id, ed.v, w.root FROM w JOIN ed ON ed.plan_id = w.plan_id AND ed.u = w.id WHERE w.root < ed.v), m AS (SELECT plan_id, id, min(root) AS root FROM w GROUP BY ALL)
 SELECT plan_id, root, count(*) AS size FROM m GROUP BY ALL"""
 
