@@ -34,17 +34,17 @@ def undo_history(spark: SparkSession, d: str) -> DataFrame:
     return history.fold(commands(spark, d))
 
 
-_LOG = "SELECT user_id AS session, event_id AS seq, CASE WHEN event_type IN ('view', 'signup') THEN 'show' WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'close' ELSE 'deliver' END AS kind, event_id % 3 AS doc, floor(value)::BIGINT % 2 AS image, event_id - 900 AS begun FROM events"
+_LOG = "SELECT user_id AS session, event_id AS seq, CASE WHEN event_type IN ('view', 'signup') THEN 'show' WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'close' ELSE 'deliver' END AS kind, event_id % 3 AS doc, floor(value)::BIGINT % 2 AS image, event_id - 900 AS begun, event_id % 5 <> 0 AS replayable FROM events"
 
 
 @query(f"""
 WITH l AS ({_LOG}), q AS (SELECT * FROM l WHERE kind = 'deliver'),
-a AS (SELECT q.session, q.seq, q.doc, q.image, q.begun, (SELECT arg_max(doc, seq) FROM l WHERE l.session = q.session AND l.seq < q.seq AND kind = 'show') AS active,
+a AS (SELECT q.session, q.seq, q.doc, q.image, q.begun, q.replayable, (SELECT arg_max(doc, seq) FROM l WHERE l.session = q.session AND l.seq < q.seq AND kind = 'show') AS active,
   (SELECT arg_max(image, seq) FROM l WHERE l.session = q.session AND l.doc = q.doc AND l.seq < q.seq AND kind = 'show') AS held, (SELECT max(seq) FROM l WHERE l.session = q.session AND l.doc = q.doc AND l.seq < q.seq AND kind = 'close') AS closed FROM q)
-SELECT session, seq, doc, CASE WHEN closed > begun THEN 'dropped' WHEN held IS DISTINCT FROM image THEN 'stale' WHEN active = doc THEN 'applied' ELSE 'routed' END AS verdict FROM a""")
+SELECT session, seq, doc, CASE WHEN closed > begun THEN 'dropped' WHEN held IS DISTINCT FROM image THEN 'stale' WHEN active = doc THEN 'applied' WHEN NOT replayable THEN 'refused' ELSE 'routed' END AS verdict FROM a""")
 def late_results(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("event_type").isin("view", "signup"), "show").when((F.col("event_type") == "error") & (F.col("event_id") % 4 == 0), "close").otherwise("deliver")
-    log = V.read(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("event_id") % 3).alias("doc"), (F.floor("value") % 2).alias("image"), (F.col("event_id") - 900).alias("begun"))
+    log = V.read(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("event_id") % 3).alias("doc"), (F.floor("value") % 2).alias("image"), (F.col("event_id") - 900).alias("begun"), (F.col("event_id") % 5 != 0).alias("replayable"))
     return documents.verdicts(log)
 
 

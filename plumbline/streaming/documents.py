@@ -15,7 +15,8 @@ def verdicts(log: DataFrame) -> DataFrame:
 
     log: session, seq, kind, doc, image, begun. Kinds: show (doc becomes active, with an image), close, and deliver, of work that began at seq begun for doc and image.
     A result is dropped if its document was closed since it began; else it is applied to the active document, or routed to a parked one, if that still has
-    the image, and else stale. All by as-of lookups: the last thing the log says before the delivery.
+    the image, and else stale. One that would be routed but can't be replayed later (replayable is false, as of a scale) is refused. All by as-of lookups: the last
+    thing the log says before the delivery.
     """
     order = W.partitionBy("session").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     of_doc = W.partitionBy("session", "doc").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
@@ -25,7 +26,8 @@ def verdicts(log: DataFrame) -> DataFrame:
         "held": F.last(F.when(show, F.col("image")), True).over(of_doc),
         "closed": F.max(F.when(F.col("kind") == "close", F.col("seq"))).over(of_doc),
     })
-    out = F.when(F.col("closed") > F.col("begun"), "dropped").when(~F.col("held").eqNullSafe(F.col("image")), "stale").when(F.col("active") == F.col("doc"), "applied").otherwise("routed")
+    replayable = F.coalesce("replayable", F.lit(True)) if "replayable" in log.columns else F.lit(True)
+    out = F.when(F.col("closed") > F.col("begun"), "dropped").when(~F.col("held").eqNullSafe(F.col("image")), "stale").when(F.col("active") == F.col("doc"), "applied").when(~replayable, "refused").otherwise("routed")
     return seen.filter("kind = 'deliver'").select("session", "seq", "doc", out.alias("verdict"))
 
 
