@@ -1,7 +1,7 @@
 """Words of whole texts by numpy, on the UTF-8 bytes that Arrow hands over.
 
 A block holds whole texts of about BLOCK bytes, or one longer text, so that the temporary arrays stay a small
-multiple of the longest text. No text is cut.
+multiple of the longest text. No text is cut short; parts() takes a long one in stretches, for what adds up over them.
 """
 
 from __future__ import annotations
@@ -56,6 +56,21 @@ def blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         lo = hi
 
 
+def parts(data: np.ndarray) -> Iterator[np.ndarray]:
+    """data in stretches of about BLOCK bytes that begin and end beside a space or line break, where there is one."""
+    lo = 0
+    while lo < len(data):
+        hi = lo + BLOCK
+        while hi < len(data):
+            gap = np.flatnonzero((data[hi : hi + BLOCK] == 32) | (data[hi : hi + BLOCK] == 10))
+            if len(gap):
+                hi += int(gap[0])
+                break
+            hi += BLOCK
+        yield data[lo:hi]
+        lo = hi
+
+
 def runs(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each maximal run of bytes that are inside; no run crosses from one text into the next."""
     n = len(inside)

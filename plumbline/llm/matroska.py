@@ -121,12 +121,13 @@ class Bad(ValueError):
     """The bytes are not a Matroska file, or one that is cut off."""
 
 
-def _number(buf: bytes, at: int, keep: bool = False) -> tuple[int, int, int]:
-    """(value, next position, length) of the EBML number at a position; the value is -1 for an unknown size."""
-    if at >= len(buf) or not buf[at]:
+def _number(buf: bytes, at: int, keep: bool = False, end: int | None = None) -> tuple[int, int, int]:
+    """(value, next position, length) of the EBML number at a position, before end; the value is -1 for an unknown size."""
+    end = len(buf) if end is None else end
+    if at >= end or not buf[at]:
         raise Bad(f"no number at {at}")
     size = 9 - buf[at].bit_length()
-    if at + size > len(buf):
+    if at + size > end:
         raise Bad(f"cut off at {at}")
     n = int.from_bytes(buf[at : at + size], "big")
     if keep:
@@ -157,7 +158,7 @@ def _int(buf: bytes, lo: int, hi: int) -> int:
 
 def frames(buf: bytes, lo: int, hi: int) -> tuple[int, int, int, int, list[tuple[int, int]]]:
     """(track, relative timestamp, flags, kind of lacing, (offset, size) of each frame) of a block's body."""
-    track, at, _ = _number(buf, lo)
+    track, at, _ = _number(buf, lo, end=hi)
     if at + 3 > hi:
         raise Bad(f"block at {lo} is cut off")
     relative, flags = struct.unpack_from(">hB", buf, at)
@@ -165,6 +166,8 @@ def frames(buf: bytes, lo: int, hi: int) -> tuple[int, int, int, int, list[tuple
     kind = flags >> 1 & 3
     if kind == NO_LACING:
         return track, relative, flags, kind, [(at, hi - at)]
+    if at >= hi:
+        raise Bad(f"block at {lo} is cut off")
     count = buf[at] + 1
     at += 1
     sizes: list[int] = []
@@ -174,14 +177,14 @@ def frames(buf: bytes, lo: int, hi: int) -> tuple[int, int, int, int, list[tuple
         sizes = [(hi - at) // count] * (count - 1)
     elif kind == XIPH:
         for _ in range(count - 1):
-            n = 0
-            while buf[at] == 255:
-                n, at = n + 255, at + 1
-            sizes.append(n + buf[at])
-            at += 1
+            n = next((i for i in range(at, hi) if buf[i] != 255), None)
+            if n is None:
+                raise Bad(f"block at {lo}: sizes go past its end")
+            sizes.append((n - at) * 255 + buf[n])
+            at = n + 1
     else:
         for k in range(count - 1):
-            n, at, length = _number(buf, at)
+            n, at, length = _number(buf, at, end=hi)
             if n < 0 and k:
                 n = (1 << 7 * length) - 1  # all ones is a difference like any other
             sizes.append(n if not k else sizes[-1] + n - (1 << 7 * length - 1) + 1)
@@ -316,22 +319,34 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return out.withColumnRenamed("id", key)
 
 
+def _packets(buf: bytes | None) -> list[tuple]:
+    """The packets of a file with None for the error, or one row with the error alone."""
+    try:
+        return [(*p, None) for p in demux(buf).packets] if buf is not None else []
+    except Bad as e:
+        return [(*[None] * len(Packet._fields), str(e))]
+
+
 def packet_table(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """(key, track, timestamp, offset, size, keyframe, lacing, lace): a row for each packet of each file. A null file has none."""
+    """(key, track, timestamp, offset, size, keyframe, lacing, lace, error): a row for each packet of each file, with no error.
+
+    A file that isn't Matroska, or is cut off, has one row, with the error and nothing else. A null file has none. Files that repeat have their rows as often; an empty table gives
+    an empty one; other columns aren't read.
+    """
     kind = df.schema[key].dataType
-    names = ["id", *Packet._fields]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()]
+    names = ["id", *Packet._fields, "error"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
 
     def run(batches):
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
-                found = [demux(x).packets if x is not None else [] for x in part.column(1).to_pylist()]
+                found = [_packets(x) for x in part.column(1).to_pylist()]
                 at = pa.array([i for i, x in enumerate(found) for _ in x], pa.int32())
                 flat = [p for x in found for p in x]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), *[pa.array([p[k] for p in flat], t) for k, t in enumerate(types)]], names)
 
-    out = df.select(F.col(key).alias("id"), F.col(media).alias("media")).mapInArrow(run, f"id {kind.simpleString()}, track int, timestamp long, offset long, size long, keyframe boolean, lacing int, lace int")
+    out = df.select(F.col(key).alias("id"), F.col(media).alias("media")).mapInArrow(run, f"id {kind.simpleString()}, track int, timestamp long, offset long, size long, keyframe boolean, lacing int, lace int, error string")
     return out.withColumnRenamed("id", key)
 
 

@@ -3,7 +3,7 @@
 Random indexing: every word bucket has a fixed sparse vector of +1 and -1; a bucket's word vector is the sum of the fixed vectors of
 all its neighbours within WINDOW words, over all documents. Words go to BUCKETS buckets by hash, so that the table of
 word vectors has a fixed size: each task sums its own, and tasks' sums are added by Spark. Words and runs of punctuation are
-tokens; a token that repeats one of the two before it, and a word all in capitals, go to buckets of their own.
+tokens. Long texts are taken in stretches, so a task's memory doesn't grow with them.
 
 The network is fitted on the driver, on the pooled vectors of a bounded sample of labelled documents; all else covers
 every document.
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from plumbline.llm import _bytes as B
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 13, 32, 4, 2
-REPEATED, CAPITALS = 0, 1
 #: The bound of the sample of labelled documents that the network is fitted on.
 MAX_TRAIN = 8000
 THRESHOLD = 0.3
@@ -54,26 +53,31 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     full = kind[start] != _SPACE
     start, end = start[full], end[full]
     h = B.stretch(B.sums(data), start, end)
-    bucket = (h % B.U(BUCKETS - 2)).astype(np.int64) + 2
-    upper = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
-    lower = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
-    bucket[(upper[end] - upper[start] >= 2) & (lower[end] == lower[start])] = CAPITALS
-    doc = B.owner(at, start)
-    for back in (1, 2):
-        same = (h[back:] == h[:-back]) & (doc[back:] == doc[:-back])
-        bucket[back:][same] = REPEATED
-    return bucket, np.searchsorted(start, at, "left")
-
-
-def _neighbours(bucket: np.ndarray, at: np.ndarray, fixed: np.ndarray) -> np.ndarray:
-    """Sum of the fixed vectors of the tokens within WINDOW of each token in its text."""
+    return (h % B.U(BUCKETS)).astype(np.int64), np.searchsorted(start, at, "left")
+
+
+def _stretches(data: np.ndarray, at: np.ndarray):
+    """(bucket of each token, offsets of each text's tokens, tokens at the beginning that came before) of a block of texts, or of the stretches of one long text."""
+    if len(at) > 2 or len(data) <= B.BLOCK:
+        yield *tokens(data, at), 0
+        return
+    before = np.empty(0, np.int64)
+    for part in B.parts(data):
+        bucket = np.concatenate([before, tokens(part, np.array([0, len(part)]))[0]])
+        yield bucket, np.array([0, len(bucket)]), len(before)
+        before = bucket[-WINDOW:]
+
+
+def _neighbours(bucket: np.ndarray, at: np.ndarray, fixed: np.ndarray, known: int = 0) -> np.ndarray:
+    """Sum of the fixed vectors of the tokens within WINDOW of each token in its text; pairs of the first known tokens were summed before."""
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     rows = fixed[bucket]
     out = np.zeros_like(rows)
     for back in range(1, WINDOW + 1):
-        same = (doc[back:] == doc[:-back])[:, None]
-        out[back:] += rows[:-back] * same
-        out[:-back] += rows[back:] * same
+        same = doc[back:] == doc[:-back]
+        same[: max(0, known - back)] = False
+        out[back:] += rows[:-back] * same[:, None]
+        out[:-back] += rows[back:] * same[:, None]
     return out
 
 
@@ -84,10 +88,9 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         fixed = index_vectors()
         total = np.zeros((BUCKETS, DIM), np.int64)
         for batch in batches:
-            for _, _, data, at in B.blocks(batch.column(0)):
-                bucket, of = tokens(data, at)
+            for bucket, of, known in (x for _, _, data, at in B.blocks(batch.column(0)) for x in _stretches(data, at)):
                 if len(bucket):
-                    near = _neighbours(bucket, of, fixed)
+                    near = _neighbours(bucket, of, fixed, known)
                     order = np.argsort(bucket, kind="stable")
                     there, first = np.unique(bucket[order], return_index=True)
                     total[there] += np.add.reduceat(near[order], first, axis=0)
@@ -105,14 +108,15 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """(rows, 2 DIM): mean and mean square of the word vectors of each whole text; zeros for one without words."""
-    out = np.zeros((len(texts), 2 * DIM), np.float32)
+    out, n = np.zeros((len(texts), 2 * DIM)), np.zeros((len(texts), 1), np.int64)
     for lo, hi, data, at in B.blocks(texts):
-        bucket, of = tokens(data, at)
-        rows = vectors[bucket]
-        n = np.maximum(np.diff(of), 1)[:, None]
-        out[lo:hi, :DIM] = B.tail(rows, of) / n
-        out[lo:hi, DIM:] = B.tail(rows * rows, of) / n
-    return out
+        for bucket, of, known in _stretches(data, at):
+            bucket, of = bucket[known:], np.maximum(of - known, 0)
+            rows = vectors[bucket]
+            n[lo:hi, 0] += np.diff(of)
+            out[lo:hi, :DIM] += B.tail(rows, of)
+            out[lo:hi, DIM:] += B.tail(rows * rows, of)
+    return (out / np.maximum(n, 1)).astype(np.float32)
 
 
 class Network:
@@ -179,11 +183,13 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_train: int
 
     def run(batches):
         for batch in batches:
-            x = pooled(batch.column(1), vectors)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float32()))], ["y", "x"])
+            x = pooled(batch.column(2), vectors)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float32()))], ["id", "y", "x"])
 
-    # the sample holds about max_train rows whatever the size of the tables, so it is broadcast and the texts aren't shuffled
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(some), "id").select("y", "text").mapInArrow(run, "y int, x array<float>").toArrow()
+    # the sample holds about max_train ids whatever the size of the tables, so it is broadcast and the texts aren't shuffled; of several rows of an id one is learned from
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    one = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(some), "id").select("id", "y", "text").mapInArrow(run, f"id {kind}, y int, x array<float>")
+    rows = one.groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).select("y", "x").toArrow()
     y = rows.column("y").to_numpy().astype(np.float64)
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(len(y), 2 * DIM)
     order = np.lexsort(x.T[::-1])  # the same network whatever order the tasks end in

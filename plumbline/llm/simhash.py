@@ -163,16 +163,21 @@ def links(distinct: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[at])], ["key", "fp"])
 
     def meet(batches):
-        held_key, held_fp = np.empty(0, np.int64), np.empty(0, U)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the run at the end, which may go on in the next batch
         for batch in batches:
-            key = np.concatenate([held_key, batch.column(0).to_numpy()])
-            fp = np.concatenate([held_fp, batch.column(1).to_numpy().view(U)])
-            last = np.searchsorted(key, key[-1], "left") if len(key) else 0  # a run may go on in the next batch
-            held_key, held_fp = key[last:], fp[last:]
-            if last:
-                yield told(_links(key[:last], fp[:last]))
-        if len(held_key):
-            yield told(_links(held_key, held_fp))
+            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(U)
+            if not len(key):
+                continue
+            last = int(np.searchsorted(key, key[-1], "left"))
+            if held and key[0] == held[0][0][0] and not last:
+                held.append((key, fp))
+                continue
+            if held or last:
+                front = [*held, (key[:last], fp[:last])]
+                yield told(_links(np.concatenate([k for k, _ in front]), np.concatenate([f for _, f in front])))
+            held = [(key[last:], fp[last:])]
+        if held:
+            yield told(_links(np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held])))
 
     def told(found: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(found[:, k].view(np.int64)) for k in (0, 1)], ["a", "b"])

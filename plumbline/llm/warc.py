@@ -82,7 +82,10 @@ def _unzip(data: bytes) -> bytes:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
-    """A response record, or a revisit of the page refers_to, not compressed."""
+    """A response record, or a revisit of the page refers_to, not compressed.
+
+    WARC-Target-URI has %20 for each space and unprintable character of the URL, so such URLs are not given back as they were; WARC-Date is DATE, as pages have no fetch time.
+    """
     again = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     name = lambda n: f"<urn:page:{'' if n is None else n}>"

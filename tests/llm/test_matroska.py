@@ -56,6 +56,27 @@ def test_bad_files(bad):
         M.demux(bad)
 
 
+def test_broken_files_raise_bad_alone():
+    rng = random.Random(4)
+    block = b"\x81" + struct.pack(">hB", 7, 0x80 | M.XIPH << 1)
+    whole = [frame_file(block + M.laced([700, 255, 3], M.XIPH) + bytes(958)), frame_file(block + b"\x03\xff\xff"), frame_file(block), M.mux(rng.randbytes(6400)), frame_file(b"\x81" + struct.pack(">hB", 7, 0x80 | M.EBML_LACING << 1) + b"\x02\x40")]
+    for buf in whole:
+        for _ in range(400):
+            x = bytearray(buf)
+            for _ in range(rng.randint(0, 3)):
+                x[rng.randrange(len(x))] = rng.randrange(256)
+            try:
+                M.demux(bytes(x[: rng.choice([len(x), rng.randrange(len(x))])]))
+            except M.Bad:
+                pass
+
+
+def test_broken_files_in_a_table(spark):
+    rows = [(1, bytearray(M.mux(bytes(64)))), (2, bytearray(b"RIFF")), (3, None), (4, bytearray(M.mux(bytes(640))[:-3])), (None, bytearray(b""))]
+    out = M.packet_table(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    assert sorted((r.doc_id or 0, r.track is None, r.error is None) for r in out) == [(0, True, False), (1, False, True), (2, True, False), (4, True, False)]
+
+
 def test_query_on_texts(spark):
     rows = [(1, "abc", "x"), (2, None, "x"), (3, "", "y"), (4, "é" * 5000, "z"), (5, "abc", "w"), (5, "abc", "w"), (6, "a" * 64, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string, media string")

@@ -55,7 +55,27 @@ def test_tokens():
         bucket, of = quality.tokens(data, at)
     parts = [bucket[a:b].tolist() for a, b in zip(of, of[1:])]
     assert [len(p) for p in parts] == [6, 0, 3, 1]
-    assert parts[0][2] == quality.CAPITALS and parts[0][4] == quality.REPEATED and parts[2][1] == quality.REPEATED
+    assert parts[0][3] == parts[0][4] != parts[0][2] and parts[2][0] == parts[2][1]
+
+
+def test_long_texts_in_stretches_give_the_same(spark, monkeypatch):
+    texts = ["one two three, four five six seven! eight " * 30, "short text", None, "x" * 200 + " tail of it"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    whole = quality.word_vectors(df)
+    x = quality.pooled(pa.array(texts), whole)
+    monkeypatch.setattr(B, "BLOCK", 64)
+    total = np.zeros((quality.BUCKETS, quality.DIM))
+    for _, _, data, at in B.blocks(pa.array(texts)):
+        for bucket, of, known in quality._stretches(data, at):
+            np.add.at(total, bucket, quality._neighbours(bucket, of, quality.index_vectors(), known))
+    assert np.allclose(whole, total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9), atol=1e-6)
+    assert np.allclose(quality.pooled(pa.array(texts), whole), x, atol=1e-6)
+
+
+def test_several_rows_of_a_labelled_id(spark):
+    docs = spark.createDataFrame([(1, "good words here"), (1, "other words"), (1, "other words"), (3, "bad bad"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 0), (4, 0)], "doc_id long, quality int")
+    assert quality.quality_scores(docs, labels).count() == 5
 
 
 def test_word_vectors_are_sums_of_neighbours(spark):
