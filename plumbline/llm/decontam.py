@@ -31,8 +31,8 @@ from plumbline.llm._store import Workspace
 WINDOW, LITERALS, CONTAINED, RUN = 5, 2, 0.8, 9
 #: Forms of windows: of all tokens, of merged tokens, of WINDOW words, of 1 to WINDOW - 1 words (PLAIN + n).
 ALL, MERGED, PLAIN = 0, 1, 2
-#: The Bloom filter has 2 ** bits bits, 16 or more for each window of the benchmark within these bounds: 32 MB at most are broadcast, and a larger benchmark passes more.
-FILTER_BITS = (16, 28)
+#: The Bloom filter has 2 ** bits bits, 1024 or more for each window of the benchmark within these bounds: 32 MB at most are broadcast, and a larger benchmark passes more.
+FILTER_BITS = (20, 28)
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
 # Words read as numbers, as units, and capitalised words that are no names.
@@ -159,7 +159,7 @@ def _window_table(df: DataFrame, keep: list[str], forms: list[int] | None = None
 
 def _filter(bench: DataFrame, n: int) -> np.ndarray:
     """The Bloom filter of the hashes of n windows, as 64-bit words: a hash's first bits name its bit. It comes to the driver as words that aren't zero."""
-    bits = min(max((16 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    bits = min(max((1024 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
     spot = F.shiftrightunsigned("h", 64 - bits)
     rows = bench.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
     out = np.zeros(1 << bits - 6, B.U)
