@@ -253,3 +253,25 @@ def line_axis(start: Column, end: Column, tolerance: float = 5.0) -> Column:
     dx, dy = F.abs(end["x"] - start["x"]), F.abs(end["y"] - start["y"])
     deg = F.degrees(F.atan2(dy, dx))
     return F.when((dx > 0) | (dy > 0), F.when(deg <= tolerance, F.lit("x")).when(deg >= 90 - tolerance, F.lit("y")).otherwise(F.lit("diagonal")))
+
+
+def moved_in(ring: Column, insets: Column) -> Column:
+    """The ring with every edge moved inwards by its own inset: vertices are where neighbouring edges meet then; where they are parallel, the vertex moves with its edge."""
+    side = F.when(signed_area(ring) >= 0, 1.0).otherwise(-1.0)
+
+    def line(e: Column, d: Column) -> Column:
+        dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        long = F.nullif(F.hypot(dx, dy), F.lit(0.0))
+        nx, ny = -dy / long * side, dx / long * side
+        return F.struct((e["a"]["x"] + nx * d).alias("x"), (e["a"]["y"] + ny * d).alias("y"), dx.alias("dx"), dy.alias("dy"))
+
+    def corners(l: Column) -> Column:  # noqa: E741
+        def corner(v: Column, i: Column) -> Column:
+            u = F.get(l, F.pmod(i - 1, F.size(l)))
+            k = u["dx"] * v["dy"] - u["dy"] * v["dx"]
+            t = ((v["x"] - u["x"]) * v["dy"] - (v["y"] - u["y"]) * v["dx"]) / F.when(F.abs(k) > 1e-9, k)
+            return F.struct(F.coalesce(u["x"] + t * u["dx"], v["x"]).alias("x"), F.coalesce(u["y"] + t * u["dy"], v["y"]).alias("y"))
+
+        return F.transform(l, corner)
+
+    return let(F.zip_with(edges(ring), insets, line), corners)

@@ -144,32 +144,36 @@ def otsu(hist: DataFrame, plan: list[str], lo: int = 0, hi: int = 256) -> DataFr
     return best.select(*plan, (-F.col("b.l")).alias("threshold"), "total")
 
 
-def components(runs: DataFrame, plan: list[str], work, diagonal: bool = False) -> DataFrame:
-    """Runs with the least run number (y, x0 packed) of their component: neighbours in the next row that overlap, with a pixel's slack for 8-connectivity.
+def connected(nodes: DataFrame, edges: DataFrame, plan: list[str], work, name: str = "") -> DataFrame:
+    """(plan..., id, root): the least id that can be reached from each node. nodes: plan..., id. edges: plan..., u, v, either way.
 
     The steps are minima over neighbours and jumps to the neighbour's own minimum, each written by work.save(df, name) until nothing changes.
     """
-    slack = 1 if diagonal else 0
-    one = runs.select(*plan, "y", "x0", "x1", (F.col("y") * 1048576 + F.col("x0")).alias("id"))
-    a, b = one.alias("a"), one.alias("b")
-    on = (F.col("a.y") + 1 == F.col("b.y")) & (F.col("a.x0") <= F.col("b.x1") + slack) & (F.col("b.x0") <= F.col("a.x1") + slack)
-    for c in plan:
-        on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    edge = a.join(b, on).select(*[F.col(f"a.{c}").alias(c) for c in plan], F.col("a.id").alias("u"), F.col("b.id").alias("v"))
-    edge = work.save(edge.unionByName(edge.select(*plan, F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
-    label = work.save(one.select(*plan, "id", F.col("id").alias("root")), "label0")
+    edge = work.save(edges.select(*plan, "u", "v").unionByName(edges.select(*plan, F.col("v").alias("u"), F.col("u").alias("v"))), f"{name}edges")
+    label = work.save(nodes.select(*plan, "id", F.col("id").alias("root")), f"{name}label0")
     turn = 0
     while True:
         turn += 1
         near = edge.join(label.select(*plan, F.col("id").alias("v"), F.col("root").alias("r")), [*plan, "v"]).groupBy(*plan, F.col("u").alias("id")).agg(F.min("r").alias("r"))
         low = label.join(near, [*plan, "id"], "left").select(*plan, "id", "root", F.least("root", "r").alias("new"))
         jump = low.select(*plan, F.col("id").alias("new"), F.col("new").alias("far"))
-        now = work.save(low.join(jump, [*plan, "new"], "left").select(*plan, "id", F.col("root").alias("old"), F.least("new", "far").alias("root")), f"label{turn}")
+        now = work.save(low.join(jump, [*plan, "new"], "left").select(*plan, "id", F.col("root").alias("old"), F.least("new", "far").alias("root")), f"{name}label{turn}")
         if not now.filter("root != old").limit(1).count():
-            break
-        work.drop(f"label{turn - 1}")
+            return now.select(*plan, "id", "root")
+        work.drop(f"{name}label{turn - 1}")
         label = now.drop("old")
-    return one.join(now.select(*plan, "id", "root"), [*plan, "id"])
+
+
+def components(runs: DataFrame, plan: list[str], work, diagonal: bool = False, name: str = "") -> DataFrame:
+    """Runs with the least run number (y, x0 packed) of their component: neighbours in the next row that overlap, with a pixel's slack for 8-connectivity."""
+    slack = 1 if diagonal else 0
+    one = runs.select(*plan, "y", "x0", "x1", (F.col("y") * 1048576 + F.col("x0")).alias("id"))
+    a, b = one.alias("a"), one.alias("b")
+    on = (F.col("a.y") + 1 == F.col("b.y")) & (F.col("a.x0") <= F.col("b.x1") + slack) & (F.col("b.x0") <= F.col("a.x1") + slack)
+    for c in plan:
+        on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    edge = a.join(b, on).select(*[F.col(f"a.{c}").alias(c) for c in plan], F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+    return one.join(connected(one, edge, plan, work, name), [*plan, "id"])
 
 
 # Grey pixels in long form: (plan..., y, x, gray).
