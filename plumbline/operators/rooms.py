@@ -82,7 +82,15 @@ def grown(images: DataFrame, marks: DataFrame) -> DataFrame:
     return images.join(per, "plan_id").mapInPandas(run, ROOMS)
 
 
-def auto_scale(images: DataFrame, marks: DataFrame, footprints: DataFrame) -> DataFrame:
-    """The scale that all labelled rooms of a drawing agree on: consensus.select_scale over grown rooms. footprints: plan_id, area_px."""
-    rooms = grown(images, marks).withColumn("outside", F.lit(False))
-    return consensus.select_scale(rooms, footprints)
+def outside_living(rooms: DataFrame, exterior: DataFrame | None) -> DataFrame:
+    """rooms with outside: whether a label of what is no living area (plan_id, x, y) stands in the room."""
+    if exterior is None:
+        return rooms.withColumn("outside", F.lit(False))
+    mark = exterior.select("plan_id", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    hit = rooms.select("plan_id", "label_id", "x0", "y0", "x1", "y1").join(mark, "plan_id").filter("_x BETWEEN x0 AND x1 AND _y BETWEEN y0 AND y1").select("plan_id", "label_id").distinct()
+    return rooms.join(hit.withColumn("outside", F.lit(True)), ["plan_id", "label_id"], "left").withColumn("outside", F.coalesce("outside", F.lit(False)))
+
+
+def auto_scale(images: DataFrame, marks: DataFrame, footprints: DataFrame, exterior: DataFrame | None = None) -> DataFrame:
+    """The scale that all labelled rooms of a drawing agree on: consensus.select_scale over grown rooms. footprints: plan_id, area_px. exterior: plan_id, x, y of labels such as a garage's or a porch's."""
+    return consensus.select_scale(outside_living(grown(images, marks), exterior), footprints)

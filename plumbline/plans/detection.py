@@ -34,6 +34,42 @@ def traced_floors(spark: SparkSession, d: str) -> DataFrame:
     return f.select("plan_id", "floor", F.round("area_px", 3).alias("area_px"), F.size("ring").alias("corners"))
 
 
+def doors(spark: SparkSession, d: str) -> DataFrame:
+    """Houses with an opening in the top wall: none, a door of 14, or one of 0.45 of the wall, and a smaller building far to the right or below it in every other drawing."""
+    k = F.col("s_suppkey")
+    w, h = 160 + (k * 7) % 100, 120 + (k * 13) % 90
+    return V.spread(V.read(spark, d, "supplier").select("s_suppkey")).select(k.alias("plan_id"), w.cast("int").alias("w"), h.cast("int").alias("h"), F.when(k % 3 == 0, 0).when(k % 3 == 1, 14).otherwise(F.floor(w * 0.45)).cast("int").alias("gap"), (k % 2).cast("int").alias("two"))
+
+
+def _pages(house: DataFrame) -> DataFrame:
+    import numpy as np
+    import pandas as pd
+
+    def draw(frames):
+        for f in frames:
+            for r in f.itertuples():
+                box = lambda x, y, w, h: np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)])
+                page = images.drawing([box(20, 20, r.w, r.h), *([box(r.w + 110, 40, 100, 80)] if r.two else [])], 500, 260, THICK)
+                if r.gap:
+                    a = 20 + (r.w - r.gap) // 2
+                    page[15:26, a : a + r.gap, :3] = 255
+                yield pd.DataFrame({"plan_id": [r.plan_id], "width": [500], "height": [260], "data": [page.tobytes()]})
+
+    return house.mapInPandas(draw, "plan_id bigint, width int, height int, data binary")
+
+
+_DOORS = "h AS (SELECT s_suppkey AS k, 160 + (s_suppkey * 7) % 100 AS w, 120 + (s_suppkey * 13) % 90 AS h FROM supplier)"
+
+
+@query(f"""
+WITH {_DOORS} SELECT k AS plan_id, 0::BIGINT AS floor, ((w + 5) * (h + 5))::DOUBLE AS area_px, CASE WHEN k % 3 = 2 THEN 'span' ELSE 'weld' END AS policy FROM h
+UNION ALL SELECT k, 1, (105 * 85)::DOUBLE, 'weld' FROM h WHERE k % 2 = 1""")
+def rescued_floors(spark: SparkSession, d: str) -> DataFrame:
+    """Outlines of houses with openings: a door is welded, a wide opening is closed by walls at full length, and a second building is the second floor in reading order."""
+    f = detect.floors(_pages(doors(spark, d)))
+    return f.select("plan_id", "floor", F.round("area_px", 3).alias("area_px"), F.when(F.col("policy") == "raw", "weld").otherwise(F.col("policy")).alias("policy"))
+
+
 PPF = 8.0
 
 
