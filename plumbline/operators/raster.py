@@ -219,9 +219,11 @@ def pooled(cells: DataFrame, plan: list[str], factor: int) -> DataFrame:
     return cells.groupBy(*plan, *at).agg(F.max("ink").alias("ink"), F.floor(F.avg("gray") + 0.5).cast("bigint").alias("gray"))
 
 
-def speckle(cells: DataFrame, plan: list[str]) -> DataFrame:
-    """(plan..., speckle): the share of ink pixels without ink beside, above or below them. cells: y, x of ink."""
+def speckle(cells: DataFrame, plan: list[str], width: int, height: int, stride: int = 2) -> DataFrame:
+    """(plan..., speckle): the share of ink pixels without ink beside, above or below them, of those on every stride-th row and column from 1 on, the border left out; 0 where there are none. cells: y, x of ink."""
     row, col = W.partitionBy(*plan, "y").orderBy("x"), W.partitionBy(*plan, "x").orderBy("y")
     near = lambda c, w: (F.coalesce(F.col(c) - F.lag(c).over(w) == 1, F.lit(False))) | (F.coalesce(F.lead(c).over(w) - F.col(c) == 1, F.lit(False)))
     alone = ~near("x", row) & ~near("y", col)
-    return cells.select(*plan, "y", "x").withColumn("_a", alone.cast("int")).groupBy(*plan).agg(F.avg("_a").alias("speckle"))
+    looked = (F.col("x") % stride == 1) & (F.col("y") % stride == 1) & (F.col("x") < width - 1) & (F.col("y") < height - 1) if stride > 1 else F.lit(True)
+    one = cells.select(*plan, "y", "x").withColumn("_a", alone.cast("int"))
+    return one.groupBy(*plan).agg(F.coalesce(F.avg(F.when(looked, F.col("_a"))), F.lit(0.0)).alias("speckle"))

@@ -37,14 +37,22 @@ def workspace_area(spark: SparkSession, d: str) -> DataFrame:
     return area.workspace(t, live).withColumn("area", F.round("area", 4))
 
 
-@query(""", m AS (SELECT plan_id, line, part, line * 100.0 AS x0, (part % 50)::DOUBLE AS y0, w_ft * ppf AS w, h_ft * ppf AS h, part % 2 = 0 AS ell FROM it)
-SELECT plan_id, line, part, w * h * CASE WHEN ell THEN 0.75 ELSE 1 END AS signed_area, 2 * (w + h) AS perimeter, round(x0 + w * CASE WHEN ell THEN 5.0 / 12 ELSE 0.5 END, 4) AS cx,
-  round(y0 + h * CASE WHEN ell THEN 5.0 / 12 ELSE 0.5 END, 4) AS cy, x0::DOUBLE AS min_x, y0 + h AS max_y, 'CW' AS winding, false AS crosses FROM m""", items=True)
+@query(""", m AS (SELECT plan_id, line, part, line * 100.0 AS x0, (part % 50)::DOUBLE AS y0, w_ft * ppf AS w, h_ft * ppf AS h, CASE WHEN part % 7 = 3 THEN 'bow' WHEN part % 7 = 4 THEN 'two' WHEN part % 2 = 0 THEN 'ell' ELSE 'box' END AS k, part % 5 = 0 AND part % 7 NOT IN (3, 4) AS back FROM it)
+SELECT plan_id, line, part, CASE k WHEN 'ell' THEN w * h * 0.75 WHEN 'box' THEN w * h ELSE 0 END * CASE WHEN back THEN -1 ELSE 1 END AS signed_area, round(CASE k WHEN 'bow' THEN 2 * sqrt(w * w + h * h) + 2 * h WHEN 'two' THEN 2 * w ELSE 2 * (w + h) END, 6) AS perimeter,
+  round(x0 + w * CASE WHEN k = 'ell' THEN 5.0 / 12 ELSE 0.5 END, 4) AS cx, round(y0 + h * CASE k WHEN 'ell' THEN 5.0 / 12 WHEN 'two' THEN 0 ELSE 0.5 END, 4) AS cy, x0::DOUBLE AS min_x, CASE k WHEN 'two' THEN y0 ELSE y0 + h END AS max_y,
+  CASE WHEN k IN ('bow', 'two') THEN 'degenerate' WHEN back THEN 'CCW' ELSE 'CW' END AS winding, k = 'bow' AS crosses FROM m""", items=True)
 def trace_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Rectangles and Ls wound either way, bows that cross themselves, and outlines of two corners."""
+    k = F.col("part") % 7
+    at = lambda i: F.get("ring", F.lit(i))
+    low, right = F.array_max(F.transform("ring", lambda p: p["y"])), F.array_max(F.transform("ring", lambda p: p["x"]))
+    bow = F.array(at(0), geom.point(right, low), geom.point(right, at(0)["y"]), geom.point(at(0)["x"], low))
+    ring = F.when(k == 3, bow).when(k == 4, F.slice("ring", 1, 2)).when(F.col("part") % 5 == 0, F.reverse("ring")).otherwise(F.col("ring"))
+    one = V.traces(spark, d).select("plan_id", "line", "part", ring.alias("ring"))
     r = F.col("ring")
     c, b = geom.centroid(r), geom.bounds(r)
-    return V.traces(spark, d).select(
-        "plan_id", "line", "part", geom.signed_area(r).alias("signed_area"), geom.perimeter(r).alias("perimeter"), F.round(c["x"], 4).alias("cx"), F.round(c["y"], 4).alias("cy"),
+    return one.select(
+        "plan_id", "line", "part", geom.signed_area(r).alias("signed_area"), F.round(geom.perimeter(r), 6).alias("perimeter"), F.round(c["x"], 4).alias("cx"), F.round(c["y"], 4).alias("cy"),
         b["x0"].alias("min_x"), b["y1"].alias("max_y"), geom.winding(r).alias("winding"), geom.self_intersects(r).alias("crosses"),
     )
 

@@ -74,9 +74,11 @@ PPF = 8.0
 
 
 @query("""
-WITH m AS (SELECT s_suppkey AS k, 160 + (s_suppkey * 7) % 100 AS w0, 120 + (s_suppkey * 13) % 90 AS h0 FROM supplier) SELECT k AS plan_id, 8.0::DOUBLE AS ppf, 'ok' AS level, 'auto-consensus' AS reason, 4::BIGINT AS room_count FROM m""")
+SELECT s_suppkey AS plan_id, CASE s_suppkey % 5 WHEN 4 THEN 16.0 ELSE 8.0 END::DOUBLE AS ppf, CASE WHEN s_suppkey % 5 IN (0, 2) THEN 'ok' ELSE 'check' END AS level,
+  CASE s_suppkey % 5 WHEN 1 THEN 'too-few-rooms' WHEN 3 THEN 'area-implausible' WHEN 4 THEN 'area-implausible' ELSE 'auto-consensus' END AS reason, CASE s_suppkey % 5 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 4 THEN 2 ELSE 4 END::BIGINT AS room_count FROM supplier""")
 def auto_scale(spark: SparkSession, d: str) -> DataFrame:
-    """Each house divided in four rooms, whose printed lengths are those of their inner faces at 8 pixels a foot: the scale found is that again."""
+    """Each house divided in four rooms, whose printed lengths are those of their inner faces at 8 pixels a foot: the scale found is that again. By the key, a house has all
+    four labels; two of them; a garage's label in its last room; a traced outline that is much too small; or half the lengths printed in two of its rooms."""
     import numpy as np
     import pandas as pd
 
@@ -101,6 +103,10 @@ def auto_scale(spark: SparkSession, d: str) -> DataFrame:
     four = F.array(
         side(0, 20 + left / 2, 20 + top / 2, left, top), side(1, 20 + left + right / 2, 20 + top / 2, right, top), side(2, 20 + left / 2, 20 + top + low / 2, left, low), side(3, 20 + left + right / 2, 20 + top + low / 2, right, low)
     )
-    marks = house.select("plan_id", F.explode(four).alias("m")).select("plan_id", "m.*")
-    feet = house.select("plan_id", (F.col("w") * F.col("h")).cast("double").alias("area_px"))
-    return rooms.auto_scale(pages, marks, feet).select("plan_id", F.round("ppf", 6).alias("ppf"), "level", "reason", "room_count")
+    case = F.col("plan_id") % 5
+    half = F.when((case == 4) & (F.col("label_id") >= 2), 0.5).otherwise(1.0)
+    marks = house.select("plan_id", F.explode(four).alias("m")).select("plan_id", "m.*").filter((case != 1) | (F.col("label_id") < 2))
+    marks = marks.withColumns({"dim_w": F.col("dim_w") * half, "dim_h": F.col("dim_h") * half})
+    feet = house.select("plan_id", (F.col("w") * F.col("h") * F.when(case == 3, 0.25).otherwise(1.0)).cast("double").alias("area_px"))
+    garage = house.filter(case == 2).select("plan_id", (F.col("w") + 5).cast("double").alias("x"), (F.col("h") + 5).cast("double").alias("y"))
+    return rooms.auto_scale(pages, marks, feet, garage).select("plan_id", F.round("ppf", 6).alias("ppf"), "level", "reason", "room_count")

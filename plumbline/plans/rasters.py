@@ -139,6 +139,6 @@ def turned_crop(spark: SparkSession, d: str) -> DataFrame:
     return _long(R.turned(R.cropped(runs(spark, d), PLAN, 20, 10, 139, 89), PLAN, 120, 80))
 
 
-@query(_CELLS + " SELECT plan_id, round(avg((NOT EXISTS (SELECT 1 FROM c b WHERE b.plan_id = c.plan_id AND abs(b.x - c.x) + abs(b.y - c.y) = 1))::INTEGER), 9) AS speckle FROM c GROUP BY plan_id")
+@query(_CELLS + " SELECT plan_id, coalesce(round(avg((NOT EXISTS (SELECT 1 FROM c b WHERE b.plan_id = c.plan_id AND abs(b.x - c.x) + abs(b.y - c.y) = 1))::INTEGER) FILTER (WHERE x % 2 = 1 AND y % 2 = 1 AND x < 239 AND y < 149), 9), 0) AS speckle FROM c GROUP BY plan_id")
 def speckle(spark: SparkSession, d: str) -> DataFrame:
-    return R.speckle(cells(spark, d), PLAN).withColumn("speckle", F.round("speckle", 9))
+    return R.speckle(cells(spark, d), PLAN, WIDTH, HEIGHT).withColumn("speckle", F.round("speckle", 9))
