@@ -78,7 +78,8 @@ def _variants(held: DataFrame, work: Workspace) -> DataFrame:
     )
     edges = work.save(edges, "edges")
     # pieces are dealt out before they are taken apart, by a fixed number of partitions, so that their characters needn't be
-    dealt = pieces.join(edges.drop("first"), ["h1", "h2", "p"]).repartition(int(work.spark.conf.get("spark.sql.shuffle.partitions")), "h1", "h2", "p")
+    # (before the join, which keeps to it)
+    dealt = pieces.repartition(int(work.spark.conf.get("spark.sql.shuffle.partitions")), "h1", "h2", "p").join(edges.drop("first"), ["h1", "h2", "p"])
     one = dealt.select("*", F.posexplode(chars).alias("i", "c")).drop("piece")
     own = W.partitionBy("h1", "h2", "p")
     left, right = own.orderBy("i").rowsBetween(W.unboundedPreceding, -1), own.orderBy(F.desc("i")).rowsBetween(W.unboundedPreceding, -1)
