@@ -1,4 +1,5 @@
-"""Joins of outlines, labels, rooms and walls. All are equi-joins on the plan first; what is near, inside or overlapping is the residual."""
+"""Joins of outlines, labels, rooms and walls. All are equi-joins on the plan first; what is near, inside or overlapping is the residual. Boxes meet by the cells
+of a grid, too, so that a plan with very many is not every box against every other, and not one task's work."""
 
 from __future__ import annotations
 
@@ -9,6 +10,19 @@ from pyspark.sql import functions as F
 from plumbline.functions import geom, labels
 
 TITLE_BAND = 6.0  # fixed value: heights of a label within which it can be an outline's title
+CELL = 256.0  # pixels of a grid cell
+
+
+def _in_cells(df: DataFrame, cell: float) -> DataFrame:
+    at = lambda k: F.floor(F.col("box")[k] / cell).cast("bigint")
+    return df.withColumns({"_x0": at("x0"), "_y0": at("y0")}).withColumn("_cx", F.explode(F.sequence("_x0", at("x1")))).withColumn("_cy", F.explode(F.sequence("_y0", at("y1"))))
+
+
+def meeting(a: DataFrame, b: DataFrame, cell: float = CELL) -> DataFrame:
+    """Pairs of rows, as a and b, of one plan whose boxes (column box) meet; each pair once, in the first cell that both are in."""
+    first = lambda k: F.greatest(F.col(f"a._{k}0"), F.col(f"b._{k}0")) == F.col(f"a._c{k}")
+    on = (F.col("a.plan_id") == F.col("b.plan_id")) & (F.col("a._cx") == F.col("b._cx")) & (F.col("a._cy") == F.col("b._cy"))
+    return _in_cells(a, cell).alias("a").join(_in_cells(b, cell).alias("b"), on).filter(first("x") & first("y") & geom.boxes_meet(F.col("a.box"), F.col("b.box")))
 
 
 def center(x: Column, y: Column, w: Column, h: Column) -> Column:
@@ -31,7 +45,8 @@ def classify(outlines: DataFrame, marks: DataFrame) -> DataFrame:
     shape = outlines.filter(F.size("ring") >= 3).select("plan_id", "trace_id", "ring", geom.bounds(F.col("ring")).alias("box"))
     pair = marks.filter(F.col("type").isNotNull()).join(shape, "plan_id")
     c = center(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
-    pair = pair.withColumns({"inside": geom.in_ring(c, F.col("ring")), "size": geom.box_area(F.col("box")), "near": title_gap(F.col("box"), F.col("x"), F.col("y"), F.col("w"), F.col("h")) <= TITLE_BAND * F.greatest(F.col("h"), F.lit(1.0))}).drop("ring", "box")
+    within = (c["x"].between(F.col("box.x0"), F.col("box.x1"))) & (c["y"].between(F.col("box.y0"), F.col("box.y1")))
+    pair = pair.withColumns({"inside": F.when(within, geom.in_ring(c, F.col("ring"))).otherwise(F.lit(False)), "size": geom.box_area(F.col("box")), "near": title_gap(F.col("box"), F.col("x"), F.col("y"), F.col("w"), F.col("h")) <= TITLE_BAND * F.greatest(F.col("h"), F.lit(1.0))}).drop("ring", "box")
     label = pair.groupBy("plan_id", "label_id", "type").agg(
         F.min(F.when(F.col("inside"), F.struct("size", "trace_id"))).alias("host"), F.sum(F.col("near").cast("int")).alias("n"), F.min(F.when(F.col("near"), F.col("trace_id"))).alias("title")
     )
@@ -49,10 +64,9 @@ def double_counted(outlines: DataFrame, share: float = 0.9) -> DataFrame:
     outlines: plan_id, trace_id, type, ring.
     """
     kind = labels.normal_type(F.col("type"))
-    inner = outlines.filter(kind != "gla").select("plan_id", F.col("trace_id").alias("inner_id"), F.col("ring").alias("inner"))
-    outer = outlines.filter(kind == "gla").select("plan_id", F.col("trace_id").alias("outer_id"), F.col("ring").alias("outer"))
-    pair = inner.join(outer, "plan_id").filter(geom.boxes_meet(geom.bounds(F.col("inner")), geom.bounds(F.col("outer"))) & (geom.share_inside(F.col("inner"), F.col("outer")) >= share))
-    return pair.groupBy("plan_id", "inner_id").agg(F.min("outer_id").alias("outer_id"))
+    boxed = outlines.filter(F.size("ring") > 0).select("plan_id", "trace_id", "ring", (kind == "gla").alias("living"), geom.bounds(F.col("ring")).alias("box"))
+    pair = meeting(boxed.filter("NOT living"), boxed.filter("living")).filter(geom.share_inside(F.col("a.ring"), F.col("b.ring")) >= share)
+    return pair.groupBy(F.col("a.plan_id").alias("plan_id"), F.col("a.trace_id").alias("inner_id")).agg(F.min("b.trace_id").alias("outer_id"))
 
 
 def non_living_rooms(rooms: DataFrame, marks: DataFrame) -> DataFrame:
@@ -115,12 +129,12 @@ def fan_out(warnings: DataFrame, floors: DataFrame) -> DataFrame:
 
 def twins(boxes: DataFrame, share: float = 0.65) -> DataFrame:
     """(plan_id, box_id, twins): how many other boxes of the plan overlap each by a share of the smaller. boxes: plan_id, box_id, box."""
-    pair = boxes.alias("a").join(boxes.alias("b"), (F.col("a.plan_id") == F.col("b.plan_id")) & (F.col("a.box_id") != F.col("b.box_id")) & geom.boxes_meet(F.col("a.box"), F.col("b.box")))
+    pair = meeting(boxes, boxes).filter(F.col("a.box_id") != F.col("b.box_id"))
     close = pair.filter(geom.overlap_ratio(F.col("a.box"), F.col("b.box")) > share).groupBy(F.col("a.plan_id").alias("plan_id"), F.col("a.box_id").alias("box_id")).agg(F.count("*").alias("n"))
     return boxes.select("plan_id", "box_id").join(close, ["plan_id", "box_id"], "left").select("plan_id", "box_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("twins"))
 
 
 def uncovered(boxes: DataFrame, covers: DataFrame, share: float) -> DataFrame:
     """The boxes of which no cover of the plan covers more than a share: an anti join. Both: plan_id, box_id, box."""
-    on = (F.col("a.plan_id") == F.col("b.plan_id")) & geom.boxes_meet(F.col("a.box"), F.col("b.box")) & (geom.cover_ratio(F.col("b.box"), F.col("a.box")) > share)
-    return boxes.alias("a").join(covers.alias("b"), on, "left_anti")
+    held = meeting(boxes, covers).filter(geom.cover_ratio(F.col("b.box"), F.col("a.box")) > share)
+    return boxes.join(held.select(F.col("a.plan_id").alias("plan_id"), F.col("a.box_id").alias("box_id")).distinct(), ["plan_id", "box_id"], "left_anti")
