@@ -23,10 +23,12 @@ from plumbline.llm.quality import held_out
 
 FEATURES, SPAN = 1 << 15, 32
 #: The bound of the sample that is learned from, in texts.
-MAX_TEXTS = 1200
+MAX_TEXTS = 800
 #: A text in a learned language has this share, at least, of the familiar letters that a low quantile of the texts learned from has.
 FAMILIAR, QUANTILE = 0.6, 0.01
 UNKNOWN = "und"
+#: Values that one step of learning has in hand at once.
+PART = 1 << 18
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -98,14 +100,18 @@ class Field:
         size = np.diff(of)
         g2w, g2m = np.full(self.weights.shape, 1e-2, np.float32), np.full(self.moves.shape, 1e-2, np.float32)
         flat = np.concatenate([rows.ravel(), tri])
-        word = np.concatenate([np.repeat(np.arange(len(rows)), rows.shape[1]), np.repeat(np.arange(len(rows)), size)])
+        number = np.arange(len(rows), dtype=np.int32)
+        word = np.concatenate([np.repeat(number, rows.shape[1]), np.repeat(number, size)])
         uses = np.bincount(line.ravel(), minlength=len(rows)).astype(np.float32)
         pair = np.zeros((k, k), np.float32)
         np.add.at(pair, (label[line[:, :-1]].ravel(), label[line[:, 1:]].ravel()), 1)
         one = np.eye(k, dtype=np.float32)[label] * uses[:, None]
         for _ in range(epochs):
             slope, move = slopes(_emissions(rows, tri, of, self.weights), self.moves, line, one, pair)
-            grad = np.stack([np.bincount(flat, weights=slope[word, j], minlength=FEATURES) for j in range(k)], axis=1).astype(np.float32) + 1e-5 * self.weights
+            grad = 1e-5 * self.weights
+            for lo in range(0, len(flat), PART):
+                at, of_word = flat[lo : lo + PART], word[lo : lo + PART]
+                grad += np.stack([np.bincount(at, weights=slope[of_word, j], minlength=FEATURES) for j in range(k)], axis=1).astype(np.float32)
             g2w += grad * grad
             g2m += move * move
             self.weights -= rate * grad / np.sqrt(g2w)
@@ -167,8 +173,13 @@ class Field:
 def slopes(e: np.ndarray, moves: np.ndarray, line: np.ndarray, one: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slopes of the mean negative log-likelihood of sequences, by the emissions e of words and by moves. line: the words of each sequence; one: how often each word
     stands in them, at its label; pair: how often each label follows another."""
-    post, pairs = _posterior_dense(e[line], moves)
-    expected = np.stack([np.bincount(line.ravel(), weights=post[:, :, j].ravel(), minlength=len(e)) for j in range(e.shape[1])], axis=1)
+    expected, pairs = np.zeros(e.shape), np.zeros(moves.shape)
+    for lo in range(0, len(line), PART // line.shape[1]):
+        some = line[lo : lo + PART // line.shape[1]]
+        post, n = _posterior_dense(e[some], moves)
+        pairs += n
+        for j in range(e.shape[1]):
+            expected[:, j] += np.bincount(some.ravel(), weights=post[:, :, j].ravel(), minlength=len(e))
     return (expected - one) / len(line), (pairs - pair) / len(line)
 
 
