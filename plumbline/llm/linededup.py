@@ -176,7 +176,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
 
 
-#: Lines within one edit share a half of the shorter one; here they meet by that and by levenshtein() alone.
+#: Lines within one edit share a half of the shorter one; here they meet by that. levenshtein() counts bytes in DuckDB, so it only thins out the pairs (a character has four
+#: bytes at most), and characters are compared then: two that differ in one place, or one taken out of the longer line.
 OP5_SQL = """
 WITH l AS (
   SELECT doc_id, ln - 1 AS ln, trim(line, E' \\t\\r\\f\\v') AS line
@@ -185,9 +186,11 @@ WITH l AS (
 u AS (SELECT line, length(line) AS n, min((doc_id, ln)) AS first FROM o GROUP BY line),
 h AS (
   SELECT *, left(line, k) AS a, right(line, k) AS z FROM (SELECT line, first, n, unnest(list_distinct([n // 2, (n - 1) // 2])) AS k FROM u)
+), p AS (
+  SELECT DISTINCT x.line, y.line AS other, x.n, y.n AS k FROM h x JOIN h y ON x.k = y.k AND (x.a = y.a OR x.z = y.z) AND y.first < x.first AND abs(x.n - y.n) <= 1 AND levenshtein(x.line, y.line) <= 4
 ), m AS (
-  SELECT x.line FROM h x JOIN h y ON x.k = y.k AND x.a = y.a AND y.first < x.first AND abs(x.n - y.n) <= 1 AND levenshtein(x.line, y.line) <= 1
-  UNION SELECT x.line FROM h x JOIN h y ON x.k = y.k AND x.z = y.z AND y.first < x.first AND abs(x.n - y.n) <= 1 AND levenshtein(x.line, y.line) <= 1
+  SELECT DISTINCT line FROM p WHERE CASE WHEN n = k THEN len(list_filter(range(1, n + 1), lambda i: line[i] <> other[i])) <= 1
+    WHEN n > k THEN len(list_filter(range(0, n), lambda i: left(line, i) || substr(line, i + 2) = other)) > 0 ELSE len(list_filter(range(0, k), lambda i: left(other, i) || substr(other, i + 2) = line)) > 0 END
 ), g AS (
   SELECT doc_id, ln FROM o JOIN u USING (line) WHERE (doc_id, ln) <> first OR line IN (SELECT line FROM m)
 ), r AS (SELECT doc_id, count(*) AS n, string_agg(ln::VARCHAR, ',' ORDER BY ln) AS removed FROM g GROUP BY doc_id)
