@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import chat, decontam, langid, linededup, matroska, mixing, quality, simhash, urlfilter, warc
+from plumbline.llm import ballkmeans, chat, decontam, langid, linededup, matroska, mixing, phrases, quality, simhash, urlfilter, vectorcodes, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_simhash": simhash.op8,
     "op9_decontam": decontam.op9,
     "op10_url_filter": urlfilter.op10,
+    "op11_vector_codes": vectorcodes.op11,
+    "op12_phrase_automata": phrases.op12,
+    "op13_ball_kmeans": ballkmeans.op13,
 }
 
 ORACLES = {
@@ -22,4 +25,7 @@ ORACLES = {
     "op2_warc_index": warc.OP2_SQL,
     "op5_line_dedup": linededup.OP5_SQL,
     "op10_url_filter": urlfilter.OP10_SQL,
+    "op11_vector_codes": vectorcodes.OP11_SQL,
+    "op12_phrase_automata": phrases.OP12_SQL,
+    "op13_ball_kmeans": ballkmeans.OP13_SQL,
 }
