@@ -7,6 +7,7 @@ tests on one machine, a temporary folder is made and removed at exit.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -31,6 +32,18 @@ def shared_root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Tables that are written inside leave no shuffle files: Spark removes them when the job has ended, not whenever the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Workspace:
     """One query's own subfolder of the shared folder; it goes when the JVM ends, or earlier by drop()."""
 

@@ -6,8 +6,8 @@ A window is 13 consecutive words. Words of a document go where a window covers t
 2. A window is known by its least 8-word gram, by hash. Such grams are counted, a row a text; grams of one text alone can't be part of a repeated window. What other windows make
    up, in a text without a break, is a stretch, and only stretches are searched further.
 3. Windows of stretches are counted, with the least and the greatest id. Those that an earlier document has too are confirmed phrases; one text that has the least id lends its words.
-4. Phrases are dealt out to shards by their gram, at most PHRASES to a shard on average. A shard's task compiles its automaton of word numbers (13 nodes a phrase, whatever the words'
-   length), then streams through it all stretches of all documents with one of its grams, and tells the words that earlier documents' phrases cover.
+4. Phrases are dealt out to shards by their least 3-word gram, which neighbours mostly share, at most PHRASES to a shard on average. A shard's task compiles its automaton of word numbers (26 nodes a phrase, whatever the words'
+   length), then streams through it all stretches of all documents with one of its grams, and tells the words that earlier documents' phrases cover. Equal stretches follow each other and are matched once.
 
 Stretches lie with their shard, so no task holds more than one automaton, and no document goes through automata that can't have anything of it. A gram that many documents share is searched
 by several tasks with the same phrases, each taking a part of the documents; a gram with very many phrases is dealt out to several automata. Texts are bucketed
@@ -26,12 +26,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm._store import Workspace
+from plumbline.llm._store import Workspace, shuffles_dropped
 
-WINDOW, GRAM = 13, 8
-PHRASES = 100_000  # of an automaton
+WINDOW, GRAM, ROUTE = 13, 8, 3
+PHRASES = 75_000  # of an automaton
 OCCURRENCES = 1_000_000  # of the phrases of one gram, that one task searches
 SPECIAL = 4096  # grams that get shards of their own, at most, in each of the two ways
+WORDS = 50_000  # that are hashed at once, if a text has no more
 LAST = 2**63 - 1  # a null id
 U = np.uint64
 
@@ -40,30 +41,61 @@ def _odd(seed: int, n: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(bytes([k]), seed) | 1 for k in range(n)], U)
 
 
-_GRAM, _WINDOW = _odd(1, GRAM), _odd(2, WINDOW)
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(29))) * U(0xBF58476D1CE4E5B9)
     return x ^ (x >> U(32))
 
 
-def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(gram, hash) of each window, as int64: the least of its 8-word grams, and its own hash."""
+class _Hashes(dict):
+    """Hashes of words; frequent ones are looked up."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_hash_of = _Hashes()
+
+
+def _sums(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each place on."""
+    out = np.zeros(max(0, len(h) - n + 1), U)
+    for k, m in enumerate(_odd(n, n)):
+        out += h[k : k + len(out)] * m
+    return _mixed(out)
+
+
+def windows(words: list[bytes], sizes: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, least, own) of each window of texts that follow each other in words; sizes: how many each has. first is its first word's place in words, least the least hash
+    of its grams of so many words, own its own hash, both as int64."""
+    many = np.maximum(sizes - WINDOW + 1, 0)
+    row = np.repeat(np.arange(len(sizes)), many)
+    first = np.arange(many.sum()) + np.repeat(np.cumsum(sizes) - sizes - np.cumsum(many) + many, many)
+    if not len(first):
+        return row, first, first.copy(), first.copy()
+    h = np.fromiter(map(_hash_of.__getitem__, words), U, len(words))
+    grams = _sums(h, gram)
     n = len(words) - WINDOW + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), U, len(words))
-    gram, own = np.zeros(len(words) - GRAM + 1, U), np.zeros(n, U)
-    for k in range(GRAM):
-        gram += h[k : k + len(gram)] * _GRAM[k]
-    for k in range(WINDOW):
-        own += h[k : k + n] * _WINDOW[k]
-    gram = _mixed(gram)
-    least = gram[:n].copy()
-    for k in range(1, WINDOW - GRAM + 1):
-        np.minimum(least, gram[k : k + n], out=least)
-    return least.view(np.int64), _mixed(own).view(np.int64)
+    least = grams[:n].copy()
+    for k in range(1, WINDOW - gram + 1):
+        np.minimum(least, grams[k : k + n], out=least)
+    return row, first, least[first].view(np.int64), _sums(h, WINDOW)[first].view(np.int64)
+
+
+def blocks(texts):
+    """(first row, words, sizes) of rows of a binary column whose words are at most WORDS together, or one row."""
+    lo, words, sizes = 0, [], []
+    for k, raw in enumerate(texts):
+        own = raw.as_py().split()
+        if words and len(words) + len(own) > WORDS:
+            yield lo, words, np.array(sizes, np.int64)
+            lo, words, sizes = k, [], []
+        words += own
+        sizes.append(len(own))
+    if sizes:
+        yield lo, words, np.array(sizes, np.int64)
 
 
 def runs(at: np.ndarray, *kinds: np.ndarray) -> list[tuple[int, int]]:
@@ -98,70 +130,69 @@ def texts(docs: DataFrame, work: Workspace, key: str, text: str) -> DataFrame:
     return _table(m, work, "texts", ["h1", "h2"])
 
 
+def _rows(columns: list, kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+
 def grams(distinct: DataFrame) -> DataFrame:
     """(gram, h1, h2): the grams by which the windows of each text are known, each once a text."""
 
     def run(batches):
         for batch in batches:
             h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for k, raw in enumerate(batch.column(2)):
-                found = np.unique(windows(raw.as_py().split())[0])
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), h1[k])), pa.array(np.full(len(found), h2[k]))], ["gram", "h1", "h2"])
-
-    return distinct.select("h1", "h2", F.encode("text", "UTF-8").alias("raw")).mapInArrow(_gathered(run), "gram long, h1 long, h2 long")
-
-
-def _gathered(run, rows: int = 50_000):
-    """run, with its small batches put together."""
+            for lo, words, sizes in blocks(batch.column(2)):
+                row, _, gram, _ = windows(words, sizes, GRAM)
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+                row, gram = row[new], gram[new]
+                order = np.lexsort((gram, row))
+                row, gram = row[order], gram[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+                at = row[new] + lo
+                yield _rows([gram[new], h1[at], h2[at]], [pa.int64()] * 3, ["gram", "h1", "h2"])
 
-    def all_of(batches):
-        held, n = [], 0
-        for b in run(batches):
-            held.append(b)
-            n += b.num_rows
-            if n >= rows:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return all_of
+    return distinct.select("h1", "h2", F.encode("text", "UTF-8").alias("raw")).mapInArrow(run, "gram long, h1 long, h2 long")
 
 
 def stretches(distinct: DataFrame, work: Workspace) -> DataFrame:
     """(uid, h1, h2, first, start, words): the stretches of each text whose windows have grams of several texts."""
-    known = grams(distinct)
+    known = work.save(grams(distinct), "grams")
     several = known.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     by_text = known.join(several, "gram").groupBy("h1", "h2").agg(F.collect_list("gram").alias("grams"))
 
     def run(batches):
+        kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()], ["h1", "h2", "first", "start", "words"]
         for batch in batches:
-            out = []
-            for h1, h2, first, raw, found in zip(*[batch.column(k).to_pylist() for k in range(4)], batch.column(4)):
-                words = raw.split()
-                at = np.flatnonzero(np.isin(windows(words)[0], found.values.to_numpy()))
-                out += [(h1, h2, first, int(at[a]), b" ".join(words[at[a] : at[b] + WINDOW])) for a, b in runs(at)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["h1", "h2", "first", "start", "words"])
+            own, of = [batch.column(k).to_numpy() for k in range(3)], batch.column(4)
+            for lo, words, sizes in blocks(batch.column(3)):
+                row, first, gram, _ = windows(words, sizes, GRAM)
+                hit = np.flatnonzero(np.isin(gram, of.slice(lo, len(sizes)).flatten().to_numpy()))  # a gram of several texts is one in each
+                at, where = first[hit], row[hit]
+                ends = runs(at, where)
+                whose = where[[a for a, _ in ends]] if ends else where
+                start = (at[[a for a, _ in ends]] if ends else at) - (np.cumsum(sizes) - sizes)[whose]
+                yield _rows([*[c[whose + lo] for c in own], start.astype(np.int32), [b" ".join(words[at[a] : at[b] + WINDOW]) for a, b in ends]], kinds, names)
 
     found = distinct.join(by_text, ["h1", "h2"]).select("h1", "h2", "first", F.encode("text", "UTF-8").alias("raw"), "grams")
     out = found.mapInArrow(run, "h1 long, h2 long, first long, start int, words binary")
-    return work.save(out.withColumn("uid", F.monotonically_increasing_id()), "stretches")
+    told = work.save(out.withColumn("uid", F.monotonically_increasing_id()), "stretches")
+    work.drop("grams")
+    return told
 
 
 def phrases(stretch: DataFrame, work: Workspace) -> DataFrame:
-    """(gram, hash, lo, n, uid, off): the windows that a later document has too, with the least id, their number, and where one that has it, has its words."""
+    """(gram, hash, lo, n, uid, off): the windows that a later document has too, with the least id, their number, and where one that has it, has its words. gram is the least of ROUTE words."""
 
     def run(batches):
+        kinds, names = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()], ["gram", "hash", "first", "uid", "off"]
         for batch in batches:
-            uid, first = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for k, raw in enumerate(batch.column(2)):
-                gram, own = windows(raw.as_py().split())
-                once = np.unique(np.stack([gram, own], axis=1), axis=0, return_index=True)[1]
-                n = len(once)
-                yield pa.RecordBatch.from_arrays([pa.array(gram[once]), pa.array(own[once]), pa.array(np.full(n, first[k])), pa.array(np.full(n, uid[k])), pa.array(once.astype(np.int32))], ["gram", "hash", "first", "uid", "off"])
-
-    seen = stretch.select("uid", "first", "words").mapInArrow(_gathered(run), "gram long, hash long, first long, uid long, off int")
+            uid, least = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, words, sizes in blocks(batch.column(2)):
+                row, first, gram, own = windows(words, sizes, ROUTE)
+                yield _rows([gram, own, least[row + lo], uid[row + lo], (first - (np.cumsum(sizes) - sizes)[row]).astype(np.int32)], kinds, names)
+
+    seen = stretch.select("uid", "first", "words").mapInArrow(run, "gram long, hash long, first long, uid long, off int")
     # of equal ids both min_by keep the same row: they see the same rows in the same order
     told = seen.groupBy("gram", "hash").agg(F.min("first").alias("lo"), F.max("first").alias("hi"), F.count("*").alias("n"), F.min_by("uid", "first").alias("uid"), F.min_by("off", "first").alias("off"))
     return work.save(told.filter("lo < hi").drop("hi"), "phrases")
@@ -181,12 +212,12 @@ class Shards:
             self.special[r.gram] = (at, parts, copies)
             at += parts * copies
 
-    def of(self, gram: np.ndarray, own: np.ndarray, salt: int) -> np.ndarray:
+    def of(self, gram: np.ndarray, own: np.ndarray, salt: np.ndarray) -> np.ndarray:
         """The shard in which a document with that salt searches each window."""
         out = gram % self.n
         for k in np.flatnonzero(np.isin(gram, list(self.special))) if self.special else ():
             at, parts, copies = self.special[int(gram[k])]
-            out[k] = at + int(own[k] % parts) * copies + salt % copies
+            out[k] = at + int(own[k] % parts) * copies + int(salt[k] % copies)
         return out
 
     def copies(self, gram: int) -> int:
@@ -198,10 +229,6 @@ KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(),
 SHAPE = "shard long, kind int, first long, h1 long, h2 long, start int, words binary"
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(KINDS)], NAMES)
-
-
 def patterns(phrase: DataFrame, stretch: DataFrame, shards: Shards) -> DataFrame:
     """Rows of kind 0: the words of confirmed phrases, those that follow each other in one text together, for each shard that needs them."""
 
@@ -215,9 +242,9 @@ def patterns(phrase: DataFrame, stretch: DataFrame, shards: Shards) -> DataFrame
                 many = [shards.copies(int(g)) for g in gram] if shards.special else [1]
                 for salt in range(max(many)):
                     use = np.array([salt < m for m in many]) if shards.special else np.ones(len(off), bool)
-                    at, l, s = off[use], lo[use], shards.of(gram[use], own[use], salt)
+                    at, l, s = off[use], lo[use], shards.of(gram[use], own[use], np.full(int(use.sum()), salt))
                     out += [(int(s[a]), 0, int(l[a]), None, None, None, b" ".join(words[at[a] : at[b] + WINDOW])) for a, b in runs(at, l, s)]
-            yield _batch(out)
+            yield _rows([[x[k] for x in out] for k in range(7)], KINDS, NAMES)
 
     lent = phrase.groupBy("uid").agg(F.collect_list(F.struct("off", "lo", "gram", "hash")).alias("found"))
     return stretch.join(lent, "uid").select("words", "found").mapInArrow(run, SHAPE)
@@ -228,45 +255,66 @@ def searched(stretch: DataFrame, shards: Shards) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for uid, first, h1, h2, start, raw in zip(*[batch.column(k).to_pylist() for k in range(6)]):
-                words = raw.split()
-                gram, own = windows(words)
-                shard = shards.of(gram, own, uid)
-                out += [(int(shard[a]), 1, first, h1, h2, start + a, b" ".join(words[a : b + WINDOW])) for a, b in runs(np.arange(len(gram)), shard)]
-            yield _batch(out)
+            uid, least, h1, h2, start = (batch.column(k).to_numpy() for k in range(5))
+            for lo, words, sizes in blocks(batch.column(5)):
+                row, first, gram, own = windows(words, sizes, ROUTE)
+                shard = shards.of(gram, own, uid[row + lo])
+                ends = runs(first, row, shard)
+                a = np.array([x for x, _ in ends], np.int64)
+                at = row[a] + lo
+                place = start[at] + first[a] - (np.cumsum(sizes) - sizes)[row[a]]
+                cut = [b" ".join(words[first[x] : first[y] + WINDOW]) for x, y in ends]
+                yield _rows([shard[a], np.ones(len(a), np.int32), least[at], h1[at], h2[at], place.astype(np.int32), cut], KINDS, NAMES)
 
     return stretch.select("uid", "first", "h1", "h2", "start", "words").mapInArrow(run, SHAPE)
 
 
+def _letters(number: int) -> str:
+    """A word's number, 0 for a word of no phrase, as a letter from 256 on and one below: an automaton looks through the letters that follow a node one by one, so few should."""
+    return chr(256 + (number >> 8)) + chr(number & 255)
+
+
 def located(rows: DataFrame) -> DataFrame:
     """(h1, h2, start, stop): words that phrases of smaller ids cover. rows: patterns and stretches."""
 
     def run(batches):
-        now, words_of, machine, ready = None, {}, None, False
+        now, number, machine, ready, last, met, none = None, {}, None, False, None, [], _letters(0)
         for batch in batches:
             out = []
             for shard, kind, first, h1, h2, start, raw in zip(*[batch.column(k).to_pylist() for k in range(7)]):
                 if shard != now:
-                    now, words_of, machine, ready = shard, {}, ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), False
-                words = raw.split()
+                    now, number, machine, ready, last = shard, {}, ahocorasick.Automaton(ahocorasick.STORE_ANY), False, None
                 if kind == 0:
-                    number = [words_of.setdefault(w, len(words_of) + 1) for w in words]  # 0: a word of no phrase
-                    for k in range(len(number) - WINDOW + 1):
-                        machine.add_word(tuple(number[k : k + WINDOW]), first)
-                    continue
-                if not ready:
-                    ready = True
-                    if len(machine):
-                        machine.make_automaton()
-                if not len(machine):
+                    words = raw.split()
+                    for w in words:
+                        if w not in number:
+                            number[w] = _letters(len(number) + 1)
+                    line = "".join([number[w] for w in words])
+                    for k in range(0, len(line) - 2 * WINDOW + 1, 2):
+                        machine.add_word(line[k : k + 2 * WINDOW], first)
                     continue
-                get = words_of.get
-                hit = np.array([end for end, lo in machine.iter(tuple([get(w, 0) for w in words])) if lo < first], np.int64)
-                out += [(h1, h2, start + int(hit[a]) - WINDOW + 1, start + int(hit[b]) + 1) for a, b in runs(hit)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["h1", "h2", "start", "stop"])
-
-    return rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(run, "h1 long, h2 long, start int, stop int")
+                if raw != last:
+                    if not ready:
+                        ready = True
+                        if len(machine):
+                            machine.make_automaton()
+                    get, last = number.get, raw
+                    met = list(machine.iter("".join([get(w, none) for w in raw.split()]))) if len(machine) else []
+                begin = end = -2
+                for e, lo in met:
+                    if lo >= first:
+                        continue
+                    e >>= 1
+                    if e != end + 1:
+                        if end >= 0:
+                            out.append((h1, h2, start + begin, start + end + 1))
+                        begin = e - WINDOW + 1
+                    end = e
+                if end >= 0:
+                    out.append((h1, h2, start + begin, start + end + 1))
+            yield _rows([[x[k] for x in out] for k in range(4)], [pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["h1", "h2", "start", "stop"])
+
+    return rows.repartition("shard").sortWithinPartitions("shard", "kind", "words").mapInArrow(run, "h1 long, h2 long, start int, stop int")
 
 
 def repeats(distinct: DataFrame, work: Workspace) -> DataFrame:
@@ -292,16 +340,16 @@ def kept_words(distinct: DataFrame, spans: DataFrame, whole: bool) -> DataFrame:
                 for s in found or ():
                     gone[s["start"] : s["stop"]] = True
                 out.append((h1, h2, first, len(words), int(gone.sum()), told(b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if found else b" ".join(words))))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["h1", "h2", "first", "n_words", "n_removed", "kept"])
+            yield _rows([[x[k] for x in out] for k in range(6)], [*[pa.int64()] * 5, pa.string()], ["h1", "h2", "first", "n_words", "n_removed", "kept"])
 
     rows = distinct.join(spans, ["h1", "h2"], "left").select("h1", "h2", "first", F.encode("text", "UTF-8").alias("raw"), "spans")
     return rows.mapInArrow(run, "h1 long, h2 long, first long, n_words long, n_removed long, kept string")
 
 
 def _kept(docs: DataFrame, work: Workspace, key: str, text: str, whole: bool) -> DataFrame:
-    distinct = texts(docs, work, key, text)
-    return work.save(kept_words(distinct, repeats(distinct, work), whole), "kept")
+    with shuffles_dropped(work.spark):
+        distinct = texts(docs, work, key, text)
+        return work.save(kept_words(distinct, repeats(distinct, work), whole), "kept")
 
 
 def removed_repeats(docs: DataFrame, work: Workspace, key: str = "doc_id", text: str = "text") -> DataFrame:
