@@ -31,6 +31,11 @@ MIN_CHARS = 1  # a parameter: lines of fewer characters, trimmed, stay. At 1 tha
 PIECE = 4096  # characters of a line that one window takes
 
 
+def identity(line: Column) -> list[Column]:
+    """Two hashes of a line, 128 bits: the second starts from another seed. (A number after the line would only hash the first hash again.)"""
+    return [F.xxhash64(line), F.xxhash64(F.lit(7), line)]
+
+
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc, tx, ln, line: the lines, trimmed, that can be dropped. docs: doc, tx, text."""
     out = docs.select("doc", "tx", F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
@@ -116,7 +121,7 @@ def duplicate_lines(docs: DataFrame, work: Workspace, key: str = "doc_id", text:
     Null texts have no lines. A null key is a document that comes first; of documents with one key the hash of the text tells the order.
     """
     given = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("tx"), F.col(text).alias("text"))
-    h = [F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(7)).alias("h2")]
+    h = [c.alias(n) for c, n in zip(identity(F.col("line")), ("h1", "h2"))]
     occurrences = _lines(given, min_chars).select("doc", "tx", "ln", *h, _third_keys(F.col("line")).alias("keys"))
     distinct = work.save(
         occurrences.groupBy("h1", "h2").agg(F.min(F.struct("doc", "tx", "ln")).alias("first"), F.count("*").alias("n"), F.any_value("keys").alias("keys")), "distinct"

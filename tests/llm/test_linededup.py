@@ -81,3 +81,16 @@ def test_bits(spark):
     b = L._bits(spark.createDataFrame(rows, "doc long, tx long, ln int")).first()
     hit = spark.range(210).select("id", L._dropped(F.array(*[F.lit(w).cast("long") for w in b.words]), F.col("id").cast("int")).alias("d")).filter("d").collect()
     assert [r.id for r in hit] == [0, 63, 64, 200] and b.n_removed == 4
+
+
+def test_lines_of_one_first_hash_are_told_apart(spark, monkeypatch):
+    """Even if the first hash of all lines were equal, the second keeps them apart; and it is no function of the first."""
+    from plumbline.llm import linededup
+
+    docs = spark.createDataFrame([(1, "one line here\nanother line there\none line here"), (2, "a third line\nanother line there")], "doc_id long, text string")
+    want = sorted(map(tuple, linededup.duplicate_lines(docs, Workspace(spark, "t")).select("doc", "ln").collect()))
+    assert want == [(1, 2), (2, 1)]
+    a, b = docs.select(*linededup.identity(F.col("text"))).first()
+    assert b != spark.range(1).select(F.xxhash64(F.lit(7))).first()[0] and b != spark.createDataFrame([(a,)], "h long").select(F.xxhash64("h", F.lit(7))).first()[0]
+    monkeypatch.setattr(linededup, "identity", lambda line: [F.lit(0).cast("long"), F.xxhash64(F.lit(7), line)])
+    assert sorted(map(tuple, linededup.duplicate_lines(docs, Workspace(spark, "t")).select("doc", "ln").collect())) == want
