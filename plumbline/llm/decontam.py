@@ -2,16 +2,18 @@
 
 Texts become sequences of tokens in which numbers, names and units are typed placeholders. Windows of WINDOW tokens, with
 LITERALS of them at least that are no placeholders, meet the benchmark's by hash. What meets is grouped by document, item and diagonal
-(the difference of places), and the slots that placeholders stand for are compared: in a re-parameterised copy each
-value of the item has one value in the document. That is the value that most windows have for it, and windows with another one don't count.
-A document leaks an item if, on one diagonal, it holds CONTAINED of the item's windows, or RUN of them, a stretch of 13 tokens, that agree
-so or whose slots are all equal to the item's. Texts have windows in two forms: of all tokens, and with runs of names or of numbers as one
-placeholder, so that a value of more tokens ("twenty five" for "7") stays on the diagonal.
+(the difference of places), and with it what meets on the SHIFT diagonals beside, so that words put in or taken out don't cut an item in two. Of that the best
+chain is taken: windows whose places rise in both texts, and which cover most of the item's tokens. The slots that placeholders stand for are compared over the chain: in a
+re-parameterised copy each value of the item has one value in the document. That is the value that most windows have for it, and windows with another one don't count.
+A document leaks an item if the windows that agree so, or whose slots are all equal to the item's, hold CONTAINED of the item's tokens, or if RUN of them follow each other: 13 tokens in a row.
+A gap of GAP tokens at most between windows, or of fewer than WINDOW at an end, is lost by half: an edit spoils the windows around it, not their words. Half of the tokens must be
+covered whole.
+Texts have windows in two forms: of all tokens, and with runs of names or of numbers as one placeholder, so that a value of more tokens ("twenty five" for "7") stays on the diagonal.
 
 Items without such a window, as they are short or hold hardly any literals, are compared word for word instead: by windows of WINDOW tokens as they
 are, or of all their tokens if they have fewer. An item of a single token leaks into a document that has no other.
 
-An item that leaks has a number of windows on the diagonal, so at least one of its rarest ones, those beyond that number, is there: documents
+An item that leaks has a number of windows in the chain, so at least one of its rarest ones, those beyond that number, is there: documents
 and items meet by these, and only those that met are compared window by window. Windows that very many items share bring no pairs of their own.
 Documents' windows that no window of the benchmark can equal are dropped where they arise, by a Bloom filter; the joins are by the windows' 64-bit
 hashes and both sides are shuffled.
@@ -19,6 +21,8 @@ hashes and both sides are shuffled.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +33,7 @@ from plumbline.llm import _bytes as B
 from plumbline.llm._store import Workspace
 
 WINDOW, LITERALS, CONTAINED, RUN = 5, 2, 0.8, 9
+SHIFT, GAP = 4, WINDOW + 1
 #: Forms of windows: of all tokens, of merged tokens, of WINDOW words, of 1 to WINDOW - 1 words (PLAIN + n).
 ALL, MERGED, PLAIN = 0, 1, 2
 #: The Bloom filter has 2 ** bits bits, 1024 or more for each window of the benchmark within these bounds: 32 MB at most are broadcast, and a larger benchmark passes more.
@@ -74,7 +79,8 @@ def canonical(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     low = B.fold_latin(data)
     word = B.stretch(B.sums(low), start, end)
     kind = np.zeros(len(start), np.uint8)
-    capital = (data[start] >= 65) & (data[start] <= 90)
+    after = data[np.minimum(start + 1, len(data) - 1)]
+    capital = (data[start] >= 65) & (data[start] <= 90) | (data[start] == 0xC3) & (after >= 0x80) & (after <= 0x9E) & (after != 0x97)  # A to Z and, in two bytes, \u00c0 to \u00de
     small = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122))])
     kind[capital & (small[end] > small[start]) & ~np.isin(word, _TABLES["starter"])] = NAME
     kind[np.isin(word, _TABLES["unit"]) & ~capital] = UNIT
@@ -167,11 +173,86 @@ def _filter(bench: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def chain(met: list[tuple[int, int]], width: int) -> list[int]:
+    """Of (place, shift), the numbers of those that form the best chain: places, and places plus shifts, rise, and windows of that width cover most tokens. Of equal ones that with
+    the fewest changes of shift, then the most windows."""
+    order = sorted(range(len(met)), key=lambda k: met[k])
+    value, before, last = {}, {}, {}  # last: of each shift, those taken so far; the newest that can precede is the best of it
+    for k in order:
+        p, s = met[k]
+        value[k], before[k] = (width, 0, 1), None
+        for t, taken in last.items():
+            for j in reversed(taken):
+                gap = p - met[j][0]
+                if gap > 0 and gap + s - t > 0:
+                    cover, changes, n = value[j]
+                    v = (cover + min(width, gap), changes - (s != t), n + 1)
+                    if v > value[k] or v == value[k] and before[k] is not None and met[j] < met[before[k]]:
+                        value[k], before[k] = v, j
+                    break
+        last.setdefault(s, []).append(k)
+    out, k = [], max(order, key=lambda k: value[k], default=None)
+    while k is not None:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def held(places: list[int], width: int, ends: tuple[int, int], tokens: int) -> tuple[float, int]:
+    """(share of an item's tokens that windows at these rising places hold, tokens that they cover). ends: the item's first place and the end of its last window; tokens: those in its windows."""
+    covered = sum(min(width, b - a) for a, b in zip(places, places[1:])) + width
+    half = sum((b - a - width) // 2 for a, b in zip(places, places[1:]) if 0 < b - a - width <= GAP)
+    half += sum(g // 2 for g in (places[0] - ends[0], ends[1] - places[-1] - width) if g < WINDOW)
+    return round(min(1.0, (covered + half) / tokens), 6), covered
+
+
+def judge(found: list[dict], width: int, ends: tuple[int, int], tokens: int) -> tuple[float, int, bool] | None:
+    """(containment, windows that agree, whether all their slots are equal) of the better reading of what met of an item in a document, or None if it is no leak. found: place, shift, own and theirs (slots)."""
+    line = [found[k] for k in chain([(w["place"], w["shift"]) for w in found], width)]
+    pairs = [[(a, b) for a, b in zip(w["own"], w["theirs"]) if a] for w in line]
+    most: dict[int, tuple[int, bool, int]] = {}
+    for (a, b), n in Counter(x for w in pairs for x in w).items():
+        most[a] = max(most.get(a, (0, False, 0)), (n, a == b, b))
+    equal = [all(a == b for a, b in w) for w in pairs]
+    agree = [all(most[a][2] == b for a, b in w) for w in pairs]
+    best = None
+    for take, exact in ((equal, True), (agree, not any(g and not e for g, e in zip(agree, equal)))):
+        kept = [w for w, t in zip(line, take) if t]
+        if not kept:
+            continue
+        share, covered = held([w["place"] for w in kept], width, ends, tokens)
+        run = longest = 1
+        for a, b in zip(kept, kept[1:]):
+            run = run + 1 if b["place"] - a["place"] == 1 and b["shift"] == a["shift"] else 1
+            longest = max(longest, run)
+        if share >= CONTAINED and 2 * covered >= tokens or longest >= RUN:
+            best = max(best or (0.0, 0, False), (share, len(kept), exact))
+    return best
+
+
+def _judged(line: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, and what judge() says of each row that is a leak. line: keep, form, first, end, item_tokens, w."""
+
+    def run(batches):
+        for batch in batches:
+            n, at, out = len(keep), [], []
+            for k, (form, first, end, tokens, found) in enumerate(zip(*[batch.column(n + j).to_pylist() for j in range(5)])):
+                width = form - PLAIN or WINDOW if form >= PLAIN else WINDOW
+                if best := judge(found, width, (first, end), tokens):
+                    at.append(k)
+                    out.append(best)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(j).take(rows) for j in range(n)], *[pa.array([x[j] for x in out], t) for j, t in enumerate((pa.float64(), pa.int64(), pa.bool_()))]], [*keep, "containment", "matched", "exact"])
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in line.select(*keep).schema.fields)
+    return line.select(*keep, "form", "first", "end", "item_tokens", "w").mapInArrow(run, f"{shape}, containment double, matched long, exact boolean")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, tx, item_id, matched, item_windows, containment, kind) of each item that a document leaks; tx is xxhash64 of its text.
 
-    kind is exact if all slots of the matched windows are equal, else reparameterised; matched counts those that agree. Empty and null texts
-    have no tokens and leak nothing. Items that repeat an item_id are one item by that id, and a document leaks it by any of its
+    kind is exact if all slots of the matched windows are equal, else reparameterised; matched counts those that agree, containment is the share of the item's tokens that they hold. Empty and
+    null texts have no tokens and leak nothing. Items that repeat an item_id are one item by that id, and a document leaks it by any of its
     texts. Rows that repeat key and text are one document here. An empty table on either side gives no rows. Other columns aren't read.
     """
     work = Workspace(docs.sparkSession, "leaks")
@@ -180,26 +261,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     forms = {r["form"]: r["n"] for r in bench.groupBy("form").agg(F.count("*").alias("n")).collect()}  # a row for each form
     mine = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("tx"), F.col(text).alias("text"))
     hits = work.save(_window_table(mine, ["id", "tx"], sorted(forms) or [ALL], _filter(bench, sum(forms.values()))), "hits")
-    size = bench.groupBy(*item).agg(F.count("*").alias("item_windows"))
+    width = F.when(F.col("form") > PLAIN, F.col("form") - PLAIN).otherwise(F.lit(WINDOW))
+    step = F.least(width, F.coalesce(F.lead("place").over(W.partitionBy(*item).orderBy("place")) - F.col("place"), width))
+    size = bench.withColumn("_step", step).groupBy(*item).agg(F.count("*").alias("item_windows"), F.sum("_step").alias("item_tokens"), F.min("place").alias("first"), F.max(F.col("place") + width).alias("end"))
     common = bench.groupBy("h").agg(F.count("*").alias("common"))
-    need = F.least(F.ceil(F.col("item_windows") * (CONTAINED - 5e-7)), F.lit(RUN))
+    need = F.least(F.ceil(F.ceil(F.col("item_tokens") / 2) / width), F.lit(RUN))
     rank = F.row_number().over(W.partitionBy(*item).orderBy("common", "h", "place"))
-    rare = bench.join(common, "h").join(size, item).withColumn("rank", rank).filter(F.col("rank") <= F.col("item_windows") - need + 1).select(*item, "place", "h", "item_windows")
-    pair = hits.select("id", "tx", F.col("place").alias("there"), "h").join(rare, "h").select("id", "tx", *item, "item_windows", (F.col("there") - F.col("place")).alias("diagonal")).distinct()
-    own = pair.join(bench, item).withColumn("there", F.col("diagonal") + F.col("place"))
+    rare = bench.join(common, "h").join(size, item).withColumn("rank", rank).filter(F.col("rank") <= F.col("item_windows") - need + 1).select(*item, "place", "h")
+    pair = hits.select("id", "tx", F.col("place").alias("there"), "h").join(rare, "h").select("id", "tx", *item, (F.col("there") - F.col("place")).alias("diagonal")).distinct()
+    own = pair.join(bench, item).withColumn("shift", F.explode(F.sequence(F.lit(-SHIFT), F.lit(SHIFT)))).withColumn("there", F.col("diagonal") + F.col("place") + F.col("shift"))
     theirs = hits.select(F.col("id").alias("i"), F.col("tx").alias("t"), F.col("place").alias("at"), F.col("h").alias("g"), F.col("slots").alias("theirs"))
     met = own.join(theirs, F.col("id").eqNullSafe(F.col("i")) & (F.col("tx") == F.col("t")) & (F.col("there") == F.col("at")) & (F.col("h") == F.col("g")))
-    keys = ["id", "tx", *item, "item_windows", "diagonal"]
-    pairs = F.filter(F.arrays_zip(F.col("slots").alias("own"), F.col("theirs").alias("other")), lambda p: p["own"] != 0)
-    line = met.groupBy(*keys).agg(F.collect_set(F.struct("place", pairs.alias("pairs"))).alias("w"))
-    enough = lambda n: (F.round(n / F.col("item_windows"), 6) >= CONTAINED) | (n >= RUN)
-    pair = line.filter(enough(F.size("w"))).select(*keys, F.explode("w").alias("w")).select(*keys, "w.place", F.explode_outer("w.pairs").alias("p")).select(*keys, "place", "p.own", "p.other")
-    pair = pair.withColumn("n", F.count("*").over(W.partitionBy(*keys, "own", "other")))
-    pair = pair.withColumn("most", F.max(F.struct("n", (F.col("own") == F.col("other")).alias("equal"), "other")).over(W.partitionBy(*keys, "own")))
-    each = pair.groupBy(*keys, "place").agg(*[F.coalesce(F.bool_and(c), F.lit(True)).alias(a) for a, c in (("equal", F.col("own") == F.col("other")), ("agrees", F.col("other") == F.col("most.other")))])
-    way = lambda take, exact: F.struct(F.count_if(take).alias("matched"), exact.alias("exact"))
-    ways = each.groupBy(*keys).agg(F.array(way(F.col("equal"), F.lit(True)), way(F.col("agrees"), F.count_if(F.col("agrees") & ~F.col("equal")) == 0)).alias("ways"))
-    leaks = ways.select(*keys, F.explode("ways").alias("way")).select(*keys, "way.*").filter(enough(F.col("matched"))).withColumn("containment", F.round(F.col("matched") / F.col("item_windows"), 6))
+    keys = ["id", "tx", *item, "diagonal"]
+    line = met.groupBy(*keys).agg(F.collect_set(F.struct("place", "shift", F.col("slots").alias("own"), "theirs")).alias("w")).join(size, item)
+    leaks = _judged(line.filter(F.size(F.array_distinct("w.place")) >= need), ["id", "tx", "item_id", "item_windows"])
     best = leaks.groupBy("id", "tx", "item_id").agg(F.max(F.struct("containment", "matched", "exact", "item_windows")).alias("b"))
     return best.select(F.col("id").alias(key), "tx", "item_id", "b.matched", "b.item_windows", "b.containment", F.when(F.col("b.exact"), F.lit("exact")).otherwise(F.lit("reparameterised")).alias("kind"))
 
