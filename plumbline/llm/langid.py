@@ -8,11 +8,14 @@ A text's language is that of the most of its letters, by the words' posteriors;
 
 Learning takes a bounded sample of labelled texts, whole ones, with about the same number of each language, spliced into sequences
 that switch language, so that the transitions of code-switched text are learned. Posteriors of the learned languages always add up to one, so
-a text in none of them is told by its trigrams: the share of its letters in ones that were learned from, against that of the texts learned from.
+to tell texts in none of them a field has one label more, that of no language: it is learned from the same texts with their words' letters shuffled, drawn by
+pairs of letters, or drawn from other alphabets. Forward-backward then gives each word a posterior for it.
 """
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +27,11 @@ from plumbline.llm.quality import held_out
 FEATURES, SPAN = 1 << 15, 32
 #: The bound of the sample that is learned from, in texts.
 MAX_TEXTS = 800
-#: A text in a learned language has this share, at least, of the familiar letters that a low quantile of the texts learned from has.
-FAMILIAR, QUANTILE = 0.6, 0.01
+#: A text is in no learned language if more than this share of its letters' posterior is for none; more than all but QUANTILE of the texts learned from have, in any case.
+FOREIGN, QUANTILE = 0.55, 0.002
 UNKNOWN = "und"
+#: Words that the label of no language is learned from, at least, if there are any.
+NONE_WORDS = 2000
 #: Values that one step of learning has in hand at once.
 PART = 1 << 18
 
@@ -66,24 +71,26 @@ def _has_letter(data: np.ndarray, at: np.ndarray, words: np.ndarray) -> np.ndarr
 
 
 class Field:
-    """The field: languages, weights (FEATURES, languages), moves between languages (before, after)."""
+    """The field: languages, weights (FEATURES, labels), moves between labels (before, after). Labels are the languages and, if asked for, none of them."""
 
-    def __init__(self, languages: list[str]):
+    def __init__(self, languages: list[str], none: bool = False):
         self.languages = languages
-        self.weights = np.zeros((FEATURES, len(languages)), np.float32)
-        self.moves = np.zeros((len(languages), len(languages)), np.float32)
-        self.known = np.zeros(FEATURES, bool)  # trigrams that were learned from
-        self.least = 0.0  # familiar share below which a text is in none of the languages
+        self.none = none and bool(languages)
+        labels = len(languages) + self.none
+        self.weights = np.zeros((FEATURES, labels), np.float32)
+        self.moves = np.zeros((labels, labels), np.float32)
+        self.most = 1.0  # share of none above which a text is in none of the languages
 
     def fit(self, texts: list[str], truth: np.ndarray, epochs: int = 24, length: int = 48, rate: float = 0.3) -> "Field":
         """Maximises the likelihood of spliced sequences by Adagrad, with a fixed seed."""
-        k = len(self.languages)
-        array = pa.array(texts, pa.string())
-        self.known = np.bincount(np.concatenate([word_features(data, at)[1] for _, _, data, at in B.blocks(array)] or [np.empty(0, np.int64)]), minlength=FEATURES) > 1
-        share = self.familiar(array)
-        self.least = FAMILIAR * float(np.quantile(share, QUANTILE)) if len(share) else 0.0
+        k = len(self.moves)
         if k < 2:
             return self
+        given = pa.array(texts, pa.string())
+        if self.none:
+            odd = no_language(texts, -(-len(texts) // len(self.languages)))
+            texts, truth = [*texts, *odd], np.append(truth, np.full(len(odd), k - 1))
+        array = pa.array(texts, pa.string())
         rng = np.random.default_rng(11)
         parts = [word_features(data, at) for _, _, data, at in B.blocks(array)]
         rows = np.concatenate([p[0] for p in parts])
@@ -116,6 +123,8 @@ class Field:
             g2m += move * move
             self.weights -= rate * grad / np.sqrt(g2w)
             self.moves -= rate * move / np.sqrt(g2m)
+        if self.none:
+            self.most = max(FOREIGN, float(np.quantile(self.foreign(given), 1 - QUANTILE)))
         return self
 
     def letters(self, texts: pa.Array) -> np.ndarray:
@@ -125,31 +134,33 @@ class Field:
             out[lo:hi] = _has_letter(data, at, np.searchsorted(B.runs(_LETTER[data], at)[0], at, "left"))
         return out
 
-    def familiar(self, texts: pa.Array) -> np.ndarray:
-        """Share of each text's trigrams that were learned from, by letters; 1 for a text with no trigram."""
-        out = np.ones(len(texts))
+    def _mass(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(letters' posteriors of each label, offsets of each text's words) of a block of texts."""
+        rows, tri, of, letters, words = word_features(data, at)
+        post = posterior(_emissions(rows, tri, of, self.weights), words, self.moves)
+        return B.tail(post * letters[:, None], words) if len(rows) else np.zeros((len(at) - 1, len(self.moves))), words
+
+    def foreign(self, texts: pa.Array) -> np.ndarray:
+        """The share of each whole text's letters' posterior that is for none of the languages; 0 for a text without a letter."""
+        out = np.zeros(len(texts))
         for lo, hi, data, at in B.blocks(texts):
-            _, tri, of, _, words = word_features(data, at)
-            n = np.diff(of[words])
-            out[lo:hi] = np.where(n > 0, B.tail(self.known[tri].astype(np.int64), of[words]) / np.maximum(n, 1), 1.0)
+            mass, _ = self._mass(data, at)
+            if self.none:
+                out[lo:hi] = mass[:, -1] / np.maximum(mass.sum(axis=1), 1e-9)
         return out
 
-    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language's number or -1, share of the letters' posterior, familiar share) of each whole text."""
-        best, share, known = np.full(len(texts), -1), np.zeros(len(texts)), np.ones(len(texts))
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(language's number or -1, share of the letters' posterior) of each whole text."""
+        best, share = np.full(len(texts), -1), np.zeros(len(texts))
         k = len(self.languages)
         for lo, hi, data, at in B.blocks(texts):
-            rows, tri, of, letters, words = word_features(data, at)
-            post = posterior(_emissions(rows, tri, of, self.weights), words, self.moves)
-            mass = B.tail(post * letters[:, None], words) if len(rows) else np.zeros((hi - lo, k))
-            whole = np.maximum(mass.sum(axis=1), 1e-9)
+            mass, words = self._mass(data, at)
+            mass = mass[:, :k]
             has = _has_letter(data, at, words)
             if k:
                 best[lo:hi] = np.where(has, mass.argmax(axis=1), -1)
-                share[lo:hi] = np.where(has, mass.max(axis=1) / whole, 0)
-            n = np.diff(of[words])
-            known[lo:hi] = np.where(n > 0, B.tail(self.known[tri].astype(np.int64), of[words]) / np.maximum(n, 1), 1.0)
-        return best, np.clip(share, 0, 1), known
+                share[lo:hi] = np.where(has, mass.max(axis=1) / np.maximum(mass.sum(axis=1), 1e-9), 0)
+        return best, np.clip(share, 0, 1)
 
     def spans(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, first character, character after the last, language's number, mean posterior) of each stretch of words with one label."""
@@ -170,6 +181,42 @@ class Field:
         return tuple(np.concatenate(c) for c in zip(*out)) if out else tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.float64))
 
 
+def no_language(texts: list[str], n: int) -> list[str]:
+    """n texts in no language, made from texts with a fixed seed: of their words, a third each has its letters shuffled, is drawn letter by letter after the letters that follow each
+    other in all the texts, and is drawn from letters of some other alphabet."""
+    rng = random.Random(7)
+    # ranges of letters: Latin beyond ASCII, Greek, Cyrillic, Hebrew, Arabic, Devanagari, Kana, Han, Hangul
+    alphabets = [(0x61, 0x7B), (0xDF, 0xF7), (0x100, 0x180), (0x3B1, 0x3CA), (0x430, 0x450), (0x5D0, 0x5EB), (0x627, 0x64B), (0x905, 0x93A), (0x3041, 0x3097), (0x4E00, 0x5A00), (0xAC00, 0xB800)]
+    follow: dict[str, list[str]] = {}
+    for text in texts:
+        for w in text.split()[:400]:
+            for a, b in zip(f" {w}", f"{w} "):
+                follow.setdefault(a, []).append(b)
+
+    def drawn(size: int) -> str:
+        out, now = "", " "
+        while len(out) < 2 * size + 2:
+            now = rng.choice(follow[now])
+            if now == " ":
+                break
+            out += now
+        return out
+
+    def odd(word: str) -> str:
+        kind = rng.randrange(3)
+        if kind == 0:
+            return "".join(rng.sample(word, len(word)))
+        if kind == 1:
+            return drawn(len(word))
+        lo, hi = rng.choice(alphabets)
+        return "".join(chr(rng.randrange(lo, hi)) for _ in word)
+
+    some = sorted(texts, key=len)[:: max(1, len(texts) // max(1, n))][:n]
+    # of few words, each is made several times over, so that enough letters are met
+    times = max(1, NONE_WORDS // max(1, sum(len(t.split()) for t in some)))
+    return [" ".join(odd(w) for _ in range(times) for w in t.split()) for t in some]
+
+
 def slopes(e: np.ndarray, moves: np.ndarray, line: np.ndarray, one: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slopes of the mean negative log-likelihood of sequences, by the emissions e of words and by moves. line: the words of each sequence; one: how often each word
     stands in them, at its label; pair: how often each label follows another."""
@@ -274,8 +321,8 @@ def posterior(e: np.ndarray, words: np.ndarray, moves: np.ndarray) -> np.ndarray
     return out
 
 
-def train(docs: DataFrame, max_texts: int = MAX_TEXTS) -> Field:
-    """Learns from about max_texts whole texts of documents that aren't held out and whose lang is known, chosen by a hash of id and text."""
+def train(docs: DataFrame, max_texts: int = MAX_TEXTS, none: bool = False) -> Field:
+    """Learns, with a label for no language if asked for, from about max_texts whole texts of documents that aren't held out and whose lang is known, chosen by a hash of id and text."""
     known = docs.select(F.col("doc_id").alias("id"), "text", "lang").filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     languages = sorted(counts)
@@ -286,21 +333,20 @@ def train(docs: DataFrame, max_texts: int = MAX_TEXTS) -> Field:
     some = known.filter(F.shiftrightunsigned(F.xxhash64(F.lit("lang"), "id", F.xxhash64("text")), 11) < F.element_at(share, F.col("lang")) * float(1 << 53))
     rows = some.select("lang", "id", "text").collect()
     rows.sort(key=lambda r: (r["lang"], r["id"], r["text"]))
-    return Field(languages).fit([r["text"] for r in rows], np.array([languages.index(r["lang"]) for r in rows], np.int64))
+    return Field(languages, none).fit([r["text"] for r in rows], np.array([languages.index(r["lang"]) for r in rows], np.int64))
 
 
 def predict(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, held_out, lang_pred, score, familiar) of each whole text; UNKNOWN and 0 for a null text, one without a letter, or a field without languages.
-    familiar is the share of its letters in trigrams that were learned from."""
+    """(key, held_out, lang_pred, score) of each whole text; UNKNOWN and 0 for a null text, one without a letter, or a field without languages."""
     kind = docs.schema[key].dataType
     names = np.array([*field.languages, UNKNOWN], object)
 
     def run(batches):
         for batch in batches:
-            best, share, known = field.read(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names[best], pa.string()), pa.array(np.round(share.astype(np.float64), 6)), pa.array(np.round(known, 6))], ["id", "held_out", "lang_pred", "score", "familiar"])
+            best, share = field.read(batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names[best], pa.string()), pa.array(np.round(share.astype(np.float64), 6))], ["id", "held_out", "lang_pred", "score"])
 
-    out = docs.select(F.col(key).alias("id"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, held_out boolean, lang_pred string, score double, familiar double")
+    out = docs.select(F.col(key).alias("id"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, held_out boolean, lang_pred string, score double")
     return out.withColumnRenamed("id", key)
 
 
@@ -329,19 +375,19 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """The documents of docs that have a letter and as many familiar ones as a text in a learned language has. Columns stay as they are, whatever their names.
+    """The documents of docs that have a letter, and whose letters are for no more than the field's share in none of the learned languages. Columns stay as they are, whatever their names.
 
     Null, empty and letterless texts go; texts in several of the languages stay. Rows that repeat share a verdict. Where no document has a known lang nothing is learned, and all that have a letter
     stay; an empty table gives an empty one.
     """
-    field = field or train(docs.select("doc_id", "text", "lang"))
+    field = field or train(docs.select("doc_id", "text", "lang"), none=True)
     names = docs.columns
     row = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     text = names.index("text")
 
     def run(batches):
         for batch in batches:
-            kept = field.letters(batch.column(text)) & (field.familiar(batch.column(text)) >= field.least)
+            kept = field.letters(batch.column(text)) & (field.foreign(batch.column(text)) <= field.most)
             yield batch.filter(pa.array(kept))
 
     out = row.mapInArrow(run, row.schema)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import _bytes as B
 from plumbline.llm import langid, quality
+from foreign_sentences import sentences
 
 DATA = "/root/testdata/sf0.01"
 
@@ -186,11 +187,27 @@ def test_word_labels_give_stretches(spark):
 
 def test_texts_in_no_learned_language_go(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    field = langid.train(docs)
+    field = langid.train(docs, none=True)
     odd = [(1, "Это совсем другой язык, которого никто не учил"), (2, "这里没有学过的语言"), (3, "xqzkvw jjqxz vvkqz wqxjk zzkqv " * 5)]
     assert langid.keep_identified(spark.createDataFrame(odd, "doc_id long, text string"), field).count() == 0
+    # 200 sentences in ten languages, Romance and Germanic ones among them
+    foreign = sentences()
+    kept = langid.keep_identified(spark.createDataFrame(foreign, "lang string, text string"), field).count()
+    assert len(foreign) == 200 and len({lang for lang, _ in foreign}) == 10 and kept <= 0.1 * len(foreign)
+    # what it was not taught from, and texts that switch language
+    letters = docs.filter("text rlike '[A-Za-z]'")
     kept = {r.doc_id for r in langid.keep_identified(docs, field).select("doc_id").collect()}
-    assert all(r.doc_id in kept for r in docs.filter("text rlike '[A-Za-z]'").collect())
+    fresh = letters.filter(quality.held_out(F.col("doc_id"))).collect()
+    assert sum(r.doc_id in kept for r in fresh) >= 0.99 * len(fresh) and sum(r.doc_id in kept for r in letters.collect()) >= 0.99 * letters.count()
+    by = {lang: [r.text for r in fresh if r.lang == lang] for lang in field.languages}
+    mixed = [(i, " ".join(w for pair in zip(a.split(), b.split()) for w in pair)) for i, (a, b) in enumerate(zip(by["en"], by["de"] * 9))]
+    assert langid.keep_identified(spark.createDataFrame(mixed, "doc_id long, text string"), field).count() >= 0.99 * len(mixed) and len(mixed) > 50
+
+
+def test_texts_in_no_language_are_made_alike_each_time():
+    texts = ["the and of that was not", "und der die das", "", "x"] * 5
+    assert langid.no_language(texts, 6) == langid.no_language(texts, 6) and len(langid.no_language(texts, 6)) == 6
+    assert langid.no_language([], 3) == [] and langid.Field([], none=True).most == 1.0
 
 
 def test_odd_texts(spark):
