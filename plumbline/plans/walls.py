@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import geom
+from plumbline.operators import floods, retrace, walls
 from plumbline.operators import raster as R
-from plumbline.operators import walls
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
 from plumbline.sources.tables import Workspace
@@ -91,14 +91,88 @@ def implicated_networks(spark: SparkSession, d: str) -> DataFrame:
     return walls.implicated(_points(spark, d), _ink(spark, d), _nets(spark, d), 400)
 
 
-@query(f"WITH {_H} SELECT k AS plan_id, 0::BIGINT AS root, '0,1,2' AS nets, ((w + 5) * (h + 5) - (w - 5) * (h - 5) - 60 + CASE WHEN k % 3 = 0 THEN 200 ELSE 0 END)::BIGINT AS ink FROM h WHERE k % 4 <> 0")
+def _bar(net: int | None, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """A wall, both ends inside."""
+    return F.struct(F.lit(net).cast("bigint").alias("net"), *[c.cast("bigint").alias(n) for n, c in (("x0", x0), ("y0", y0), ("x1", x1), ("y1", y1))])
+
+
+def _drawn(house: DataFrame, bars: Column) -> DataFrame:
+    return house.select("plan_id", F.explode(bars).alias("b")).select("plan_id", "b.net", "b.x0", "b.x1", F.explode(F.sequence("b.y0", "b.y1")).alias("y")).select("plan_id", "net", "y", "x0", "x1")
+
+
+def _ring(net: int, x0: Column, y0: Column, x1: Column, y1: Column, door: Column | None = None) -> list[Column]:
+    """The four walls of THICK pixels of a house with that outer box; its right wall has a door of DOOR pixels from a row on, if told."""
+    t = THICK - 1
+    right = [(y0, y1)] if door is None else [(y0, door - 1), (door + DOOR, y1)]
+    return [_bar(net, x0, y0, x0 + t, y1), _bar(net, x0, y0, x1, y0 + t), _bar(net, x0, y1 - t, x1, y1), *[_bar(net, x1 - t, a, x1, b) for a, b in right]]
+
+
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Each house as two angles that nearly meet (networks 0 and 1); where the key is a multiple of 4 as a closed ring in a closed ring."""
+    h = houses(spark, d)
+    lo, r, b = F.lit(18), F.col("w") + 22, F.col("h") + 22
+    angles = F.array(_bar(0, lo, lo, F.lit(22), b), _bar(0, F.lit(23), lo, r - 20, F.lit(22)), _bar(1, r - 4, lo, r, b), _bar(1, F.lit(38), b - 4, r - 5, b))
+    rings = F.array(*_ring(0, lo, lo, r, b), *_ring(1, lo + 30, lo + 30, r - 30, b - 30))
+    ink = _drawn(h, F.when(F.col("plan_id") % 4 == 0, rings).otherwise(angles))
+    return R.merged(ink, ["plan_id", "net", "y"])
+
+
+_SEALED = f"WITH {_H}, n AS (SELECT *, unnest([0, 1])::BIGINT AS net FROM h)"
+
+
+@query(_SEALED + " SELECT k AS plan_id, net, CASE WHEN k % 4 = 0 THEN (w + 5 - 60 * net) * (h + 5 - 60 * net) WHEN net = 0 THEN 5 * (h + 5) + 5 * (w - 20) ELSE 5 * (h + 5) + 5 * (w - 20) END::BIGINT AS area, k % 4 = 0 AS seals FROM n")
+def sealed_networks(spark: SparkSession, d: str) -> DataFrame:
+    """What each network encloses once its openings are closed, and whether that fills its own extent: rings do, angles don't."""
+    work = Workspace(spark, "seals")
+    return floods.self_seals(_pieces(spark, d), ["plan_id", "net"], THICK, work).select("plan_id", "net", F.col("area").cast("bigint").alias("area"), "seals")
+
+
+@query(f"WITH {_H} SELECT k AS plan_id, 0::BIGINT AS root, '0,1' AS nets, 5 * (w + h + 10 + w + h - 50)::BIGINT AS ink FROM h WHERE k % 4 <> 0")
 def joined_networks(spark: SparkSession, d: str) -> DataFrame:
-    """Networks that are traced as one, with their ink; where two of them close by themselves, they aren't joined."""
+    """Networks that are traced as one, with their ink; where two of them close by themselves, which is computed, they aren't joined."""
     work = Workspace(spark, "joins")
-    around = walls.implicated(_points(spark, d), _ink(spark, d), _nets(spark, d), 400)
-    groups = work.save(walls.joins(around, _nets(spark, d), work), "groups")
-    ink = walls.joined(runs_of(houses(spark, d)), groups).groupBy("plan_id", "root").agg(F.sum(F.col("x1") - F.col("x0") + 1).cast("bigint").alias("ink"))
-    return groups.select("plan_id", "root", F.array_join(F.transform("nets", lambda n: n.cast("string")), ",").alias("nets")).join(ink, ["plan_id", "root"])
+    ink = work.save(_pieces(spark, d), "pieces")
+    seals = floods.self_seals(ink, ["plan_id", "net"], THICK, work).select("plan_id", "net", "seals")
+    box = floods.boxes(ink, ["plan_id", "net"]).select("plan_id", "net", F.col("bx0").alias("x0"), F.col("by0").alias("y0"), F.col("bx1").alias("x1"), F.col("by1").alias("y1"))
+    at = houses(spark, d).select("plan_id", F.lit(0).cast("bigint").alias("point_id"), F.lit(36).cast("bigint").alias("x"), (F.lit(20) + F.floor(F.col("h") / 2)).alias("y"))
+    around = walls.implicated(at, R.merged(ink.select("plan_id", "y", "x0", "x1"), ["plan_id", "y"]), box, 400)
+    groups = work.save(walls.joins(around, work.save(box.join(seals, ["plan_id", "net"]), "nets"), work), "groups")
+    one = walls.joined(ink, groups).groupBy("plan_id", "root").agg(F.sum(F.col("x1") - F.col("x0") + 1).cast("bigint").alias("ink"))
+    return groups.select("plan_id", "root", F.array_join(F.transform("nets", lambda n: n.cast("string")), ",").alias("nets")).join(one, ["plan_id", "root"])
+
+
+#: Plans that need tracing again or don't, by their account's balance a: 0 a whole house; 1 two angles that nearly meet; 2 two whole houses, and a mark between them under a loose line; 3 a house with a corner open.
+_P = "p AS (SELECT s_suppkey AS k, floor(abs(s_acctbal))::BIGINT AS a FROM supplier), q AS (SELECT k, a % 4 AS kind, 160 + a % 97 AS w, 120 + a // 7 % 89 AS h FROM p)"
+
+
+def _doubtful(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nets, points, rooms)."""
+    a = F.floor(F.abs("s_acctbal")).cast("bigint")
+    h = V.read(spark, d, "supplier").select(F.col("s_suppkey").alias("plan_id"), (a % 4).alias("kind"), (F.lit(160) + a % 97).alias("w"), (F.lit(120) + F.floor(a / 7) % 89).alias("h"), (F.lit(60) + a % 20).alias("door"))
+    lo, r, b, aside = F.lit(18), F.col("w") + 22, F.col("h") + 22, F.col("w") + 65
+    angles = F.array(_bar(0, lo, lo, F.lit(22), b), _bar(0, F.lit(23), lo, r - 20, F.lit(22)), _bar(1, r - 4, lo, r, b), _bar(1, F.lit(38), b - 4, r - 5, b))
+    whole = F.array(*_ring(0, lo, lo, r, b, F.col("door")))
+    two = F.array(*_ring(0, lo, lo, r, b, F.col("door")), *_ring(1, lo + aside, lo, r + aside, b), _bar(None, r + 10, lo, r + 50, F.lit(22)))
+    corner = F.array(_bar(0, lo, lo, F.lit(22), b), _bar(0, lo, lo, r, F.lit(22)), _bar(0, lo, b - 4, r, b), _bar(0, r - 4, lo, r, b - 50))
+    ink = R.merged(_drawn(h, F.when(F.col("kind") == 0, whole).when(F.col("kind") == 1, angles).when(F.col("kind") == 2, two).otherwise(corner)), ["plan_id", "net", "y"])
+    mid = F.struct(F.lit(0).cast("bigint").alias("point_id"), (F.lit(20) + F.floor(F.col("w") / 2)).alias("x"), (F.lit(20) + F.floor(F.col("h") / 2)).alias("y"))
+    mark = F.struct(F.lit(1).cast("bigint").alias("point_id"), (r + 30).alias("x"), (F.lit(20) + F.floor(F.col("h") / 2)).alias("y"))
+    points = h.select("plan_id", F.explode(F.when(F.col("kind") == 2, F.array(mid, mark)).otherwise(F.array(mid))).alias("p")).select("plan_id", "p.*")
+    at = lambda x: x.cast("bigint")
+    rooms = h.select("plan_id", F.lit(9).cast("bigint").alias("rect_id"), at(F.lit(30)).alias("x0"), at(F.lit(30)).alias("y0"), at(F.col("w") + 10).alias("x1"), at(F.col("h") + 10).alias("y1"))
+    return ink, points, rooms
+
+
+@query(f"""
+WITH {_P}
+SELECT k AS plan_id, CASE kind WHEN 1 THEN 'join' WHEN 3 THEN 'escalate' ELSE 'base' END AS how, CASE kind WHEN 0 THEN 0 ELSE 1 END::INTEGER AS tried, CASE WHEN kind IN (0, 2) THEN 2 ELSE 0 END::BIGINT AS before,
+  2::BIGINT AS held, CASE kind WHEN 2 THEN 3 ELSE 2 END::BIGINT AS total, ((w + 5) * (h + 5) * CASE kind WHEN 2 THEN 2 ELSE 1 END)::BIGINT AS area FROM q""")
+def retraced_plans(spark: SparkSession, d: str) -> DataFrame:
+    """Plans traced again where known places are left out: what was taken in the end, how many attempts that took, the places held before and after, and the area of the outlines that stand."""
+    ink, points, rooms = _doubtful(spark, d)
+    state, _, prints = retrace.retrace(ink, points, rooms, THICK, 500, Workspace(spark, "retrace"))
+    area = prints.groupBy("plan_id").agg(F.sum(F.col("x1") - F.col("x0") + 1).cast("bigint").alias("area"))
+    return state.join(area, "plan_id").select("plan_id", "how", F.col("tried").cast("int").alias("tried"), "before", "held", "total", "area")
 
 
 def _rings(spark: SparkSession, d: str, out: float) -> DataFrame:
