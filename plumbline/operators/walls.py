@@ -169,6 +169,38 @@ def evidence(at: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
     return at.join(hit, key, "left").withColumn("ink", F.coalesce("ink", F.lit(False)))
 
 
+# How far ink of each kind speaks for a wall.
+GRADES = {"thick": 1.0, "wall": 0.45, "asserted": 0.45, "ink": 0.2}
+
+
+def graded(at: DataFrame, masks: dict[str, DataFrame], reach: int) -> DataFrame:
+    """at with level and kind: the best grade of ink within reach of each sample, along rows and columns: thick, wall, asserted (drawn by hand) or plain ink, in this order; 0 and null where there is none.
+    masks: runs by kind. Positions are rounded, halves up."""
+    x, y = F.floor(F.col("x") + 0.5).cast("bigint"), F.floor(F.col("y") + 0.5).cast("bigint")
+    near = at.withColumns({"_x": x, "py": F.explode(F.sequence(y - reach, y + reach))})
+    all_ = None
+    for place, kind in enumerate(GRADES):
+        if kind in masks:
+            one = masks[kind].select("plan_id", F.col("y").cast("bigint").alias("py"), F.col("x0").alias("r0"), F.col("x1").alias("r1"), F.lit(place).alias("_k"))
+            all_ = one if all_ is None else all_.unionByName(one)
+    key = ["plan_id", "floor", "e", "i"]
+    if all_ is None:
+        return at.withColumns({"level": F.lit(0.0), "kind": F.lit(None).cast("string")})
+    best = near.join(all_, ["plan_id", "py"]).filter((F.col("r0") <= F.col("_x") + reach) & (F.col("r1") >= F.col("_x") - reach)).groupBy(*key).agg(F.min("_k").alias("_k"))
+    names, grades = F.array(*[F.lit(k) for k in GRADES]), F.array(*[F.lit(g) for g in GRADES.values()])
+    return at.join(best, key, "left").withColumns({"level": F.coalesce(F.get(grades, F.col("_k")), F.lit(0.0)), "kind": F.get(names, F.col("_k"))}).drop("_k")
+
+
+def graded_support(level: DataFrame) -> DataFrame:
+    """(plan_id, floor, mean, bare, longest): the mean grade along an outline, by the length that each sample stands for, the share without any, and the longest stretch without, in the
+    order of edges from the first on. level: from graded(), with step, that length."""
+    order = W.partitionBy("plan_id", "floor").orderBy("e", "i").rowsBetween(W.unboundedPreceding, 0)
+    one = level.withColumn("_g", F.sum(F.when(F.col("level") > 0, 1).otherwise(0)).over(order))
+    gap = one.filter("level <= 0").groupBy("plan_id", "floor", "_g").agg(F.sum("step").alias("n")).groupBy("plan_id", "floor").agg(F.max("n").alias("longest"))
+    share = level.groupBy("plan_id", "floor").agg((F.sum(F.col("level") * F.col("step")) / F.sum("step")).alias("mean"), (F.sum(F.when(F.col("level") <= 0, F.col("step")).otherwise(0.0)) / F.sum("step")).alias("bare"))
+    return share.join(gap, ["plan_id", "floor"], "left").withColumn("longest", F.coalesce("longest", F.lit(0.0)))
+
+
 def bare_stretches(judged: DataFrame, step: float, most: int = 6) -> DataFrame:
     """(plan_id, floor, n, length, x0, y0, x1, y1): the longest stretches of an outline without ink, most of them, with their boxes. A stretch that goes over the first vertex is one."""
     ring = W.partitionBy("plan_id", "floor").orderBy("e", "i")

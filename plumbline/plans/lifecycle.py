@@ -9,6 +9,7 @@ from plumbline.functions import geom
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
 from plumbline.sources import projects
+from plumbline.sources.tables import Workspace
 from plumbline.streaming import documents, history
 
 
@@ -17,7 +18,7 @@ def commands(spark: SparkSession, d: str) -> DataFrame:
     return V.read(spark, d, "events").select(F.col("user_id").alias("doc_id"), "ts", F.col("event_id").alias("seq"), kind.alias("command"), F.col("event_id").alias("state"))
 
 
-@query("""
+_UNDO = """
 WITH RECURSIVE c AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CASE event_type WHEN 'purchase' THEN 'undo' WHEN 'signup' THEN 'redo' WHEN 'error' THEN 'cancel' ELSE 'save' END AS k FROM events),
 s AS (
   SELECT DISTINCT user_id, 0::BIGINT AS i, 0::BIGINT AS now, []::BIGINT[] AS undo, []::BIGINT[] AS redo, []::BIGINT[] AS held, false AS fresh FROM events
@@ -29,11 +30,25 @@ s AS (
     CASE WHEN k = 'save' THEN redo ELSE [] END, k = 'save'
   FROM s JOIN c ON c.user_id = s.user_id AND c.i = s.i + 1
 )
-SELECT user_id AS doc_id, arg_max(now, i) AS now, len(arg_max(undo, i))::BIGINT AS undo, len(arg_max(redo, i))::BIGINT AS redo, max(i) AS n FROM s GROUP BY user_id""")
+SELECT user_id AS doc_id, arg_max(now, i) AS now, len(arg_max(undo, i))::BIGINT AS undo, len(arg_max(redo, i))::BIGINT AS redo, max(i) AS n FROM s GROUP BY user_id"""
+
+
+@query(_UNDO)
 def undo_history(spark: SparkSession, d: str) -> DataFrame:
     return history.fold(commands(spark, d))
 
 
+@query(_UNDO)
+def resumed_histories(spark: SparkSession, d: str) -> DataFrame:
+    """The histories of undo_history, put aside as records in the middle of the log, and taken up again."""
+    all_, work = commands(spark, d), Workspace(spark, "history")
+    middle = all_.agg(F.timestamp_micros(((F.unix_micros(F.min("ts").cast("timestamp")) + F.unix_micros(F.max("ts").cast("timestamp"))) / 2).cast("bigint")).alias("m"))
+    cut = all_.join(F.broadcast(middle))  # one row
+    record = work.save(history.records(history.states(cut.filter("ts < m").drop("m"))), "records")
+    end = history.states(cut.filter("ts >= m").drop("m"), history.adopted(record))
+    return end.select("doc_id", "now", F.size("undo").cast("bigint").alias("undo"), F.size("redo").cast("bigint").alias("redo"), "n")
+
+
 _LOG = "SELECT user_id AS session, event_id AS seq, CASE WHEN event_type IN ('view', 'signup') THEN 'show' WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'close' ELSE 'deliver' END AS kind, event_id % 3 AS doc, floor(value)::BIGINT % 2 AS image, event_id - 900 AS begun, event_id % 5 <> 0 AS replayable FROM events"
 
 

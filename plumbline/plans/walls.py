@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import geom
-from plumbline.operators import floods, retrace, walls
+from plumbline.operators import floods, glazing, retrace, ruling, strokes, walls
 from plumbline.operators import raster as R
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
@@ -127,7 +127,7 @@ def sealed_networks(spark: SparkSession, d: str) -> DataFrame:
     return floods.self_seals(_pieces(spark, d), ["plan_id", "net"], THICK, work).select("plan_id", "net", F.col("area").cast("bigint").alias("area"), "seals")
 
 
-@query(f"WITH {_H} SELECT k AS plan_id, 0::BIGINT AS root, '0,1' AS nets, 5 * (w + h + 10 + w + h - 50)::BIGINT AS ink FROM h WHERE k % 4 <> 0")
+@query(f"WITH {_H} SELECT k AS plan_id, 0::BIGINT AS root, '0,1' AS nets, (10 * (w + h) - 150)::BIGINT AS ink FROM h WHERE k % 4 <> 0")
 def joined_networks(spark: SparkSession, d: str) -> DataFrame:
     """Networks that are traced as one, with their ink; where two of them close by themselves, which is computed, they aren't joined."""
     work = Workspace(spark, "joins")
@@ -175,6 +175,75 @@ def retraced_plans(spark: SparkSession, d: str) -> DataFrame:
     return state.join(area, "plan_id").select("plan_id", "how", F.col("tried").cast("int").alias("tried"), "before", "held", "total", "area")
 
 
+@query(f"""
+WITH {_P} SELECT k AS plan_id, 58::BIGINT AS x0, 18::BIGINT AS y0, 81 + a % 17 AS x1, 22::BIGINT AS y1, 5 * (24 + a % 17) AS size FROM p WHERE a % 3 = 0
+UNION ALL SELECT k, 18, 70, 22, 89 + a % 11, 5 * (20 + a % 11) FROM p WHERE a % 2 = 0""")
+def glazed_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows drawn as grey bands in the top wall, where they have its faces (else they are off by 4 pixels, or too short), and in the left one; grey furniture in the room is none."""
+    a = F.floor(F.abs("s_acctbal")).cast("bigint")
+    h = V.read(spark, d, "supplier").select(F.col("s_suppkey").alias("plan_id"), a.alias("a"), (F.lit(160) + a % 97).alias("w"), (F.lit(120) + F.floor(a / 7) % 89).alias("h"))
+    r, b, n, m = F.col("w") + 22, F.col("h") + 22, F.lit(24) + F.col("a") % 17, F.lit(20) + F.col("a") % 11
+    top = F.when(F.col("a") % 3 == 2, F.lit(8)).otherwise(n)
+    side = F.col("a") % 2 == 0
+    lo = F.lit(18)
+    bars = F.array(_bar(0, lo, lo, F.lit(57), F.lit(22)), _bar(0, F.lit(58) + top, lo, r, F.lit(22)), _bar(0, lo, b - 4, r, b), _bar(0, r - 4, lo, r, b), _bar(0, lo, lo, F.lit(22), F.when(side, F.lit(69)).otherwise(b)), _bar(0, lo, F.when(side, F.lit(70) + m).otherwise(lo), F.lit(22), b))
+    wall = R.merged(_drawn(h, bars).select("plan_id", "y", "x0", "x1"), ["plan_id", "y"])
+    shift = F.when(F.col("a") % 3 == 1, F.lit(4)).otherwise(F.lit(0))
+    band = lambda x0, y0, x1, y1: _bar(0, x0, y0, x1, y1)
+    grey = F.array_compact(F.array(band(F.lit(58), lo - shift, F.lit(57) + top, F.lit(22) - shift), band(F.lit(60), F.lit(60), F.lit(99), F.lit(64)), band(F.lit(110), F.lit(60), F.lit(139), F.lit(89)), F.when(side, band(lo, F.lit(70), F.lit(22), F.lit(69) + m))))
+    paint = R.pixels(_drawn(h, grey), ["plan_id", "y"]).withColumn("gray", (F.lit(150) + (F.col("x") + F.col("y")) % 30).cast("bigint"))
+    page = h.select("plan_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("y"), F.col("w")).select("plan_id", F.col("y").cast("bigint").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("w") + 400)).alias("x")).withColumn("gray", (F.lit(228) + F.col("x") % 5).cast("bigint"))
+    work = Workspace(spark, "glazing")
+    cells = work.save(paint.unionByName(page).withColumn("ink", F.lit(False)), "cells")
+    found = glazing.windows(glazing.screened(cells, PLAN), work.save(wall, "wall"), PLAN, THICK, work)
+    return found.select("plan_id", *[F.col(c).cast("bigint").alias(c) for c in ("x0", "y0", "x1", "y1", "size")])
+
+
+@query(f"""
+WITH {_P}, n AS (SELECT k, 3 + a % 9 AS dashes, a % 4 AS rows FROM p)
+SELECT k AS plan_id, count(*)::BIGINT AS lines, (sum(CASE WHEN dashes >= 5 THEN dashes * 24 ELSE 0 END) + sum(CASE WHEN r = 0 THEN 200 ELSE 0 END))::BIGINT AS ink FROM n, range(0, 4) t(r) WHERE r <= rows GROUP BY k""")
+def ruled_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The ink of ruling lines of drawings that have rows of 3 to 11 dashes (of which 5 make a line), a leader of 100 pixels, and words: tall letters with hyphens between them, which stay."""
+    a = F.floor(F.abs("s_acctbal")).cast("bigint")
+    h = V.read(spark, d, "supplier").select(F.col("s_suppkey").alias("plan_id"), (F.lit(3) + a % 9).alias("dashes"), (a % 4).alias("rows"))
+    at = lambda x0, y0, x1, y1: _bar(0, x0, y0, x1, y1)
+    line = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("rows")), lambda r: F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("dashes") - 1), lambda k: at(F.lit(10) + k * 20, F.lit(40) + r * 30, F.lit(21) + k * 20, F.lit(41) + r * 30)))
+    leader = F.array(at(F.lit(300), F.lit(20), F.lit(399), F.lit(21)))
+    word = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.array(at(F.lit(300) + k * 16, F.lit(200), F.lit(305) + k * 16, F.lit(215)), at(F.lit(308) + k * 16, F.lit(207), F.lit(313) + k * 16, F.lit(208)))))
+    word = F.slice(word, F.lit(1), F.size(word) - 1)
+    ink = R.merged(_drawn(h, F.concat(F.flatten(line), leader, word)).select("plan_id", "y", "x0", "x1"), ["plan_id", "y"])
+    found = ruling.ruling_lines(ink, PLAN, Workspace(spark, "ruling")).groupBy("plan_id").agg(F.sum(F.col("x1") - F.col("x0") + 1).cast("bigint").alias("ink"))
+    return h.join(found, "plan_id", "left").select("plan_id", (F.col("rows") + 1).alias("lines"), F.coalesce("ink", F.lit(0).cast("bigint")).alias("ink"))
+
+
+@query("""
+WITH l AS (SELECT p_partkey AS k, 80 + floor(p_retailprice)::BIGINT % 61 AS w, 60 + p_size::BIGINT AS h, CASE WHEN p_size % 8 = 7 THEN 45 ELSE p_size::BIGINT % 12 END AS g, p_size::BIGINT % 5 AS e FROM part),
+m AS (SELECT *, g < 45 AS shut, (w + 13) * (h + 13) AS loop, (w - 13) * (h - 13) AS core, (w + 1 + 3 * e) * (h + 1) AS outline FROM l)
+SELECT k AS plan_id, 1::BIGINT AS nets, (2 * (w + 1) + 2 * (h - 1) - CASE WHEN shut THEN 0 ELSE g - 13 END)::BIGINT AS wall_size, CASE WHEN shut THEN loop ELSE loop - core - 13 * (g - 13) END::BIGINT AS area,
+  CASE WHEN shut THEN round(1 - greatest(0, 3 * e - 6) * (h + 1) / outline::DOUBLE, 9) END AS fit FROM m""")
+def stroke_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Loops drawn with a brush of radius 6 around houses whose walls lie under its middle: their networks, the wall under them, the region they enclose where a gap in the loop is left, closed by four
+    pixels, and how well the house's outline, too wide by 0 to 12 pixels, fits it; a loop that is too far open encloses nothing but itself."""
+    p = F.col("p_size").cast("bigint")
+    h = V.read(spark, d, "part").select(F.col("p_partkey").alias("plan_id"), (F.lit(80) + F.floor("p_retailprice") % 61).alias("w"), (F.lit(60) + p).alias("h"), F.when(p % 8 == 7, F.lit(45)).otherwise(p % 12).alias("g"), (p % 5).alias("e"))
+    lo, at = F.lit(40), lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    r, b = lo + F.col("w"), lo + F.col("h")
+    # the gap is in the left side, below its middle; the brush closes 13 pixels of it by itself
+    start = lo + 20
+    loop = F.array(at(lo, start), at(lo, lo), at(r, lo), at(r, b), at(lo, b), at(lo, start + F.col("g")))
+    paint = strokes.painted(h.select("plan_id", loop.alias("points")), PLAN)
+    work = Workspace(spark, "strokes")
+    corridor = work.save(strokes.band(paint, PLAN, F.lit(6)), "corridor")
+    wall = R.merged(_drawn(h, F.array(_bar(0, lo, lo, r, lo), _bar(0, lo, b, r, b), _bar(0, lo, lo, lo, b), _bar(0, r, lo, r, b))).select("plan_id", "y", "x0", "x1"), ["plan_id", "y"])
+    nets, _ = strokes.networks(corridor, wall, PLAN, 6, work)
+    inside = work.save(strokes.region(corridor, PLAN, F.lit(4), work), "inside")
+    outline = _drawn(h, F.array(_bar(0, lo, lo, r + F.col("e") * 3, b))).select("plan_id", "y", "x0", "x1")
+    area = inside.groupBy("plan_id").agg(F.sum(F.col("x1") - F.col("x0") + 1).cast("bigint").alias("area"))
+    n = nets.groupBy("plan_id").agg(F.count("*").alias("nets"), F.sum("wall_size").cast("bigint").alias("wall_size"))
+    fit = strokes.fit(outline, inside, corridor, PLAN).select("plan_id", F.round("fit", 9).alias("fit"))
+    return n.join(area, "plan_id").join(fit, "plan_id").join(h.select("plan_id", "g"), "plan_id").select("plan_id", "nets", "wall_size", "area", F.when(F.col("g") < 45, F.col("fit")).alias("fit"))
+
+
 def _rings(spark: SparkSession, d: str, out: float) -> DataFrame:
     h = houses(spark, d)
     lo, r, b = F.lit(20.5 - out), F.col("w") + 20.5 + out, F.col("h") + 20.5 + out
