@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import geom
-from plumbline.operators import floods, glazing, retrace, ruling, strokes, walls
+from plumbline.operators import cavities, floods, glazing, retrace, ruling, strokes, walls
 from plumbline.operators import raster as R
 from plumbline.plans import views as V
 from plumbline.plans.registry import query
@@ -244,6 +244,22 @@ def stroke_regions(spark: SparkSession, d: str) -> DataFrame:
     return n.join(area, "plan_id").join(fit, "plan_id").join(h.select("plan_id", "g"), "plan_id").select("plan_id", "nets", "wall_size", "area", F.when(F.col("g") < 45, F.col("fit")).alias("fit"))
 
 
+@query(f"""
+WITH {_P} SELECT k AS plan_id, unnest([0, 1])::BIGINT AS label_id, unnest([22.5, 22.5 + w // 2])::DOUBLE AS x0, 22.5::DOUBLE AS y0, unnest([17.5 + w // 2, 17.5 + w])::DOUBLE AS x1, (17.5 + h)::DOUBLE AS y1 FROM q""")
+def rooms_between_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Two rooms that a wall parts which doesn't reach their labels' row: each is the largest that doesn't hold the other's label, by walls found in the drawing and the extent of its widest footprint."""
+    a = F.floor(F.abs("s_acctbal")).cast("bigint")
+    h = V.read(spark, d, "supplier").select(F.col("s_suppkey").alias("plan_id"), (F.lit(160) + a % 97).alias("w"), (F.lit(120) + F.floor(a / 7) % 89).alias("h"))
+    lo, r, b, mid = F.lit(18), F.col("w") + 22, F.col("h") + 22, F.floor(F.col("w") / 2) + 20
+    work = Workspace(spark, "rooms")
+    ink = work.save(R.merged(_drawn(h, F.array(*_ring(0, lo, lo, r, b), _bar(0, mid - 2, lo, mid + 2, F.floor(F.col("h") / 2) + 20))).select("plan_id", "y", "x0", "x1"), ["plan_id", "y"]), "ink")
+    found = work.save(walls.segments(ink, PLAN, work, "h", 40, 8, 20, 2.0).unionByName(walls.segments(ink, PLAN, work, "v", 12, 8, 20, 2.0)), "walls")
+    limits = floods.boxes(floods.enclosed(ink, PLAN, work), PLAN)
+    y = F.floor(F.col("h") * 3 / 4) + 20
+    labels = h.select("plan_id", F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("label_id"), (F.floor(F.col("w") * q / 4) + 20).alias("x"), y.alias("y")) for k, q in ((0, 1), (1, 3))])).alias("l")).select("plan_id", "l.*")
+    return cavities.clamped_rooms(labels, found, limits, 60)
+
+
 def _rings(spark: SparkSession, d: str, out: float) -> DataFrame:
     h = houses(spark, d)
     lo, r, b = F.lit(20.5 - out), F.col("w") + 20.5 + out, F.col("h") + 20.5 + out
