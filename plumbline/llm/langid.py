@@ -328,7 +328,7 @@ def train(docs: DataFrame, max_texts: int = MAX_TEXTS, none: bool = False) -> Fi
     languages = sorted(counts)
     if not languages:
         return Field([])
-    each = max(1, max_texts // len(languages))
+    each = max(1, max_texts // (len(languages) + none))  # the texts for no language are within the bound too
     share = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, each / counts[lang])))])
     some = known.filter(F.shiftrightunsigned(F.xxhash64(F.lit("lang"), "id", F.xxhash64("text")), 11) < F.element_at(share, F.col("lang")) * float(1 << 53))
     rows = some.select("lang", "id", "text").collect()
