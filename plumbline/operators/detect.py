@@ -150,7 +150,7 @@ def candidate_table(images: DataFrame, work: Workspace) -> DataFrame:
 def fitted(c: DataFrame, points: DataFrame) -> DataFrame:
     """c with fit: of the points (plan_id, x, y, in original pixels) that any candidate of a network holds, the share that each one holds; null where there are none."""
     at = F.struct((F.col("x") * F.col("scale")).alias("x"), (F.col("y") * F.col("scale")).alias("y"))
-    pair = c.select("plan_id", "net", "variant", "policy", "radius", "ring", "scale").join(points.withColumn("p", F.monotonically_increasing_id()), "plan_id").withColumn("in", geom.in_ring(at, F.col("ring")).cast("int"))
+    pair = c.select("plan_id", "net", "variant", "policy", "radius", "ring", "scale").join(points.withColumn("p", F.struct("x", "y")), "plan_id").withColumn("in", geom.in_ring(at, F.col("ring")).cast("int"))
     known = pair.withColumn("any", F.max("in").over(W.partitionBy("plan_id", "net", "p"))).filter("any = 1")
     by = ["plan_id", "net", "variant", "policy", "radius"]
     return c.join(known.groupBy(*by).agg(F.avg("in").alias("fit")), by, "left")

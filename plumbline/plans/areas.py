@@ -178,15 +178,16 @@ def image_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT text, min(doc_id) AS first FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY text), k AS (SELECT first, length(text) % 97 AS bucket, text FROM d)
-SELECT first AS doc_id, bucket, CASE WHEN row_number() OVER w = 1 THEN bucket::VARCHAR ELSE bucket || '~' || (row_number() OVER w - 1) END AS intern_key FROM k WINDOW w AS (PARTITION BY bucket ORDER BY first)""")
+WITH d AS (SELECT text, min(doc_id) AS first FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY text), k AS (SELECT first, substr(md5(text), 1, 6) AS bucket, text FROM d)
+SELECT first AS doc_id, bucket, CASE WHEN row_number() OVER w = 1 THEN bucket ELSE bucket || '~' || (row_number() OVER w - 1) END AS intern_key FROM k WINDOW w AS (PARTITION BY bucket ORDER BY first)""")
 def intern_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Payloads kept once each; those that fall in one bucket get a suffix by first use. The bucket is a poor one here, so that many collide."""
+    """Payloads kept once each, by a short hash; the few that share one get a suffix by first use. Empty texts are no payloads."""
     from pyspark.sql import Window as W
 
-    one = V.read(spark, d, "documents").filter("text <> ''").groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", (F.length("text") % 97).cast("bigint").alias("bucket"))
+    each = V.read(spark, d, "documents").filter("text <> ''").select("doc_id", F.sha2("text", 256).alias("payload"), F.substring(F.md5("text"), 1, 6).alias("bucket"))
+    one = each.groupBy("payload", "bucket").agg(F.min("doc_id").alias("doc_id"))
     n = F.row_number().over(W.partitionBy("bucket").orderBy("doc_id")) - 1
-    return one.withColumn("n", n).select("doc_id", "bucket", F.when(F.col("n") == 0, F.col("bucket").cast("string")).otherwise(F.concat(F.col("bucket").cast("string"), F.lit("~"), F.col("n").cast("string"))).alias("intern_key"))
+    return one.withColumn("n", n).select("doc_id", "bucket", F.when(F.col("n") == 0, F.col("bucket")).otherwise(F.concat("bucket", F.lit("~"), F.col("n").cast("string"))).alias("intern_key"))
 
 
 @query("""

@@ -112,5 +112,6 @@ WITH i AS (SELECT user_id AS workspace, max(ts) AS saved_at, list(event_id) AS d
 SELECT event_id AS doc_id FROM events WHERE event_id NOT IN (SELECT doc_id FROM k)""")
 def orphan_drafts(spark: SparkSession, d: str) -> DataFrame:
     e = V.read(spark, d, "events")
-    index = e.groupBy(F.col("user_id").alias("workspace")).agg(F.max("ts").alias("saved_at"), F.collect_list("event_id").alias("docs")).filter("workspace % 5 > 0")
+    saved = e.groupBy(F.col("user_id").alias("workspace")).agg(F.max("ts").alias("saved_at")).filter("workspace % 5 > 0")
+    index = e.select(F.col("user_id").alias("workspace"), F.col("event_id").alias("doc_id")).join(saved, "workspace")
     return documents.orphans(e.select(F.col("event_id").alias("doc_id")), index, F.lit("2024-01-27 00:00:00").cast("timestamp"))

@@ -13,14 +13,14 @@ _KIND = "CASE WHEN event_type = 'purchase' THEN 'open' WHEN event_type = 'signup
 
 
 def tab_log(spark: SparkSession, d: str) -> DataFrame:
-    """Commands on tabs: a drawing is named by the number of the command that opened it, which is one of the session's events before, or 0."""
-    e = V.read(spark, d, "events").filter("event_id > 0")
+    """Commands on tabs, numbered from 1: a drawing is named by the number of the command that opened it, which is one of the session's events before, or 0 for the blank one."""
+    e = V.read(spark, d, "events")
     kind = F.expr(_KIND)
-    return e.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.floor("value").cast("bigint") % 7).alias("arg"))
+    return e.select(F.col("user_id").alias("session"), (F.col("event_id") + 1).alias("seq"), kind.alias("kind"), (F.floor("value").cast("bigint") % 7).alias("arg"))
 
 
 @query(f"""
-WITH RECURSIVE c AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, {_KIND} AS k, floor(value)::BIGINT % 7 AS arg, event_id // 300 AS pick FROM events WHERE event_id > 0),
+WITH RECURSIVE k AS (SELECT user_id, event_id + 1 AS seq, {_KIND} AS k, floor(value)::BIGINT % 7 AS arg FROM events), c AS (SELECT user_id, seq AS event_id, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS i, k, arg FROM k),
 o AS (SELECT c.*, (SELECT max(b.event_id) FROM c b WHERE b.user_id = c.user_id AND b.k = 'open' AND b.event_id < c.event_id - 300 * (c.arg % 3)) AS doc FROM c),
 s AS (
   SELECT DISTINCT user_id, 0::BIGINT AS i, [0]::BIGINT[] AS tabs, 0::BIGINT AS active, 'none' AS result, 0::BIGINT AS seq FROM c

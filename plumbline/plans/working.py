@@ -61,7 +61,7 @@ def moved_vertices(spark: SparkSession, d: str) -> DataFrame:
     return t.select("plan_id", "line", "part", "w_ft", working.vertex_may_move(F.col("ring"), F.lit(0), to).alias("may"))
 
 
-_NAMES = "SELECT o_orderkey AS k, o_orderkey % 40 AS plan_id, CASE o_orderkey % 6 WHEN 0 THEN ' Plan ' WHEN 1 THEN 'Plan' WHEN 2 THEN NULL WHEN 3 THEN 'Plan (3)' WHEN 4 THEN '' ELSE 'Roof' END AS name FROM orders"
+_NAMES = "SELECT o_orderkey AS k, o_custkey AS plan_id, CASE o_orderkey % 6 WHEN 0 THEN ' Plan ' WHEN 1 THEN 'Plan' WHEN 2 THEN NULL WHEN 3 THEN 'Plan (3)' WHEN 4 THEN '' ELSE 'Roof' END AS name FROM orders"
 
 
 @query(f"""
@@ -73,7 +73,7 @@ def unique_names(spark: SparkSession, d: str) -> DataFrame:
     """File names of drawings that are saved together."""
     k = F.col("o_orderkey")
     name = F.when(k % 6 == 0, " Plan ").when(k % 6 == 1, "Plan").when(k % 6 == 2, None).when(k % 6 == 3, "Plan (3)").when(k % 6 == 4, "").otherwise("Roof")
-    one = V.read(spark, d, "orders").select(k.alias("k"), (k % 40).alias("plan_id"), name.alias("name"))
+    one = V.read(spark, d, "orders").select(k.alias("k"), F.col("o_custkey").alias("plan_id"), name.alias("name"))
     return working.unique_names(one, ["plan_id"], "name", "k").select("plan_id", "k", "unique_name")
 
 

@@ -53,6 +53,7 @@ def adopted(indexes: DataFrame, live: DataFrame, now) -> DataFrame:
 
 
 def orphans(records: DataFrame, indexes: DataFrame, now) -> DataFrame:
-    """The records that no surviving index names; an index survives KEEP_DAYS. records: doc_id. indexes: workspace, saved_at, docs array."""
+    """The records that no surviving index names; an index survives KEEP_DAYS. records: doc_id. indexes: workspace, saved_at, and docs (an array) or, with a row for each of them, doc_id."""
     kept = indexes.filter(F.unix_timestamp("saved_at") >= F.unix_timestamp(now) - KEEP_DAYS * 86400)
-    return records.join(kept.select(F.explode("docs").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    named = kept.select("doc_id") if "doc_id" in kept.columns else kept.select(F.explode("docs").alias("doc_id"))
+    return records.join(named, "doc_id", "left_anti")
