@@ -234,19 +234,21 @@ def patterns(phrase: DataFrame, stretch: DataFrame, shards: Shards) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            out = []
-            for raw, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = raw.split()
-                found.sort(key=lambda x: x["off"])
-                off, lo, gram, own = (np.array([x[c] for x in found], np.int64) for c in ("off", "lo", "gram", "hash"))
-                many = [shards.copies(int(g)) for g in gram] if shards.special else [1]
-                for salt in range(max(many)):
-                    use = np.array([salt < m for m in many]) if shards.special else np.ones(len(off), bool)
-                    at, l, s = off[use], lo[use], shards.of(gram[use], own[use], np.full(int(use.sum()), salt))
-                    out += [(int(s[a]), 0, int(l[a]), None, None, None, b" ".join(words[at[a] : at[b] + WINDOW])) for a, b in runs(at, l, s)]
-            yield _rows([[x[k] for x in out] for k in range(7)], KINDS, NAMES)
-
-    lent = phrase.groupBy("uid").agg(F.collect_list(F.struct("off", "lo", "gram", "hash")).alias("found"))
+            found = batch.column(1)
+            off, lo, gram, own = (found.flatten().field(k).to_numpy().astype(np.int64) for k in range(4))
+            row = np.repeat(np.arange(len(found)), found.value_lengths().to_numpy())
+            words = [raw.split() for raw in batch.column(0).to_pylist()]
+            many = np.array([shards.copies(int(g)) for g in gram], np.int64) if shards.special else np.ones(len(gram), np.int64)
+            for salt in range(int(many.max(initial=0))):
+                use = np.flatnonzero(salt < many)
+                shard = shards.of(gram[use], own[use], np.full(len(use), salt))
+                ends = runs(off[use], row[use], lo[use], shard)
+                at = np.array([a for a, _ in ends], np.int64)
+                cut = [b" ".join(words[row[use[a]]][off[use[a]] : off[use[b]] + WINDOW]) for a, b in ends]
+                none = pa.nulls(len(at))
+                yield pa.RecordBatch.from_arrays([pa.array(shard[at]), pa.array(np.zeros(len(at), np.int32)), pa.array(lo[use[at]]), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(cut, pa.binary())], NAMES)
+
+    lent = phrase.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("off", "lo", "gram", "hash"))).alias("found"))
     return stretch.join(lent, "uid").select("words", "found").mapInArrow(run, SHAPE)
 
 
