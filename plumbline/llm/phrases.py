@@ -113,7 +113,7 @@ def _table(df: DataFrame, work: Workspace, name: str, keys: list[str]) -> DataFr
     """df as a table bucketed by keys, so that joins on them don't move it again."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)  # Spark's own bound on buckets
     df.write.format("parquet").option("path", work.path(name)).bucketBy(n, *keys).saveAsTable(table)
     return spark.table(table)
 
