@@ -65,12 +65,13 @@ def test_long_texts_in_stretches_give_the_same(spark, monkeypatch):
     whole = quality.word_vectors(df)
     x = quality.pooled(pa.array(texts), whole)
     monkeypatch.setattr(B, "BLOCK", 64)
-    total = np.zeros((quality.BUCKETS, quality.DIM))
+    total = np.zeros(whole.rows.shape)
     for _, _, data, at in B.blocks(pa.array(texts)):
-        for bucket, of, known in quality._stretches(data, at):
-            np.add.at(total, bucket, quality._neighbours(bucket, of, quality.index_vectors(), known))
-    assert np.allclose(whole, total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9), atol=1e-6)
+        for h, of, known in quality._stretches(data, at):
+            np.add.at(total, quality.places(h, whole.words), quality._neighbours(h, of, quality.index_vectors(), known))
+    assert np.allclose(whole.rows, total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9), atol=1e-6)
     assert np.allclose(quality.pooled(pa.array(texts), whole), x, atol=1e-6)
+    assert (quality.word_vectors(df).words == whole.words).all()
 
 
 def test_several_rows_of_a_labelled_id(spark):
@@ -79,18 +80,74 @@ def test_several_rows_of_a_labelled_id(spark):
     assert quality.quality_scores(docs, labels).count() == 5
 
 
-def test_word_vectors_are_sums_of_neighbours(spark):
-    texts = ["a b c d e f", "b, c! a", None, "", "q"]
-    v = quality.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
-    fixed, total = quality.index_vectors(), np.zeros((quality.BUCKETS, quality.DIM))
-    for t in texts:
-        for _, _, data, at in B.blocks(pa.array([t or ""])):
-            bucket, _ = quality.tokens(data, at)
-            for i, j in itertools.product(range(len(bucket)), repeat=2):
-                if 0 < abs(i - j) <= quality.WINDOW:
-                    total[bucket[i]] += fixed[bucket[j]]
-    norm = np.linalg.norm(total, axis=1, keepdims=True)
-    assert np.allclose(v, total / np.maximum(norm, 1e-9), atol=1e-6)
+def plain_tokens(text):
+    """Runs of letters, digits and what isn't ASCII, and of other marks, of a text's bytes."""
+    import re
+
+    return re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\t-\r ]+", (text or "").encode())
+
+
+def plain_hash(token):
+    return int(quality.tokens(np.frombuffer(token, np.uint8), np.array([0, len(token)]))[0][0])
+
+
+def plain_vectors(texts, share):
+    """(vector of each token, of each text's tokens the mean and mean square), by dictionaries."""
+    from collections import Counter, defaultdict
+
+    split = [plain_tokens(t) for t in texts]
+    count = Counter(w for s in split for w in s)
+    h = {w: plain_hash(w) for w in count}
+    own = lambda w: w if count[w] * share >= sum(count.values()) else h[w] % quality.RARE
+    fixed, total = quality.index_vectors().astype(int), defaultdict(lambda: np.zeros(quality.DIM, int))
+    for s in split:
+        for i, w in enumerate(s):
+            for j in range(max(0, i - quality.WINDOW), min(len(s), i + quality.WINDOW + 1)):
+                if i != j:
+                    total[own(w)] += fixed[h[s[j]] >> 48]
+    unit = {w: (total[own(w)] / max(np.linalg.norm(total[own(w)]), 1e-9)).astype(np.float32) for w in count}
+    pool = [np.concatenate([np.mean([unit[w] for w in s], axis=0), np.mean([unit[w] ** 2 for w in s], axis=0)]) if s else np.zeros(2 * quality.DIM) for s in split]
+    return unit, np.array(pool)
+
+
+@pytest.mark.parametrize("share", [6, 12, quality.SHARE])
+def test_word_vectors_are_sums_of_neighbours(spark, share):
+    texts = ["a b c d e f", "b, c! a", None, "", "q", "a a b é-x"]
+    v = quality.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), share=share)
+    unit, pool = plain_vectors(texts, share)
+    for w, row in unit.items():
+        assert np.allclose(v.rows[quality.places(np.array([plain_hash(w)], B.U), v.words)[0]], row, atol=1e-6)
+    assert np.allclose(quality.pooled(pa.array(texts), v), pool, atol=1e-6)
+    assert len(v.words) <= share and (share > 12 or 0 < len(v.words) < len(unit)) and (share < 100 or len(v.words) == len(unit))
+
+
+def test_many_words_have_vectors_of_their_own(spark):
+    """More words than there are shared vectors: each frequent one keeps its own."""
+    texts = [" ".join(f"w{i} x{i}" for i in range(k, k + 100)) for k in range(0, 12_000, 100)]
+    v = quality.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert len(v.words) == 24_000 > quality.RARE and len(v.rows) == 24_000 + quality.RARE and not v.rows[24_000:].any()
+
+
+def test_scores_equal_a_plain_version(spark):
+    """The whole query beside dictionaries and loops: vectors, pooling, sample, network and temperature."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").filter("n_chars < 1500").orderBy("doc_id").limit(100).select("doc_id", "text")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    rows = docs.collect()
+    _, pool = plain_vectors([r.text for r in rows], quality.SHARE)
+    import zlib
+
+    y = {r.doc_id: r.quality for r in labels.collect()}
+    at = [i for i, r in enumerate(rows) if r.doc_id in y and zlib.crc32(str(r.doc_id).encode()) % 5]
+    # the same 32-bit numbers and the same order as the network is given
+    x = pool.astype(np.float32).astype(np.float64)
+    order = sorted(at, key=lambda i: tuple(x[i]))
+    net = quality.Network().fit(x[order], np.array([float(y[rows[i].doc_id]) for i in order]))
+    a, b, c, d = net.w
+    for i, r in enumerate(rows):
+        hidden = [np.tanh(sum((x[i][k] - net.mean[k]) / net.scale[k] * a[k][j] for k in range(len(x[i]))) + b[j]) for j in range(net.width)]
+        plain = 1 / (1 + np.exp(-(sum(u * v for u, v in zip(hidden, c)) + d[0]) / net.temperature))
+        assert abs(got[r.doc_id] - plain) < 0.01, r.doc_id
 
 
 def test_blocks_hash_alike_wherever_a_word_stands(monkeypatch):
