@@ -93,15 +93,3 @@ NOWHERE = ("no-boundary", "floor-empty", "bridged-opening", "brush-mismatch", "t
 WHOLE_OUTLINE = (
     "unsealed", "self-intersecting", "covers-page", "tiny-floor", "no-inner", "inner-not-nested", "inner-over-inset", "incomplete-enclosure", "wall-left-outside", "annexation", "heavy-closing", "weak-wall-support", "remediated",
 )
-
-
-def anchor_box(code: Column, own: Column, room: Column, points: Column) -> Column:
-    """The box struct<x0, y0, x1, y1> that a warning points at, by its code: its outline, a room, or recorded points; null for none."""
-    ring = F.filter(own, lambda p: ~F.isnan(p["x"]) & ~F.isnan(p["y"]))
-    rect = F.struct(F.least(room["x0"], room["x1"]).alias("x0"), F.least(room["y0"], room["y1"]).alias("y0"), F.greatest(room["x0"], room["x1"]).alias("x1"), F.greatest(room["y0"], room["y1"]).alias("y1"))
-    return (
-        F.when(code.isin(*NOWHERE), F.lit(None))
-        .when(code.isin(*WHOLE_OUTLINE) & (F.size(ring) >= 3), geom.bounds(ring))
-        .when((code == "room-outside") & (room["x0"] != room["x1"]) & (room["y0"] != room["y1"]), rect)
-        .when(code == "label-outside", geom.bounds(points))
-    )

@@ -17,13 +17,13 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geom
 from plumbline.operators import kernels as K
-from plumbline.operators import ranking
+from plumbline.operators import ranking, validate
 from plumbline.operators import walls as wall_tables
 from plumbline.sources.tables import Workspace
 
 CANDIDATES = (
     "plan_id bigint, net bigint, radius double, max_radius double, area double, parts bigint, seal double, support double, longest_gap double, perimeter double, coverage double, "
-    "bridged_span double, wall_area double, bbox_area double, scale double, variant string, policy string, ring array<struct<x: double, y: double>>"
+    "bridged_span double, wall_area double, bbox_area double, structural double, scale double, variant string, policy string, ring array<struct<x: double, y: double>>"
 )
 WORKING, NETS, GROWTH = 1400, 5, 1.45
 # A seal below this asks for the dearer hypotheses; limits of what counts as structural, of openings, flanks and probes, by a network's size and wall thickness.
@@ -75,6 +75,12 @@ def hypotheses(net: np.ndarray, t: int, dear: bool) -> list[tuple[str, str, np.n
     return out
 
 
+def structural_share(net: np.ndarray, t: int) -> float:
+    """Of a network's ink, what is no hairline beside walls of thickness t."""
+    thick = max(1, round(0.3 * t))
+    return float(K.open_(net, thick).sum() / max(1, net.sum())) if thick >= 2 else 1.0
+
+
 def candidate_rows(plan_id: int, rgba: np.ndarray, dear: bool = False, only: set[int] | None = None) -> list[tuple]:
     """Rows of CANDIDATES for one drawing; of the numbered networks only, if told."""
     ink, scale, _ = K.binarize(rgba, WORKING)
@@ -86,7 +92,7 @@ def candidate_rows(plan_id: int, rgba: np.ndarray, dear: bool = False, only: set
         ys, xs = np.nonzero(net)
         x0, y0, x1, y1 = xs.min(), ys.min(), xs.max(), ys.max()
         crop = net[y0 : y1 + 1, x0 : x1 + 1]
-        box, total = float(crop.size), int(crop.sum())
+        box, total, structural = float(crop.size), int(crop.sum()), structural_share(crop, t)
         most = max(4, int(0.12 * max(crop.shape)))
         for variant, policy, mask, bridged in hypotheses(crop, t, dear):
             r, seen = max(1, t // 2), -1.0
@@ -107,7 +113,7 @@ def candidate_rows(plan_id: int, rgba: np.ndarray, dear: bool = False, only: set
                         seal = float(np.sqrt(cover * size / bb)) * (1.0 if size - held > 0.2 * size else 0.3)
                         d = np.hypot(*(np.roll(ring, -1, axis=0) - ring).T).sum()
                         corners = [{"x": float(p[0] + x0), "y": float(p[1] + y0)} for p in ring]
-                        rows.append((plan_id, number, float(r), float(most), size, len(stats), seal, share, gap, float(d), held / max(1, total), bridged, box, float(bb), scale, variant, policy, corners))
+                        rows.append((plan_id, number, float(r), float(most), size, len(stats), seal, share, gap, float(d), held / max(1, total), bridged, box, float(bb), structural, scale, variant, policy, corners))
                 r = int(round(GROWTH * r)) + 1
     return rows
 
@@ -157,9 +163,9 @@ def fitted(c: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def floors(images: DataFrame, points: DataFrame | None = None) -> DataFrame:
-    """(plan_id, floor, ring, area_px, radius, score, confidence, codes): the outlines of a drawing in original pixels, in reading order.
+    """(plan_id, floor, ring, area_px, variant, policy, radius, score, confidence, codes, rejected): the outlines of a drawing in original pixels, in reading order. Legends and title blocks are none of them: rejected tells how many there were.
 
-    points: plan_id, x, y of places known to be inside, as labels of rooms are; candidates that hold more of them score higher.
+    points: plan_id, x, y of places known to be inside, as labels of rooms are; candidates that hold more of them score higher, and an outline that holds one is no legend.
     """
     by, ladder = ["plan_id", "net"], ["plan_id", "net", "variant", "policy"]
     c = candidate_table(images, Workspace(images.sparkSession, "floors"))
@@ -169,6 +175,7 @@ def floors(images: DataFrame, points: DataFrame | None = None) -> DataFrame:
     c = c.join(whole, ladder).withColumns({"completeness": F.least(F.lit(1.0), F.col("area") / F.col("reference")), "brush_fit": none, "drawn": F.lit(False)})
     best = ranking.confidence(ranking.pick(ranking.score(c), by).filter("place = 1"))
     ring = F.transform("ring", lambda p: F.struct((p["x"] / F.col("scale")).alias("x"), (p["y"] / F.col("scale")).alias("y")))
-    out = best.withColumn("ring", ring).withColumn("_b", geom.bounds(F.col("ring"))).select("*", F.col("net").alias("floor"), *[F.col(f"_b.{k}").alias(k) for k in ("x0", "y0", "x1", "y1")])
+    real = validate.buildings(best.withColumns({"ring": ring, "floor": F.col("net"), "held": F.col("fit") > 0})).filter("building")
+    out = real.withColumn("_b", geom.bounds(F.col("ring"))).select("*", *[F.col(f"_b.{k}").alias(k) for k in ("x0", "y0", "x1", "y1")])
     placed = wall_tables.reading_order(out.drop("place"))
-    return placed.select("plan_id", F.col("place").alias("floor"), "ring", geom.ring_area(F.col("ring")).alias("area_px"), "variant", "policy", "radius", "score", "confidence", "codes")
+    return placed.select("plan_id", F.col("place").alias("floor"), "ring", geom.ring_area(F.col("ring")).alias("area_px"), "variant", "policy", "radius", "score", "confidence", "codes", "rejected")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import geom
@@ -10,6 +11,8 @@ from plumbline.functions.scale import constraint_factor
 
 # Shares of the page, of the outer area, and of the smaller of two floors; factors stand beside the rules.
 COVERS, TINY, OVER_INSET, OVERLAP, GRID = 0.92, 0.005, 0.45, 0.4, 96
+# Boxes below the first share of the plan's largest are no buildings; nor those below the second whose walls are hairlines, the largest outline (by area) apart.
+SMALL_BOX, LESSER_BOX, HAIRLINES, LARGEST = 0.12, 0.55, 0.35, 0.999
 
 
 def sampled_overlap(a: Column, b: Column, steps: int = GRID) -> Column:
@@ -68,3 +71,18 @@ def label_warnings(floors: DataFrame, marks: DataFrame, drawn: bool = False) ->
 def confidence_factor(warnings: DataFrame) -> DataFrame:
     """(plan_id, factor, n): the product of the factors, within 0 and 1."""
     return warnings.groupBy("plan_id").agg(F.least(F.lit(1.0), F.aggregate(F.array_sort(F.collect_list("factor")), F.lit(1.0), lambda a, x: a * x)).alias("factor"), F.count("*").alias("n"))
+
+
+def buildings(floors: DataFrame) -> DataFrame:
+    """floors with building, whether each outline is one rather than a legend, a title block or a detail, and rejected, how many of its plan's are not. A plan of which nothing would be left keeps the outline of least floor.
+
+    floors: plan_id, floor, ring, structural (the share of its ink that is thick), held (whether it holds a place known to be inside; null as false).
+    """
+    plan, b = W.partitionBy("plan_id"), geom.bounds(F.col("ring"))
+    size = floors.withColumns({"_box": geom.let(b, lambda x: (x["x1"] - x["x0"]) * (x["y1"] - x["y0"])), "_area": geom.ring_area(F.col("ring"))})
+    of = size.withColumns({"_box": F.col("_box") / F.max("_box").over(plan), "_area": F.col("_area") / F.max("_area").over(plan)})
+    legend = (F.col("_area") < LARGEST) & (F.col("_box") < LESSER_BOX) & (F.col("structural") < HAIRLINES) & ~F.coalesce("held", F.lit(False))
+    # sizes that are no numbers (no ring, no area) say nothing against an outline
+    told = of.withColumn("_out", F.coalesce((F.col("_box") < SMALL_BOX) | legend, F.lit(False)))
+    kept = told.withColumn("building", ~F.col("_out") | (F.min("_out").over(plan) & (F.col("floor") == F.min("floor").over(plan))))
+    return kept.withColumn("rejected", F.count_if(~F.col("building")).over(plan)).drop("_box", "_area", "_out")
