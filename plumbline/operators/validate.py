@@ -80,7 +80,7 @@ def buildings(floors: DataFrame) -> DataFrame:
     """
     plan, b = W.partitionBy("plan_id"), geom.bounds(F.col("ring"))
     size = floors.withColumns({"_box": geom.let(b, lambda x: (x["x1"] - x["x0"]) * (x["y1"] - x["y0"])), "_area": geom.ring_area(F.col("ring"))})
-    of = size.withColumns({"_box": F.col("_box") / F.max("_box").over(plan), "_area": F.col("_area") / F.max("_area").over(plan)})
+    of = size.withColumns({"_box": F.col("_box") / F.nullif(F.max("_box").over(plan), F.lit(0.0)), "_area": F.col("_area") / F.nullif(F.max("_area").over(plan), F.lit(0.0))})
     legend = (F.col("_area") < LARGEST) & (F.col("_box") < LESSER_BOX) & (F.col("structural") < HAIRLINES) & ~F.coalesce("held", F.lit(False))
     # sizes that are no numbers (no ring, no area) say nothing against an outline
     told = of.withColumn("_out", F.coalesce((F.col("_box") < SMALL_BOX) | legend, F.lit(False)))

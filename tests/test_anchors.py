@@ -73,10 +73,10 @@ def test_anchors_are_brought_back(spark):
 def test_buildings(spark):
     box = lambda x, w, h: [(float(x), 0.0), (x + w, 0.0), (x + w, h), (float(x), h)]
     rows = [(1, 0, box(0, 100.0, 100.0), 0.1, None), (1, 1, box(200, 50.0, 50.0), 0.1, False), (1, 2, box(300, 50.0, 50.0), 0.1, True), (1, 3, box(400, 50.0, 50.0), 0.9, None), (1, 4, box(500, 30.0, 30.0), 0.9, True), (1, 5, box(600, 90.0, 90.0), 0.1, None),
-            (2, 7, None, 0.1, None), (3, 1, box(0, 9.0, 9.0), None, None), (3, 2, box(0, 9.0, 9.0), 0.0, None)]
+            (2, 7, None, 0.1, None), (4, 1, [(0.0, 0.0)] * 3, 0.1, None), (3, 1, box(0, 9.0, 9.0), None, None), (3, 2, box(0, 9.0, 9.0), 0.0, None)]
     df = spark.createDataFrame(rows, f"plan_id bigint, floor bigint, ring {POINTS}, structural double, held boolean")
     got = {(r.plan_id, r.floor): (r.building, r.rejected) for r in validate.buildings(df).collect()}
-    assert got == {(1, 0): (True, 2), (1, 1): (False, 2), (1, 2): (True, 2), (1, 3): (True, 2), (1, 4): (False, 2), (1, 5): (True, 2), (2, 7): (True, 0), (3, 1): (True, 0), (3, 2): (True, 0)}
+    assert got == {(1, 0): (True, 2), (1, 1): (False, 2), (1, 2): (True, 2), (1, 3): (True, 2), (1, 4): (False, 2), (1, 5): (True, 2), (2, 7): (True, 0), (4, 1): (True, 0), (3, 1): (True, 0), (3, 2): (True, 0)}
     assert validate.buildings(df.limit(0)).count() == 0
 
 
