@@ -85,6 +85,11 @@ def bounds(ring: Column) -> Column:
     return F.when(F.size(ring) > 0, box)
 
 
+def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """struct<x0, y0, x1, y1> of doubles."""
+    return F.struct(*[c.cast("double").alias(k) for c, k in zip((x0, y0, x1, y1), ("x0", "y0", "x1", "y1"))])
+
+
 def winding(ring: Column) -> Column:
     """CW, CCW or degenerate, as seen with y downwards."""
     turn = over_edges(ring, lambda a, b: (b["x"] - a["x"]) * (b["y"] + a["y"]))

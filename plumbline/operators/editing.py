@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import geom, labels
+from plumbline.operators import spatial
 
 
 def apply_verdicts(outlines: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -46,7 +47,9 @@ def target_outline(outlines: DataFrame, rings: DataFrame) -> DataFrame:
 
     outlines: plan_id, trace_id, ring, active. rings: plan_id, ring_id, hole.
     """
-    pair = rings.withColumn("c", geom.centroid(F.col("hole"))).join(outlines, "plan_id").filter(geom.in_ring(F.col("c"), F.col("ring")))
+    at = rings.select("plan_id", "ring_id", geom.let(geom.centroid(F.col("hole")), lambda c: geom.box(c["x"], c["y"], c["x"], c["y"])).alias("box"))
+    near = spatial.meeting(at, outlines.withColumn("box", geom.bounds(F.col("ring"))), spatial.WIDE)
+    pair = near.select("a.plan_id", "a.ring_id", "a.box", "b.trace_id", "b.ring", "b.active").filter(geom.in_ring(geom.point(F.col("box.x0"), F.col("box.y0")), F.col("ring")))
     best = pair.groupBy("plan_id", "ring_id").agg(F.min(F.struct((~F.col("active")).alias("a"), geom.ring_area(F.col("ring")).alias("s"), "trace_id")).alias("b"))
     return best.select("plan_id", "ring_id", "b.trace_id")
 

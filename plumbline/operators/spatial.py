@@ -11,10 +11,20 @@ from plumbline.functions import geom, labels
 
 TITLE_BAND = 6.0  # fixed value: heights of a label within which it can be an outline's title
 CELL = 256.0  # pixels of a grid cell
+FARTHEST = 1e12  # pixels; boxes farther out, and those with a side that is no number, meet nothing
+WIDE = 1024.0  # the same where whole outlines and walls are one side
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: a projection alone would be written out again in each expression that reads it."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
 def _in_cells(df: DataFrame, cell: float) -> DataFrame:
+    df = once(df, "box", F.col("box"))
     at = lambda k: F.floor(F.col("box")[k] / cell).cast("bigint")
+    for k in ("x0", "y0", "x1", "y1"):
+        df = df.filter(F.abs(F.col("box")[k]) < FARTHEST)
     return df.withColumns({"_x0": at("x0"), "_y0": at("y0")}).withColumn("_cx", F.explode(F.sequence("_x0", at("x1")))).withColumn("_cy", F.explode(F.sequence("_y0", at("y1"))))
 
 
@@ -42,8 +52,14 @@ def classify(outlines: DataFrame, marks: DataFrame) -> DataFrame:
     heights. Labels inside outrank titles; the type of most labels wins and a draw says nothing. outlines: plan_id, trace_id, ring. marks: plan_id,
     label_id, type, x, y, w, h.
     """
-    shape = outlines.filter(F.size("ring") >= 3).select("plan_id", "trace_id", "ring", geom.bounds(F.col("ring")).alias("box"))
-    pair = marks.filter(F.col("type").isNotNull()).join(shape, "plan_id")
+    shape = once(outlines.filter(F.size("ring") >= 3).select("plan_id", "trace_id", "ring"), "box", geom.bounds(F.col("ring")))
+    # a label meets an outline, if its centre's column does, up to the heights that make it a title, within the outline's box and the pad beside it
+    b, reach, mid = F.col("box"), TITLE_BAND * F.greatest(F.col("h"), F.lit(1.0)), F.col("x") + F.col("w") / 2
+    pad = (b["x1"] - b["x0"]) * 0.1
+    band = geom.box(mid, F.least(F.col("y"), F.col("y") + F.col("h")) - reach, mid, F.greatest(F.col("y"), F.col("y") + F.col("h")) + reach)
+    wide = shape.withColumn("around", b).withColumn("box", geom.box(b["x0"] - pad, b["y0"], b["x1"] + pad, b["y1"]))
+    near = meeting(marks.filter(F.col("type").isNotNull()).withColumn("box", band), wide, WIDE)
+    pair = near.select("a.plan_id", "a.label_id", "a.type", "a.x", "a.y", "a.w", "a.h", "b.trace_id", "b.ring", F.col("b.around").alias("box"))
     c = center(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
     within = (c["x"].between(F.col("box.x0"), F.col("box.x1"))) & (c["y"].between(F.col("box.y0"), F.col("box.y1")))
     pair = pair.withColumns({"inside": F.when(within, geom.in_ring(c, F.col("ring"))).otherwise(F.lit(False)), "size": geom.box_area(F.col("box")), "near": title_gap(F.col("box"), F.col("x"), F.col("y"), F.col("w"), F.col("h")) <= TITLE_BAND * F.greatest(F.col("h"), F.lit(1.0))}).drop("ring", "box")
@@ -84,9 +100,10 @@ def nearest_wall(points: DataFrame, walls: DataFrame, tolerance: float) -> DataF
 
     points: plan_id, point_id, pos, a, b. walls: plan_id, wall_id, face_lo, face_hi, lo, hi.
     """
-    pair = points.join(walls, "plan_id")
-    shared = F.least("b", "hi") - F.greatest("a", "lo")
-    both = pair.withColumn("shared", shared).filter("shared > 0").select("plan_id", "point_id", "pos", "wall_id", "shared", F.explode(F.array("face_lo", "face_hi")).alias("face"))
+    face = walls.select("plan_id", "wall_id", "lo", "hi", F.explode(F.array("face_lo", "face_hi")).alias("face")).withColumn("box", geom.box(F.col("face"), F.col("lo"), F.col("face"), F.col("hi")))
+    spot = points.withColumn("box", geom.box(F.col("pos") - tolerance, F.col("a"), F.col("pos") + tolerance, F.col("b")))
+    near = meeting(spot, face, WIDE).select("a.plan_id", "a.point_id", "a.pos", "b.wall_id", "b.face", (F.least("a.b", "b.hi") - F.greatest("a.a", "b.lo")).alias("shared"))
+    both = near.filter("shared > 0")
     gap = F.abs(F.col("pos") - F.col("face"))
     best = both.withColumn("gap", gap).filter(F.col("gap") <= tolerance).groupBy("plan_id", "point_id").agg(F.min(F.struct("gap", (-F.col("shared")).alias("s"), "wall_id", "face")).alias("b"))
     return best.select("plan_id", "point_id", "b.wall_id", "b.face")
