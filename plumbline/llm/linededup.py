@@ -15,6 +15,9 @@ put in, taken out or replaced) of it. Blank lines part paragraphs: they are no l
 The hash of a line with one character taken out comes from running exclusive ors over its characters, which can't overflow, so a line of n
 characters costs n steps, however long it is. Lines are cut in pieces of PIECE characters, whose sums are joined up first: a long
 line is many tasks' work.
+
+The texts of step 3 are read again from the documents. A table of bits, of one size for all inputs, tells where a line may be one of
+those, so that the others are not shuffled; those that pass are joined by document and place.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from plumbline.llm._store import Workspace
 
 MIN_CHARS = 1  # a parameter: lines of fewer characters, trimmed, stay. At 1 that is blank lines alone
 PIECE = 4096  # characters of a line that one window takes
+MARK_BINS, MARK_WORDS = 16384, 64  # bits that tell where a suspect may be: rows, and words of 64 bits in each, 8 MB in all. Few bits let more lines through, none is lost
 
 
 def identity(line: Column) -> list[Column]:
@@ -62,6 +66,15 @@ def _suspects(distinct: DataFrame, work: Workspace) -> DataFrame:
     return work.save(out.select("h1", "h2", "first", F.col("first.doc").alias("doc"), F.col("first.tx").alias("tx"), F.col("first.ln").alias("ln")), "suspects")
 
 
+def _marked(lines: DataFrame, suspects: DataFrame) -> DataFrame:
+    """The rows of lines that may be suspects by document and place: all that are, and of the others those that share a bit with one."""
+    width = MARK_WORDS * 64
+    slot = F.pmod(F.xxhash64("doc", "tx", "ln"), F.lit(MARK_BINS * width))
+    places = [F.floor(slot / width).cast("int").alias("bin"), (slot % width).cast("int").alias("at")]
+    marks = _bits(suspects.select(*places), ("bin",), "at", MARK_WORDS).select("bin", "words")
+    return lines.select("*", *places).join(F.broadcast(marks), "bin").filter(_dropped(F.col("words"), F.col("at"))).select(*lines.columns)
+
+
 def _variants(held: DataFrame, work: Workspace) -> DataFrame:
     """(h1, h2, first, place, v1, v2): the hash of each line of held without the character at each place from 0, and whole at place -1."""
     z = lambda at, c, salt: F.xxhash64(F.lit(salt), at, c)
@@ -129,7 +142,7 @@ def duplicate_lines(docs: DataFrame, work: Workspace, key: str = "doc_id", text:
     suspects = _suspects(distinct, work)
     on = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("doc", "tx", "ln")])
     # a document that repeats with equal text gives its lines twice
-    held = _lines(given, min_chars).alias("l").join(suspects.alias("s"), on).select("s.h1", "s.h2", "s.first", "l.line").dropDuplicates(["h1", "h2"])
+    held = _marked(_lines(given, min_chars), suspects).alias("l").join(suspects.alias("s"), on).select("s.h1", "s.h2", "s.first", "l.line").dropDuplicates(["h1", "h2"])
     near = _near(work.save(held, "held"), work).withColumn("near", F.lit(True))
 
     # an occurrence goes if it isn't the line's first, or if the line has an earlier partner
@@ -140,11 +153,11 @@ def duplicate_lines(docs: DataFrame, work: Workspace, key: str = "doc_id", text:
     return gone.select("doc", "tx", "ln")
 
 
-def _bits(gone: DataFrame) -> DataFrame:
-    """(doc, tx, n_removed, words): for each document that loses lines, a bit for each of its lines, 64 to a word."""
-    word = gone.distinct().groupBy("doc", "tx", F.floor(F.col("ln") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("ln") % 64)).alias("bits"))
-    per = word.groupBy("doc", "tx").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"), F.sum(F.bit_count("bits")).alias("n_removed"), F.max("w").alias("top"))
-    return per.select("doc", "tx", "n_removed", F.transform(F.sequence(F.lit(0), F.col("top")), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long"))).alias("words"))
+def _bits(gone: DataFrame, keys: tuple[str, ...] = ("doc", "tx"), at: str = "ln", least: int = 1) -> DataFrame:
+    """(doc, tx, n_removed, words): for each document that loses lines, a bit for each of its lines, 64 to a word. Other keys and places likewise; least words at least."""
+    word = gone.distinct().groupBy(*keys, F.floor(F.col(at) / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(at) % 64)).alias("bits"))
+    per = word.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"), F.sum(F.bit_count("bits")).alias("n_removed"), F.greatest(F.max("w"), F.lit(least - 1)).alias("top"))
+    return per.select(*keys, "n_removed", F.transform(F.sequence(F.lit(0), F.col("top")), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long"))).alias("words"))
 
 
 def _dropped(words: Column, i: Column) -> Column:

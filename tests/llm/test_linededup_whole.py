@@ -49,3 +49,44 @@ def test_short_lines_within_one_edit(spark):
             if s == t or len(a) == len(b) and sum(x != y for x, y in zip(a, b)) <= 1 or any(b[:i] + b[i + 1 :] == a for i in range(len(b))):
                 want.add((d, 0))
     assert gone(spark, docs) == want
+
+
+def test_texts_of_lines_that_meet_none_are_not_shuffled(spark):
+    """Two of 2,001 lines are near each other; where nothing is broadcast by its size, the texts of the others still stay where they are read."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=5_000)) for _ in range(2_000)]
+    docs = [*enumerate(texts), (2_000, texts[7][:2_500] + "-" + texts[7][2_500:])]
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sum(x.totalShuffleWrite() for x in map(sc.statusStore().executorList(True).apply, range(sc.statusStore().executorList(True).size())))
+
+    before, most = shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert gone(spark, docs) == {(2_000, 0)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert shuffled() - before < 5e6  # of 10 MB of texts
+
+
+def test_lines_that_meet_none_are_not_fetched(spark):
+    """Of the lines whose texts are read again, few are no suspects, whatever Spark makes of the join after that; all suspects are there, by null keys too."""
+    lines = spark.range(200_000).selectExpr("if(id % 50 = 0, null, id) AS doc", "xxhash64(id) AS tx", "cast(id % 7 AS int) AS ln", "repeat('x', 9) AS line")
+    suspects = lines.filter("tx % 20 = 0").drop("line")
+    out = L._marked(lines, suspects)
+    assert out.columns == lines.columns and out.join(suspects.dropDuplicates(), ["tx", "ln"]).count() == (n := suspects.count()) > 5_000
+    assert out.count() < 1.1 * n
+    assert L._marked(lines, suspects.limit(0)).count() == 0
+
+
+def test_a_few_bits_lose_no_line(spark, monkeypatch):
+    """With so few bits that all lines pass, and with a few more, the results are those of many."""
+    rng = random.Random(4)
+    docs = [(d, "\n".join("".join(rng.choices("ab", k=rng.randint(5, 9))) for _ in range(5))) for d in range(40)]
+    want = gone(spark, docs)
+    for bins, words in ((1, 1), (3, 2)):
+        monkeypatch.setattr(L, "MARK_BINS", bins)
+        monkeypatch.setattr(L, "MARK_WORDS", words)
+        assert gone(spark, docs) == want
