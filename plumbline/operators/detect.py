@@ -143,7 +143,8 @@ def rescued(images: DataFrame, nets: DataFrame) -> DataFrame:
                 rgba = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, -1)
                 yield pd.DataFrame(candidate_rows(row.plan_id, rgba, True, {int(n) for n in row.nets}), columns=_NAMES)
 
-    return images.select("plan_id", "width", "height", "data").join(per, "plan_id").mapInPandas(run, CANDIDATES)
+    # pictures are made by Python, so Spark takes them to be small: they are never the side that is held in memory or sorted
+    return images.select("plan_id", "width", "height", "data").join(per.hint("shuffle_hash"), "plan_id").mapInPandas(run, CANDIDATES)
 
 
 def candidate_table(images: DataFrame, work: Workspace) -> DataFrame:
