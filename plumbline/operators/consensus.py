@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geom, labels
 from plumbline.functions import scale as S
+from plumbline.operators import raster as R
 
 
 def select_scale(rooms: DataFrame, footprints: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def select_scale(rooms: DataFrame, footprints: DataFrame) -> DataFrame:
         "kept": F.filter("samples", near),
         "room_count": F.size(F.filter("rooms", lambda r: near(r["px"]) | near(r["py"]))).cast("bigint"),
     })
-    plan = plan.withColumn("spread", F.when(F.size("kept") > 1, F.ln(F.array_max("kept") / F.array_min("kept"))).otherwise(F.lit(0.0))).join(footprints, "plan_id", "left")
+    plan = plan.withColumn("spread", F.when(F.size("kept") > 1, F.ln(F.array_max("kept") / F.array_min("kept"))).otherwise(F.lit(0.0))).join(R.large(footprints), "plan_id", "left")
     foot = F.when(F.col("area_px") > 0, F.col("area_px") / (F.col("robust.value") * F.col("robust.value")))
     plan = plan.withColumn("area_ratio", F.when((foot > 0) & (F.col("label_sqft") > 0), foot / F.col("label_sqft")))
     none = F.col("robust").isNull()

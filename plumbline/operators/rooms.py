@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import consensus, detect
 from plumbline.operators import kernels as K
+from plumbline.operators import raster as R
 
 BAND, STOPS, LEAST_COVER = 14, 3, 0.35
 ROOMS = "plan_id bigint, label_id bigint, name string, x0 double, y0 double, x1 double, y1 double, confidence double, px double, py double, dim_w double, dim_h double"
@@ -79,7 +80,8 @@ def grown(images: DataFrame, marks: DataFrame) -> DataFrame:
                         out.append((row.plan_id, m["label_id"], m["name"], x0 / scale, y0 / scale, (x1 + 1) / scale, (y1 + 1) / scale, sure, w / dw if dw > 0 else None, h / dh if dh > 0 else None, m["dim_w"], m["dim_h"]))
                 yield pd.DataFrame(out, columns=names)
 
-    return images.join(per, "plan_id").mapInPandas(run, ROOMS)
+    # pictures are made by Python, so Spark takes them to be small: they are never the side that is held in memory or sorted
+    return images.join(per.hint("shuffle_hash"), "plan_id").mapInPandas(run, ROOMS)
 
 
 def outside_living(rooms: DataFrame, exterior: DataFrame | None) -> DataFrame:
@@ -87,8 +89,8 @@ def outside_living(rooms: DataFrame, exterior: DataFrame | None) -> DataFrame:
     if exterior is None:
         return rooms.withColumn("outside", F.lit(False))
     mark = exterior.select("plan_id", F.col("x").alias("_x"), F.col("y").alias("_y"))
-    hit = rooms.select("plan_id", "label_id", "x0", "y0", "x1", "y1").join(mark, "plan_id").filter("_x BETWEEN x0 AND x1 AND _y BETWEEN y0 AND y1").select("plan_id", "label_id").distinct()
-    return rooms.join(hit.withColumn("outside", F.lit(True)), ["plan_id", "label_id"], "left").withColumn("outside", F.coalesce("outside", F.lit(False)))
+    hit = rooms.select("plan_id", "label_id", "x0", "y0", "x1", "y1").join(R.large(mark), "plan_id").filter("_x BETWEEN x0 AND x1 AND _y BETWEEN y0 AND y1").select("plan_id", "label_id").distinct()
+    return rooms.join(R.large(hit.withColumn("outside", F.lit(True))), ["plan_id", "label_id"], "left").withColumn("outside", F.coalesce("outside", F.lit(False)))
 
 
 def auto_scale(images: DataFrame, marks: DataFrame, footprints: DataFrame, exterior: DataFrame | None = None) -> DataFrame:
